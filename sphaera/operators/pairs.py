@@ -36,7 +36,7 @@ def doc_word_pairs(kept: DataFrame) -> DataFrame:
 
 
 def _with_draws(df: DataFrame, negative: int, seed: int, op: str, epoch: int, keys: list[str]) -> DataFrame:
-    d = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negative))).cast("bigint"))
+    d = df.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(negative).cast("bigint"))))
     ks = [str(epoch)] + keys + ["k"]
     return d.withColumn("u1", uniform(seed, op, *ks, lane=0)).withColumn("u2", uniform(seed, op, *ks, lane=1))
 

@@ -291,3 +291,129 @@ def q_v7(spark, sf):
 )
 def q_v8(spark, sf):
     return V.oov_report(tokens(spark, sf), vocab(spark, sf))
+
+
+# ------------------------------------------------------------------- sampling
+
+HIST = S.with_(S.tok(), S.counts(), S.vocab(MIN_COUNT), S.hist())
+
+
+@register(
+    "p1_keep_probability",
+    VOC + f"SELECT idx::BIGINT AS idx, word, round({S.keep_p(SAMPLE)}, 6) AS p_keep FROM vocab, nstat WHERE idx > 0",
+)
+def q_p1(spark, sf):
+    v, _, sc = sampling_state(spark, sf)
+    p = P.keep_probability(F.col("cn"), sc.train_words, SAMPLE)
+    return v.filter("idx > 0").select("idx", "word", r6(p).alias("p_keep"))
+
+
+@register(
+    "p2_subsample",
+    ENC.rstrip() + ",\n" + S.kept(SEED, SAMPLE, EPOCH, WINDOW) + "\nSELECT doc_id, pos, idx FROM sub",
+)
+def q_p2(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    return P.subsample(encoded(spark, sf), sc, SAMPLE, SEED, EPOCH).select("doc_id", "pos", "idx")
+
+
+@register(
+    "p3_noise_distribution",
+    HIST + "SELECT first_idx::BIGINT AS first_idx, n_words::BIGINT AS n_words, cn::BIGINT AS cn, "
+    "round(w / z, 9) AS p, round(cum_before / z, 6) AS cum_before FROM hist, hz",
+)
+def q_p3(spark, sf):
+    _, hist, sc = sampling_state(spark, sf)
+    z = F.lit(sc.noise_total)
+    return hist.select(
+        "first_idx", "n_words", F.col("cn").cast("bigint"),
+        F.round(F.col("w") / z, 9).alias("p"), r6(F.col("cum_before") / z).alias("cum_before"),
+    )
+
+
+def _kept_sql(*extra: str) -> str:
+    return S.with_(
+        S.tok(), S.counts(), S.vocab(MIN_COUNT), S.enc(), S.kept(SEED, SAMPLE, EPOCH, WINDOW), S.hist(), *extra
+    )
+
+
+def _grid(spark, sf):
+    v, hist, sc = sampling_state(spark, sf)
+    return P.noise_grid(hist, sc), sc
+
+
+@register(
+    "p4_negative_sample",
+    _kept_sql(S.draws("dr", "kept", SEED, "dneg", EPOCH, ["doc_id", "kpos"], NEGATIVE))
+    + "SELECT doc_id, kpos, k, neg FROM dr",
+)
+def q_p4(spark, sf):
+    grid, sc = _grid(spark, sf)
+    k = kept(spark, sf, sc)
+    d = G._with_draws(k.select("doc_id", "kpos"), NEGATIVE, SEED, "dneg", EPOCH, ["doc_id", "kpos"])
+    return P.draw_negatives(d, grid, sc).select("doc_id", F.col("kpos").cast("bigint"), "k", "neg")
+
+
+@register("p5_dynamic_window", KEPT + "SELECT doc_id, kpos, radius FROM kept")
+def q_p5(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    return kept(spark, sf, sc).select("doc_id", F.col("kpos").cast("bigint"), "radius")
+
+
+@register(
+    "p6_uniform_negative",
+    KEPT.rstrip()
+    + f", ks AS (SELECT doc_id, kpos, unnest(range(1, {NEGATIVE + 1}))::BIGINT AS k FROM kept) "
+    "SELECT doc_id, kpos, k, (1 + CAST(floor("
+    + S.u(SEED, "dneg", [str(EPOCH), "doc_id", "kpos", "k"], 1)
+    + " * (n_vocab - 1)) AS BIGINT))::BIGINT AS uneg FROM ks, nstat",
+)
+def q_p6(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    k = kept(spark, sf, sc).select("doc_id", "kpos")
+    d = G._with_draws(k, NEGATIVE, SEED, "dneg", EPOCH, ["doc_id", "kpos"])
+    return d.select("doc_id", F.col("kpos").cast("bigint"), "k", P.uniform_negative(F.col("u2"), sc.vocab_size).alias("uneg"))
+
+
+# ------------------------------------------------------------------- pairs
+
+
+def _pairs(spark, sf):
+    grid, sc = _grid(spark, sf)
+    k = kept(spark, sf, sc)
+    return G.skipgram_pairs(k, WINDOW), k, grid, sc
+
+
+@register("g1_skipgram_pairs", _kept_sql(S.pairs()) + "SELECT doc_id, kpos, off, ctx, center FROM pairs")
+def q_g1(spark, sf):
+    p, _, _, _ = _pairs(spark, sf)
+    return p.select("doc_id", F.col("kpos").cast("bigint"), "off", "ctx", "center")
+
+
+@register("g2_doc_word_pairs", KEPT + "SELECT doc_id, kpos, idx AS word FROM kept")
+def q_g2(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    return G.doc_word_pairs(kept(spark, sf, sc)).select("doc_id", F.col("kpos").cast("bigint"), "word")
+
+
+@register(
+    "g3_word_triples",
+    _kept_sql(S.pairs(), S.draws("wt", "pairs", SEED, "wneg", EPOCH, ["doc_id", "kpos", "off"], NEGATIVE))
+    + "SELECT doc_id, kpos, off, k, ctx, center, neg FROM wt WHERE neg <> ctx",
+)
+def q_g3(spark, sf):
+    p, _, grid, sc = _pairs(spark, sf)
+    t = G.word_triples(p, grid, sc, NEGATIVE, SEED, EPOCH)
+    return t.select("doc_id", F.col("kpos").cast("bigint"), "off", "k", "ctx", "center", "neg")
+
+
+@register(
+    "g4_doc_triples",
+    _kept_sql(S.draws("dt", "kept", SEED, "dneg", EPOCH, ["doc_id", "kpos"], NEGATIVE))
+    + "SELECT doc_id, kpos, k, idx AS word, neg FROM dt WHERE neg <> idx",
+)
+def q_g4(spark, sf):
+    grid, sc = _grid(spark, sf)
+    k = kept(spark, sf, sc)
+    t = G.doc_triples(G.doc_word_pairs(k), grid, sc, NEGATIVE, SEED, EPOCH)
+    return t.select("doc_id", F.col("kpos").cast("bigint"), "k", "word", "neg")

@@ -94,3 +94,42 @@ def init_vec(flat_base: str, dim: int) -> str:
     """T1 unnormalised vector of ``dim`` values starting at stream element
     ``flat_base``."""
     return f"list_transform(range({dim}), lambda j: {init_value_sql(f'({flat_base}) + j', dim, 'duckdb')})"
+
+
+def hist() -> str:
+    """P3 histogram: one bucket per distinct count, id 0 alone, in id order."""
+    return (
+        "hb AS (SELECT min(idx) AS first_idx, count(*) AS n_words, max(cn) AS cn FROM vocab "
+        "GROUP BY CASE WHEN idx = 0 THEN -1 ELSE cn END),\n"
+        f"hw AS (SELECT first_idx, n_words, cn, pow(cn::DOUBLE, {NOISE_POWER}) AS w, "
+        f"pow(cn::DOUBLE, {NOISE_POWER}) * n_words AS mass FROM hb),\n"
+        "hist AS (SELECT *, coalesce(sum(mass) OVER (ORDER BY first_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        "AS cum_before FROM hw),\n"
+        "hz AS (SELECT sum(mass) AS z FROM hist)"
+    )
+
+
+def draws(name: str, src: str, seed: int, op: str, epoch: int, keys: list[str], negative: int) -> str:
+    """Rows of ``src`` times k = 1..negative with the two keyed uniforms and
+    the drawn noise id ``neg`` (P4 with the P6 fallback), via ASOF join."""
+    ks = [str(epoch)] + keys + ["k"]
+    u1, u2 = u(seed, op, ks, 0), u(seed, op, ks, 1)
+    return (
+        f"{name}_u AS (SELECT s.*, k::BIGINT AS k, {u1} AS u1, {u2} AS u2 FROM {src} s, "
+        f"(SELECT unnest(range(1, {negative + 1})) AS k) kk),\n"
+        f"{name}_t AS (SELECT x.*, x.u1 * hz.z AS t FROM {name}_u x, hz),\n"
+        f"{name} AS (SELECT x.* EXCLUDE (t), CASE WHEN h.first_idx + least(h.n_words - 1, "
+        "CAST(floor((x.t - h.cum_before) / h.w) AS BIGINT)) = 0 THEN "
+        "1 + CAST(floor(x.u2 * ((SELECT n_vocab FROM nstat) - 1)) AS BIGINT) ELSE h.first_idx + least(h.n_words - 1, "
+        f"CAST(floor((x.t - h.cum_before) / h.w) AS BIGINT)) END AS neg FROM {name}_t x ASOF JOIN hist h "
+        "ON x.t >= h.cum_before)"
+    )
+
+
+def pairs() -> str:
+    """G1 as a self range join."""
+    return (
+        "pairs AS (SELECT a.doc_id, a.seg, a.kpos, (b.kpos - a.kpos)::BIGINT AS off, a.idx AS ctx, b.idx AS center "
+        "FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.kpos <> a.kpos "
+        "AND b.kpos BETWEEN a.kpos - a.radius AND a.kpos + a.radius)"
+    )
