@@ -12,21 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sphaera.session import checkpoint_root
+
 
 def _order_cols(order: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
 def _ranged(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
+    """Range-partitioned, sorted rows with their partition id and a
+    within-partition counter, materialised by a reliable checkpoint: the
+    range bounds come from sampling, so two evaluations of an unmaterialised
+    input could split it differently. The checkpoint fixes one split for both
+    the per-partition totals and the rows, and survives executor loss."""
     spark = df.sparkSession
+    checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order)
-    return (
+    r = (
         df.repartitionByRange(n, *cols)
         .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mono", F.monotonically_increasing_id())
     )
+    return r.checkpoint(eager=True)
 
 
 def with_global_index(
@@ -57,17 +66,17 @@ def with_prefix_sum(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = running sum of ``value`` in ``order`` (inclusive or not)."""
-    r = _ranged(df, order, num_partitions).drop("_mono")
+    r = _ranged(df, order, num_partitions)
     per = r.groupBy("_pid").agg(F.sum(value).alias("_s"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_s").over(w), F.lit(0)))
-    frame = Window.partitionBy("_pid").orderBy(*_order_cols(order))
+    frame = Window.partitionBy("_pid").orderBy("_mono")
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = F.coalesce(F.sum(value).over(frame), F.lit(0))
     return (
         r.join(F.broadcast(per.select("_pid", "_off")), "_pid")
         .withColumn(out, F.col("_off") + local)
-        .drop("_pid", "_off")
+        .drop("_pid", "_off", "_mono")
     )
 
 

@@ -417,3 +417,193 @@ def q_g4(spark, sf):
     k = kept(spark, sf, sc)
     t = G.doc_triples(G.doc_word_pairs(k), grid, sc, NEGATIVE, SEED, EPOCH)
     return t.select("doc_id", F.col("kpos").cast("bigint"), "k", "word", "neg")
+
+
+# ------------------------------------------------------------------- training
+
+from sphaera.operators import train as T  # noqa: E402
+
+MARGIN = 0.15
+ALPHA = 0.04
+ITERS = 10
+
+
+def _vectors(spark, sf, dim=DIM):
+    v, _, sc = sampling_state(spark, sf)
+    d = load(spark, sf, "documents").select("doc_id")
+    return T.init_vectors(v, d, dim, sc.vocab_size).cache()
+
+
+def _long(df, col="vec"):
+    return df.select("role", "id", F.posexplode(col).alias("j", "x")).select(
+        "role", "id", F.col("j").cast("bigint"), r6(F.col("x").cast("double")).alias("x")
+    )
+
+
+VEC = S.with_(S.tok(), S.counts(), S.vocab(MIN_COUNT), S.vecs(DIM))
+
+
+@register(
+    "t1_init_vectors",
+    VEC + "SELECT role, id, j::BIGINT AS j, round(x::DOUBLE, 6) AS x FROM "
+    "(SELECT role, id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM vecs)",
+)
+def q_t1(spark, sf):
+    return _long(_vectors(spark, sf))
+
+
+PRE_MIN = 10
+
+
+@register(
+    "t2_load_pretrained",
+    S.with_(S.tok(), S.counts(), S.vocab(MIN_COUNT), S.vocab(PRE_MIN, "p"), S.vecs(DIM, "p"))
+    + ", pre AS (SELECT v.word AS key, p.vec FROM pvecs p JOIN pvocab v ON p.id = v.idx WHERE p.role = 'u'),\n"
+    "hit AS (SELECT v.idx AS id, pre.vec FROM vocab v JOIN pre ON pre.key = v.word),\n"
+    "miss AS (SELECT idx AS id, row_number() OVER (ORDER BY idx) - 1 AS r FROM vocab WHERE word NOT IN (SELECT key FROM pre)),\n"
+    f"mraw AS (SELECT id, {S.init_vec(f'r * {DIM}', DIM)} AS vec FROM miss),\n"
+    "mn AS (SELECT id, vec, sqrt(list_sum(list_transform(vec, lambda y: y * y))) AS n FROM mraw),\n"
+    "allv AS (SELECT id, vec FROM hit UNION ALL SELECT id, list_transform(vec, lambda x: CAST(x / n AS FLOAT)) FROM mn)\n"
+    "SELECT 'u' AS role, id, j::BIGINT AS j, round(x::DOUBLE, 6) AS x FROM "
+    "(SELECT id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM allv)",
+)
+def q_t2(spark, sf):
+    pv = vocab(spark, sf, PRE_MIN)
+    pvecs = T.init_vectors(pv, load(spark, sf, "documents").select("doc_id").limit(0), DIM,
+                           pv.count()).filter("role = 'u'")
+    pre = pvecs.join(pv.select(F.col("idx").alias("id"), F.col("word").alias("key")), "id").select("key", "vec")
+    return _long(T.load_pretrained(vocab(spark, sf), pre, "u", DIM))
+
+
+def _triples(spark, sf):
+    p, k, grid, sc = _pairs(spark, sf)
+    wt = G.word_triples(p, grid, sc, NEGATIVE, SEED, EPOCH)
+    dt = G.doc_triples(G.doc_word_pairs(k), grid, sc, NEGATIVE, SEED, EPOCH)
+    return wt, dt
+
+
+TRI = _kept_sql(
+    S.pairs(),
+    S.draws("wt", "pairs", SEED, "wneg", EPOCH, ["doc_id", "kpos", "off"], NEGATIVE),
+    S.draws("dt", "kept", SEED, "dneg", EPOCH, ["doc_id", "kpos"], NEGATIVE),
+    "wtr AS (SELECT * FROM wt WHERE neg <> ctx)",
+    "dtr AS (SELECT doc_id, kpos, k, idx AS word, neg FROM dt WHERE neg <> idx)",
+    S.vecs(DIM),
+    S.forward("wf", "wtr", "v", "ctx", "center", MARGIN),
+    S.forward("df", "dtr", "d", "doc_id", "word", MARGIN),
+)
+
+
+@register(
+    "t3_margin_forward",
+    TRI + "SELECT doc_id, kpos, k, round(f, 6) AS f, round(h, 6) AS h, round(loss, 6) AS loss, "
+    "CAST(active AS BIGINT) AS active FROM df",
+)
+def q_t3(spark, sf):
+    _, dt = _triples(spark, sf)
+    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN)
+    return fw.select("doc_id", F.col("kpos").cast("bigint"), "k", r6("f").alias("f"), r6("h").alias("h"),
+                     r6("loss").alias("loss"), F.col("active").cast("bigint").alias("active"))
+
+
+def _delta_long(d):
+    s = T.sum_deltas(d)
+    return s.select("role", "id", F.posexplode("delta").alias("j", "x")).select(
+        "role", "id", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register(
+    "t4_word_update",
+    TRI.rstrip() + ",\n" + S.deltas("wd", "wf", "v", "ctx", "center", ALPHA, DIM) + ",\n" + S.long_sum("ws", "wd")
+    + "\nSELECT role, id, j::BIGINT AS j, round(x, 6) AS x FROM ws",
+)
+def q_t4(spark, sf):
+    wt, _ = _triples(spark, sf)
+    fw = T.margin_forward(wt, _vectors(spark, sf), "v", "ctx", "center", MARGIN)
+    return _delta_long(T.triple_deltas(fw, "v", "ctx", "center", ALPHA))
+
+
+@register(
+    "t5_doc_update",
+    TRI.rstrip() + ",\n" + S.deltas("dd", "df", "d", "doc_id", "word", ALPHA, DIM) + ",\n" + S.long_sum("ds", "dd")
+    + "\nSELECT role, id, j::BIGINT AS j, round(x, 6) AS x FROM ds",
+)
+def q_t5(spark, sf):
+    _, dt = _triples(spark, sf)
+    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN)
+    return _delta_long(T.triple_deltas(fw, "d", "doc_id", "word", ALPHA))
+
+
+@register(
+    "t6_batch_step",
+    TRI.rstrip() + ",\n" + S.deltas("wd", "wf", "v", "ctx", "center", ALPHA, DIM) + ",\n"
+    + S.deltas("dd", "df", "d", "doc_id", "word", ALPHA, DIM) + ",\n"
+    "alld AS (SELECT * FROM wd UNION ALL SELECT * FROM dd),\n" + S.long_sum("sd", "alld") + ",\n"
+    "sda AS (SELECT role, id, list(x ORDER BY j) AS delta FROM sd GROUP BY role, id),\n"
+    "nw AS (SELECT v.role, v.id, CASE WHEN s.delta IS NULL THEN CAST(v.vec AS DOUBLE[]) ELSE "
+    "list_transform(range(len(v.vec)), lambda j: v.vec[j + 1] + s.delta[j + 1]) END AS vec, s.delta IS NOT NULL AS t "
+    "FROM vecs v LEFT JOIN sda s ON v.role = s.role AND v.id = s.id),\n"
+    "nn AS (SELECT role, id, vec, t, sqrt(list_sum(list_transform(vec, lambda y: y * y))) AS n FROM nw),\n"
+    "fin AS (SELECT role, id, CASE WHEN t THEN list_transform(vec, lambda x: CAST(x / n AS FLOAT)) "
+    "ELSE list_transform(vec, lambda x: CAST(x AS FLOAT)) END AS vec FROM nn)\n"
+    "SELECT role, id, j::BIGINT AS j, round(x::DOUBLE, 6) AS x FROM "
+    "(SELECT role, id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM fin)",
+)
+def q_t6(spark, sf):
+    wt, dt = _triples(spark, sf)
+    return _long(T.batch_step(_vectors(spark, sf), wt, dt, ALPHA, MARGIN))
+
+
+def _shards(spark, sf):
+    return C.balanced_shards(C.doc_offsets(load(spark, sf, "documents")), SHARDS)
+
+
+QUOTA_SQL = S.with_(
+    S.tok(), S.counts(), S.vocab(MIN_COUNT), S.enc(), OFFSETS_SQL, "tot AS (SELECT max(end_off) AS total FROM offs)",
+    f"sh AS (SELECT doc_id, least({SHARDS - 1}, (start_off * {SHARDS}) // total) AS shard FROM offs, tot)",
+    "dn AS (SELECT sh.doc_id, sh.shard, coalesce(e.n, 0) + 1 AS n_words FROM sh LEFT JOIN "
+    "(SELECT doc_id, count(*) AS n FROM enc GROUP BY doc_id) e ON sh.doc_id = e.doc_id)",
+    "prog AS (SELECT doc_id, shard, n_words, coalesce(sum(n_words) OVER (PARTITION BY shard ORDER BY doc_id "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dn)",
+)
+
+
+@register(
+    "t7_alpha_schedule",
+    QUOTA_SQL + f"SELECT e::BIGINT AS epoch, doc_id, round({ALPHA}::DOUBLE * greatest(1.0 - "
+    f"(e * n_train + {SHARDS} * before) / ({ITERS}.0 * n_train + 1.0), 1e-4), 9) AS alpha "
+    f"FROM prog, nstat, range({ITERS}) r(e)",
+)
+def q_t7(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    prog = T.doc_progress(encoded(spark, sf), load(spark, sf, "documents").select("doc_id"), _shards(spark, sf))
+    a = T.alpha_schedule(prog, ALPHA, ITERS, sc.train_words, SHARDS)
+    return a.select("epoch", "doc_id", F.round("alpha", 9).alias("alpha"))
+
+
+@register(
+    "t9_epoch_objective",
+    TRI + "SELECT 'word' AS kind, round(avg(loss), 6) AS mean_loss, round(avg(CAST(active AS DOUBLE)), 6) AS "
+    "active_share, count(*)::BIGINT AS n_triples FROM wf UNION ALL SELECT 'doc', round(avg(loss), 6), "
+    "round(avg(CAST(active AS DOUBLE)), 6), count(*)::BIGINT FROM df",
+)
+def q_t9(spark, sf):
+    wt, dt = _triples(spark, sf)
+    vec = _vectors(spark, sf)
+    o = T.epoch_objective(T.margin_forward(wt, vec, "v", "ctx", "center", MARGIN),
+                          T.margin_forward(dt, vec, "d", "doc_id", "word", MARGIN))
+    return o.select("kind", r6("mean_loss").alias("mean_loss"), r6("active_share").alias("active_share"), "n_triples")
+
+
+@register(
+    "t10_epoch_quota",
+    QUOTA_SQL.rstrip() + ",\n" + S.kept(SEED, SAMPLE, EPOCH, WINDOW)
+    + "\nSELECT d.shard::BIGINT AS shard, count(*)::BIGINT AS n_docs, sum(d.n_words)::BIGINT AS n_words, "
+    "sum(coalesce(k.k, 0))::BIGINT AS n_kept FROM dn d LEFT JOIN (SELECT doc_id, count(*) AS k FROM kept GROUP BY doc_id) k "
+    "ON d.doc_id = k.doc_id GROUP BY d.shard",
+)
+def q_t10(spark, sf):
+    _, _, sc = sampling_state(spark, sf)
+    q = T.epoch_quota(encoded(spark, sf), kept(spark, sf, sc), load(spark, sf, "documents").select("doc_id"),
+                      _shards(spark, sf))
+    return q.select(F.col("shard").cast("bigint"), "n_docs", "n_words", "n_kept")

@@ -40,12 +40,12 @@ def counts() -> str:
     )
 
 
-def vocab(min_count: int) -> str:
+def vocab(min_count: int, p: str = "") -> str:
     return (
-        f"kept_words AS (SELECT word, cn FROM counts WHERE cn >= {min_count} OR word = '{EOS}'),\n"
-        f"vocab AS (SELECT 0::BIGINT AS idx, word, cn FROM kept_words WHERE word = '{EOS}' UNION ALL "
-        f"SELECT row_number() OVER (ORDER BY cn DESC, word DESC) AS idx, word, cn FROM kept_words WHERE word <> '{EOS}'),\n"
-        "nstat AS (SELECT sum(cn)::BIGINT AS n_train, count(*)::BIGINT AS n_vocab FROM vocab)"
+        f"{p}kept_words AS (SELECT word, cn FROM counts WHERE cn >= {min_count} OR word = '{EOS}'),\n"
+        f"{p}vocab AS (SELECT 0::BIGINT AS idx, word, cn FROM {p}kept_words WHERE word = '{EOS}' UNION ALL "
+        f"SELECT row_number() OVER (ORDER BY cn DESC, word DESC) AS idx, word, cn FROM {p}kept_words WHERE word <> '{EOS}'),\n"
+        f"{p}nstat AS (SELECT sum(cn)::BIGINT AS n_train, count(*)::BIGINT AS n_vocab FROM {p}vocab)"
     )
 
 
@@ -133,3 +133,56 @@ def pairs() -> str:
         "FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.kpos <> a.kpos "
         "AND b.kpos BETWEEN a.kpos - a.radius AND a.kpos + a.radius)"
     )
+
+
+def vecs(dim: int, p: str = "") -> str:
+    """V rows, then u rows, then documents as one stream; normalised and
+    stored as FLOAT like the Spark table."""
+    return (
+        f"{p}ids AS (SELECT 'v' AS role, idx AS id, idx AS rno FROM {p}vocab UNION ALL "
+        f"SELECT 'u', idx, (SELECT n_vocab FROM {p}nstat) + idx FROM {p}vocab UNION ALL "
+        f"SELECT 'd', doc_id, 2 * (SELECT n_vocab FROM {p}nstat) + doc_id FROM documents),\n"
+        f"{p}rawv AS (SELECT role, id, {init_vec(f'rno * {dim}', dim)} AS vec FROM {p}ids),\n"
+        f"{p}nv AS (SELECT role, id, vec, sqrt(list_sum(list_transform(vec, lambda y: y * y))) AS n FROM {p}rawv),\n"
+        f"{p}vecs AS (SELECT role, id, list_transform(vec, lambda x: CAST(x / n AS FLOAT)) AS vec FROM {p}nv)"
+    )
+
+
+def dotp(a: str, b: str) -> str:
+    return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+def forward(name: str, src: str, anchor_role: str, anchor: str, pos: str, margin: float) -> str:
+    """T3 over triples ``src``: anchor/positive/negative vectors, f, h."""
+    m = f"{float(margin)}::DOUBLE"
+    return (
+        f"{name}0 AS (SELECT t.*, a.vec AS a_vec, u.vec AS u_vec, n.vec AS n_vec FROM {src} t "
+        f"JOIN vecs a ON a.role = '{anchor_role}' AND a.id = t.{anchor} "
+        f"JOIN vecs u ON u.role = 'u' AND u.id = t.{pos} JOIN vecs n ON n.role = 'u' AND n.id = t.neg),\n"
+        f"{name}1 AS (SELECT *, {dotp('u_vec', 'a_vec')} AS f, {dotp('n_vec', 'a_vec')} AS h FROM {name}0),\n"
+        f"{name} AS (SELECT *, greatest(0.0::DOUBLE, {m} - (f - h)) AS loss, (f - h) < {m} AS active FROM {name}1)"
+    )
+
+
+def deltas(name: str, fwd: str, anchor_role: str, anchor: str, pos: str, alpha: float, dim: int) -> str:
+    """T4/T5: per active triple the three gradient steps as rows."""
+    a = f"{float(alpha)}::DOUBLE"
+    r = f"range({dim})"
+    du = f"list_transform({r}, lambda j: {a} * (1.0 - f) * (a_vec[j + 1] - f * u_vec[j + 1]))"
+    dn = f"list_transform({r}, lambda j: {a} * 2.0 * h * (h * n_vec[j + 1] - a_vec[j + 1]))"
+    da = (
+        f"list_transform({r}, lambda j: {a} * (1.0 - (f - h)) * (u_vec[j + 1] - f * a_vec[j + 1] + h * a_vec[j + 1] "
+        "- n_vec[j + 1]))"
+    )
+    return (
+        f"{name} AS (SELECT 'u' AS role, {pos} AS id, {du} AS delta FROM {fwd} WHERE active UNION ALL "
+        f"SELECT 'u', neg, {dn} FROM {fwd} WHERE active UNION ALL "
+        f"SELECT '{anchor_role}', {anchor}, {da} FROM {fwd} WHERE active)"
+    )
+
+
+def long_sum(name: str, src: str) -> str:
+    return (
+        f"{name} AS (SELECT role, id, j, sum(x) AS x FROM (SELECT role, id, unnest(range(len(delta))) AS j, "
+        f"unnest(delta) AS x FROM {src}) GROUP BY role, id, j)"
+    )
