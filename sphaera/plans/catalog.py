@@ -607,3 +607,379 @@ def q_t10(spark, sf):
     q = T.epoch_quota(encoded(spark, sf), kept(spark, sf, sc), load(spark, sf, "documents").select("doc_id"),
                       _shards(spark, sf))
     return q.select(F.col("shard").cast("bigint"), "n_docs", "n_words", "n_kept")
+
+
+# ------------------------------------------------------------------- vectors
+
+from sphaera.functions import vectors as Mv  # noqa: E402
+from sphaera.operators import clustering as K  # noqa: E402
+from sphaera.operators import knn as L  # noqa: E402
+from sphaera.operators import similarity as E  # noqa: E402
+
+EV = "ev AS (SELECT vec_id AS id, embedding AS vec, label FROM embeddings)"
+
+
+def _emb(spark, sf):
+    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _next_pairs(spark, sf):
+    e = _emb(spark, sf)
+    b = e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("vec_b"))
+    return e.join(b, "id")
+
+
+def _dsql(a, b):
+    return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+NEXT = S.with_(EV, "np AS (SELECT a.id, a.vec, b.vec AS vec_b FROM ev a JOIN ev b ON b.id = a.id + 1)")
+
+
+@register("m1_dot", NEXT + f"SELECT id, round({_dsql('vec', 'vec_b')}, 6) AS dot FROM np")
+def q_m1(spark, sf):
+    return _next_pairs(spark, sf).select("id", r6(Mv.dot("vec", "vec_b")).alias("dot"))
+
+
+@register("m2_norm", S.with_(EV) + f"SELECT id, round(sqrt({_dsql('vec', 'vec')}), 6) AS norm FROM ev")
+def q_m2(spark, sf):
+    return _emb(spark, sf).select("id", r6(Mv.norm("vec")).alias("norm"))
+
+
+@register(
+    "m3_cosine",
+    NEXT + f"SELECT id, round({_dsql('vec', 'vec_b')} / (sqrt({_dsql('vec', 'vec')}) * sqrt({_dsql('vec_b', 'vec_b')})), 6) "
+    "AS cosine FROM np",
+)
+def q_m3(spark, sf):
+    return _next_pairs(spark, sf).select(
+        "id", r6(Mv.dot("vec", "vec_b") / (Mv.norm("vec") * Mv.norm("vec_b"))).alias("cosine"))
+
+
+EUC = "sqrt(list_sum(list_transform(range(len({a})), lambda j: ({a}[j + 1]::DOUBLE - {b}[j + 1]::DOUBLE) * ({a}[j + 1]::DOUBLE - {b}[j + 1]::DOUBLE))))"
+
+
+@register("m4_euclidean", NEXT + f"SELECT id, round({EUC.format(a='vec', b='vec_b')}, 6) AS euclidean FROM np")
+def q_m4(spark, sf):
+    return _next_pairs(spark, sf).select("id", r6(Mv.euclidean("vec", "vec_b")).alias("euclidean"))
+
+
+CEN = (
+    "cen AS (SELECT label AS cid, list(x ORDER BY j) AS vec FROM (SELECT label, j, avg(x::DOUBLE) AS x FROM "
+    "(SELECT label, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM ev) GROUP BY label, j) GROUP BY label)"
+)
+
+
+@register(
+    "m5_mean_vector",
+    S.with_(EV, CEN) + "SELECT cid AS label, j::BIGINT AS j, round(x, 6) AS x FROM "
+    "(SELECT cid, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM cen)",
+)
+def q_m5(spark, sf):
+    m = K.mean_vectors(_emb(spark, sf).drop("id"), "label")
+    return m.select("label", F.posexplode("vec").alias("j", "x")).select(
+        "label", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+# ------------------------------------------------------------------- clustering
+
+ASG = (
+    "asg AS (SELECT id, cid AS cluster, d AS dist FROM (SELECT e.id, c.cid, "
+    + EUC.format(a="e.vec", b="c.vec")
+    + " AS d FROM ev e, cen c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1)"
+)
+CT = (
+    "ct AS (SELECT e.label AS true_label, a.cluster AS pred_label, count(*) AS n FROM ev e JOIN asg a ON e.id = a.id "
+    "GROUP BY ALL),\n"
+    "ma AS (SELECT true_label, sum(n) AS a FROM ct GROUP BY true_label),\n"
+    "mb AS (SELECT pred_label, sum(n) AS b FROM ct GROUP BY pred_label),\n"
+    "tot AS (SELECT sum(n)::DOUBLE AS nn FROM ct),\n"
+    f"mi AS (SELECT CASE WHEN (SELECT count(*) FROM ma) = 1 OR (SELECT count(*) FROM mb) = 1 THEN 0.0 ELSE "
+    f"greatest(sum(CASE WHEN abs(t) < {K.EPS} THEN 0.0 ELSE t END), 0.0) END AS mi FROM (SELECT (n / nn) * (ln(n) - ln(nn)) "
+    "+ (n / nn) * (-ln(a::DOUBLE * b::DOUBLE) + ln(nn) + ln(nn)) AS t FROM ct JOIN ma USING (true_label) JOIN mb USING "
+    "(pred_label), tot)),\n"
+    "ha AS (SELECT sum(-(a / nn) * ln(a / nn)) AS ha, count(*) AS ka FROM ma, tot),\n"
+    "hb AS (SELECT sum(-(b / nn) * ln(b / nn)) AS hb, count(*) AS kb FROM mb, tot),\n"
+    "nmi AS (SELECT CASE WHEN ka = 1 AND kb = 1 THEN 1.0 WHEN mi = 0 THEN 0.0 ELSE mi / ((ha + hb) / 2.0) END AS nmi "
+    "FROM mi, ha, hb),\n"
+    "pc AS (SELECT (SELECT sum(n * n) FROM ct) AS sn2, (SELECT sum(n) FROM ct) AS nt, (SELECT sum(a * a) FROM ma) AS sa2, "
+    "(SELECT sum(b * b) FROM mb) AS sb2),\n"
+    "pq AS (SELECT sn2 - nt AS tp, sb2 - sn2 AS fp, sa2 - sn2 AS fn, nt * nt - (sb2 - sn2) - (sa2 - sn2) - sn2 AS tn FROM pc),\n"
+    "ari AS (SELECT CASE WHEN fn = 0 AND fp = 0 THEN 1.0 ELSE 2.0 * (tp::DOUBLE * tn::DOUBLE - fn::DOUBLE * fp::DOUBLE) / "
+    "((tp + fn)::DOUBLE * (fn + tn)::DOUBLE + (tp + fp)::DOUBLE * (fp + tn)::DOUBLE) END AS ari FROM pq),\n"
+    "pur AS (SELECT (SELECT sum(m) FROM (SELECT max(n) AS m FROM ct GROUP BY pred_label))::DOUBLE / "
+    "(SELECT sum(n) FROM ct)::DOUBLE AS purity)"
+)
+KSQL = S.with_(EV, CEN, ASG, CT)
+
+
+def _assigned(spark, sf):
+    e = _emb(spark, sf).cache()
+    cen = K.mean_vectors(e.drop("id"), "label").withColumnRenamed("label", "cid")
+    return e, K.assign_clusters(e, cen, "euclidean")
+
+
+def _cont(spark, sf):
+    e, a = _assigned(spark, sf)
+    return K.contingency(e, a).cache()
+
+
+@register("k3_assign_clusters", KSQL + "SELECT id, cluster::BIGINT AS cluster, round(dist, 6) AS dist FROM asg")
+def q_k3(spark, sf):
+    _, a = _assigned(spark, sf)
+    return a.select("id", F.col("cluster").cast("bigint"), r6("dist").alias("dist"))
+
+
+@register(
+    "k4_update_centers",
+    KSQL + ", upd AS (SELECT a.cluster AS cid, j, avg(x::DOUBLE) AS x FROM (SELECT id, unnest(range(len(vec))) AS j, "
+    "unnest(vec) AS x FROM ev) v JOIN asg a ON v.id = a.id GROUP BY a.cluster, j) "
+    "SELECT cid::BIGINT AS cid, j::BIGINT AS j, round(x, 6) AS x FROM upd",
+)
+def q_k4(spark, sf):
+    e, a = _assigned(spark, sf)
+    c = K.update_centers(e.select("id", "vec"), a)
+    return c.select(F.col("cid").cast("bigint"), F.posexplode("vec").alias("j", "x")).select(
+        "cid", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register(
+    "k5_contingency",
+    KSQL + "SELECT true_label::BIGINT AS true_label, pred_label::BIGINT AS pred_label, n::BIGINT AS n FROM ct",
+)
+def q_k5(spark, sf):
+    c = _cont(spark, sf)
+    return c.select(F.col("true_label").cast("bigint"), F.col("pred_label").cast("bigint"), F.col("n").cast("bigint"))
+
+
+@register("k6_mutual_info", KSQL + "SELECT round(mi, 6) AS mi FROM mi")
+def q_k6(spark, sf):
+    return K.mutual_info(_cont(spark, sf)).select(r6("mi").alias("mi"))
+
+
+@register("k7_normalized_mutual_info", KSQL + "SELECT round(nmi, 6) AS nmi FROM nmi")
+def q_k7(spark, sf):
+    return K.normalized_mutual_info(_cont(spark, sf)).select(r6("nmi").alias("nmi"))
+
+
+@register("k8_adjusted_rand", KSQL + "SELECT round(ari, 6) AS ari FROM ari")
+def q_k8(spark, sf):
+    return K.adjusted_rand(_cont(spark, sf)).select(r6("ari").alias("ari"))
+
+
+@register("k9_purity", KSQL + "SELECT round(purity, 6) AS purity FROM pur")
+def q_k9(spark, sf):
+    return K.purity(_cont(spark, sf)).select(r6("purity").alias("purity"))
+
+
+@register(
+    "k10_cluster_report",
+    KSQL + "SELECT round(mi, 6) AS mi, round(nmi, 6) AS nmi, round(ari, 6) AS ari, round(purity, 6) AS purity "
+    "FROM mi, nmi, ari, pur",
+)
+def q_k10(spark, sf):
+    r = K.cluster_report(_cont(spark, sf))
+    return r.select(*[r6(c).alias(c) for c in ("mi", "nmi", "ari", "purity")])
+
+
+@register("k1_kmeans")
+def q_k1(spark, sf):
+    return K.kmeans(_emb(spark, sf), 10, seed=SEED)
+
+
+@register("k2_spherical_kmeans")
+def q_k2(spark, sf):
+    return K.kmeans(_emb(spark, sf), 10, seed=SEED, spherical=True)
+
+
+WEMB = "wemb AS (SELECT v.word AS key, x.vec FROM vecs x JOIN vocab v ON x.id = v.idx WHERE x.role = 'u')"
+SPLIT_DOCS = (
+    f"sd AS (SELECT doc_id, unnest(string_split({_strip_sql('text')}, ' ')) AS word FROM documents)"
+)
+DOCMEAN = S.with_(
+    S.tok(), S.counts(), S.vocab(MIN_COUNT), S.vecs(DIM), WEMB, SPLIT_DOCS,
+    "dm AS (SELECT d.doc_id, j, avg(x::DOUBLE) AS x FROM (SELECT sd.doc_id, unnest(range(len(w.vec))) AS j, "
+    "unnest(w.vec) AS x FROM sd JOIN wemb w ON sd.word = w.key) d GROUP BY d.doc_id, j)",
+)
+
+
+def _word_emb(spark, sf):
+    v = vocab(spark, sf)
+    vec = _vectors(spark, sf).filter("role = 'u'")
+    return vec.join(v.select(F.col("idx").alias("id"), F.col("word").alias("key")), "id").select("key", "vec")
+
+
+def _doc_means(spark, sf):
+    docs_ = load(spark, sf, "documents")
+    return K.doc_mean_embedding(C.split_simple(docs_), _word_emb(spark, sf), docs_.select("doc_id"))
+
+
+@register(
+    "k11_doc_mean_embedding",
+    DOCMEAN + "SELECT d.doc_id, m.j::BIGINT AS j, round(m.x, 6) AS x FROM documents d LEFT JOIN dm m ON d.doc_id = m.doc_id",
+)
+def q_k11(spark, sf):
+    m = _doc_means(spark, sf)
+    return m.select("doc_id", F.posexplode_outer("vec").alias("j", "x")).select(
+        "doc_id", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register(
+    "t11_l2_normalize",
+    DOCMEAN + ", dn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM dm GROUP BY doc_id) "
+    "SELECT d.doc_id, m.j::BIGINT AS j, round(CAST(m.x / dn.n AS FLOAT)::DOUBLE, 6) AS x FROM documents d "
+    "LEFT JOIN dm m ON d.doc_id = m.doc_id LEFT JOIN dn ON m.doc_id = dn.doc_id",
+)
+def q_t11(spark, sf):
+    m = Mv.l2_normalize(_doc_means(spark, sf), "vec")
+    return m.select("doc_id", F.posexplode_outer("vec").alias("j", "x")).select(
+        "doc_id", F.col("j").cast("bigint"), r6(F.col("x").cast("double")).alias("x"))
+
+
+# ------------------------------------------------------------------- similarity
+
+BENCH_SQL = S.with_(
+    S.tok(), S.counts(), S.vocab(MIN_COUNT), S.vecs(DIM), WEMB,
+    f"bt AS (SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT item_id, "
+    f"string_split(lower({_strip_sql('text')}), ' ') AS a FROM benchmark))",
+    "bp0 AS (SELECT 'adjacent' AS benchmark, item_id, pos, w AS w1, lead(w, 1) OVER (PARTITION BY item_id ORDER BY pos) "
+    "AS w2 FROM bt UNION ALL SELECT 'skip', item_id, pos, w, lead(w, 2) OVER (PARTITION BY item_id ORDER BY pos) FROM bt)",
+    "bp AS (SELECT benchmark, w1, w2, max_by(((item_id + pos) % 11)::DOUBLE, item_id * 1000000 + pos) AS score FROM bp0 "
+    "WHERE w2 IS NOT NULL GROUP BY benchmark, w1, w2)",
+    "cov AS (SELECT p.benchmark, count(*)::BIGINT AS n_pairs, sum(CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL "
+    "THEN 1 ELSE 0 END)::BIGINT AS n_covered FROM bp p LEFT JOIN wemb a ON p.w1 = a.key LEFT JOIN wemb b ON p.w2 = b.key "
+    "GROUP BY p.benchmark)",
+    "sim AS (SELECT p.benchmark, p.w1, p.w2, p.score, "
+    + _dsql("a.vec", "b.vec") + " / (sqrt(" + _dsql("a.vec", "a.vec") + ") * sqrt(" + _dsql("b.vec", "b.vec") + ")) AS sim "
+    "FROM bp p JOIN wemb a ON p.w1 = a.key JOIN wemb b ON p.w2 = b.key)",
+    "rk AS (SELECT benchmark, rank() OVER (PARTITION BY benchmark ORDER BY score) + (count(*) OVER (PARTITION BY benchmark, "
+    "score) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY benchmark ORDER BY sim) + (count(*) OVER (PARTITION BY benchmark, "
+    "sim) - 1) / 2.0 AS ry FROM sim)",
+    "rho AS (SELECT benchmark, corr(rx, ry) AS spearman FROM rk GROUP BY benchmark)",
+)
+
+
+def _bench_pairs(spark, sf):
+    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower(F.col("text")).alias("text"))
+    t = C.split_simple(b).withColumnRenamed("doc_id", "item_id")
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("item_id").orderBy("pos")
+    p = t.select("item_id", "pos", F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("a"),
+                 F.lead("word", 2).over(w).alias("s"))
+    p = p.select("item_id", "pos", "w1", F.explode(F.array(
+        F.struct(F.lit("adjacent").alias("benchmark"), F.col("a").alias("w2")),
+        F.struct(F.lit("skip").alias("benchmark"), F.col("s").alias("w2")))).alias("x")).select(
+        "item_id", "pos", "w1", "x.benchmark", "x.w2").filter(F.col("w2").isNotNull())
+    score = ((F.col("item_id") + F.col("pos")) % 11).cast("double")
+    key = F.col("item_id") * F.lit(1000000) + F.col("pos")
+    return p.groupBy("benchmark", "w1", "w2").agg(F.max_by(score, key).alias("score"))
+
+
+@register("e1_pair_coverage", BENCH_SQL + "SELECT benchmark, n_pairs, n_covered FROM cov")
+def q_e1(spark, sf):
+    return E.pair_coverage(_bench_pairs(spark, sf), _word_emb(spark, sf))
+
+
+@register("e2_pair_similarity", BENCH_SQL + "SELECT benchmark, w1, w2, score, round(sim, 6) AS sim FROM sim")
+def q_e2(spark, sf):
+    s = E.pair_similarity(_bench_pairs(spark, sf), _word_emb(spark, sf))
+    return s.select("benchmark", "w1", "w2", "score", r6("sim").alias("sim"))
+
+
+@register("e3_spearman", BENCH_SQL + "SELECT benchmark, round(spearman, 6) AS spearman FROM rho")
+def q_e3(spark, sf):
+    s = E.pair_similarity(_bench_pairs(spark, sf), _word_emb(spark, sf))
+    return E.spearman(s, "benchmark", "score", "sim").select("benchmark", r6("spearman").alias("spearman"))
+
+
+@register(
+    "e4_similarity_report",
+    BENCH_SQL + "SELECT c.benchmark, c.n_pairs, c.n_covered, round(r.spearman, 6) AS spearman FROM cov c LEFT JOIN rho r "
+    "ON c.benchmark = r.benchmark",
+)
+def q_e4(spark, sf):
+    r = E.similarity_report(_bench_pairs(spark, sf), _word_emb(spark, sf))
+    return r.select("benchmark", "n_pairs", "n_covered", r6("spearman").alias("spearman"))
+
+
+# ------------------------------------------------------------------- classification
+
+TRAIN_SHARE = 0.8
+LSQL = S.with_(
+    EV,
+    "cut AS (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS n FROM embeddings)",
+    "tr AS (SELECT * FROM ev WHERE id < (SELECT n FROM cut))",
+    "te AS (SELECT * FROM ev WHERE id >= (SELECT n FROM cut))",
+    "nb AS (SELECT t.id AS test_id, r.id AS train_id, r.label, " + EUC.format(a="t.vec", b="r.vec")
+    + " AS dist FROM te t, tr r QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY dist, r.id) <= 3)",
+    "nbr AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY dist, train_id) AS rank FROM nb)",
+    "vote AS (SELECT test_id, label AS pred FROM (SELECT test_id, label, count(*) AS n FROM nb GROUP BY test_id, label) "
+    "QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY n DESC, label) = 1)",
+    "conf AS (SELECT label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ("
+    "SELECT t.label, CAST(t.label = v.pred AS INT) AS tp, 0 AS fp, CAST(t.label <> v.pred AS INT) AS fn FROM te t JOIN vote v "
+    "ON t.id = v.test_id UNION ALL SELECT v.pred, 0, CAST(t.label <> v.pred AS INT), 0 FROM te t JOIN vote v ON t.id = v.test_id)"
+    " GROUP BY label)",
+    "f1m AS (SELECT avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END) AS f1_macro FROM conf)",
+    "f1u AS (SELECT CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) = 0 THEN 0.0 ELSE 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + "
+    "sum(fn)) END AS f1_micro FROM conf)",
+)
+
+
+def _split(spark, sf):
+    e = _emb(spark, sf)
+    total = e.count()
+    import math as _m
+
+    return L.split_positional(e, int(_m.floor(total * TRAIN_SHARE)), total)
+
+
+def _neighbours(spark, sf):
+    tr, te = _split(spark, sf)
+    return L.knn(tr, te, 3), te
+
+
+@register("l1_split_positional", LSQL + "SELECT id, 'train' AS part FROM tr UNION ALL SELECT id, 'test' FROM te")
+def q_l1(spark, sf):
+    tr, te = _split(spark, sf)
+    return tr.select("id", F.lit("train").alias("part")).unionByName(te.select("id", F.lit("test").alias("part")))
+
+
+@register("l2_knn", LSQL + "SELECT test_id, rank::BIGINT AS rank, train_id, round(dist, 6) AS dist FROM nbr")
+def q_l2(spark, sf):
+    nb, _ = _neighbours(spark, sf)
+    return nb.select("test_id", F.col("rank").cast("bigint"), "train_id", r6("dist").alias("dist"))
+
+
+@register("l3_majority_vote", LSQL + "SELECT test_id, pred::BIGINT AS pred FROM vote")
+def q_l3(spark, sf):
+    nb, _ = _neighbours(spark, sf)
+    return L.majority_vote(nb).select("test_id", F.col("pred").cast("bigint"))
+
+
+@register("l4_confusion", LSQL + "SELECT label::BIGINT AS label, tp, fp, fn FROM conf")
+def q_l4(spark, sf):
+    nb, te = _neighbours(spark, sf)
+    c = L.confusion(te, L.majority_vote(nb))
+    return c.select(F.col("label").cast("bigint"), "tp", "fp", "fn")
+
+
+@register("l5_f1_macro", LSQL + "SELECT round(f1_macro, 6) AS f1_macro FROM f1m")
+def q_l5(spark, sf):
+    nb, te = _neighbours(spark, sf)
+    return L.f1_macro(L.confusion(te, L.majority_vote(nb))).select(r6("f1_macro").alias("f1_macro"))
+
+
+@register("l6_f1_micro", LSQL + "SELECT round(f1_micro, 6) AS f1_micro FROM f1u")
+def q_l6(spark, sf):
+    nb, te = _neighbours(spark, sf)
+    return L.f1_micro(L.confusion(te, L.majority_vote(nb))).select(r6("f1_micro").alias("f1_micro"))
+
+
+@register(
+    "l7_classification_report",
+    LSQL + "SELECT round(f1_macro, 6) AS f1_macro, round(f1_micro, 6) AS f1_micro, (SELECT count(*) FROM te) AS n_test "
+    "FROM f1m, f1u",
+)
+def q_l7(spark, sf):
+    nb, te = _neighbours(spark, sf)
+    r = L.classification_report(te, L.majority_vote(nb))
+    return r.select(r6("f1_macro").alias("f1_macro"), r6("f1_micro").alias("f1_micro"), "n_test")
