@@ -16,23 +16,23 @@ from sphaera.functions.keyed import uniform
 from sphaera.operators.sampling import CorpusScalars, draw_negatives
 
 
-def skipgram_pairs(kept: DataFrame, window: int) -> DataFrame:
+def skipgram_pairs(kept: DataFrame, window: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """G1: for every kept position (context ``ctx`` = its word) each other
     position of the same segment within ``radius``: ``center`` = that word,
-    ``off`` = signed distance."""
+    ``off`` = signed distance. ``carry`` columns are passed through."""
     frame = Window.partitionBy("doc_id", "seg").orderBy("kpos").rowsBetween(-window, window)
     near = F.collect_list(F.struct(F.col("kpos").alias("p"), F.col("idx").alias("i"))).over(frame)
-    w = kept.select("doc_id", "seg", "kpos", "idx", "radius", near.alias("near"))
-    e = w.select("doc_id", "seg", "kpos", F.col("idx").alias("ctx"), "radius", F.explode("near").alias("n"))
+    w = kept.select("doc_id", "seg", "kpos", "idx", "radius", *carry, near.alias("near"))
+    e = w.select("doc_id", "seg", "kpos", F.col("idx").alias("ctx"), "radius", *carry, F.explode("near").alias("n"))
     off = F.col("n.p") - F.col("kpos")
     return e.filter((off != 0) & (F.abs(off) <= F.col("radius"))).select(
-        "doc_id", "seg", "kpos", off.cast("bigint").alias("off"), "ctx", F.col("n.i").alias("center")
+        "doc_id", "seg", "kpos", off.cast("bigint").alias("off"), "ctx", F.col("n.i").alias("center"), *carry
     )
 
 
-def doc_word_pairs(kept: DataFrame) -> DataFrame:
+def doc_word_pairs(kept: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(document, word) once per kept position."""
-    return kept.select("doc_id", "kpos", F.col("idx").alias("word"))
+    return kept.select("doc_id", "kpos", F.col("idx").alias("word"), *carry)
 
 
 def _with_draws(df: DataFrame, negative: int, seed: int, op: str, epoch: int, keys: list[str]) -> DataFrame:
