@@ -983,3 +983,28 @@ def q_l7(spark, sf):
     nb, te = _neighbours(spark, sf)
     r = L.classification_report(te, L.majority_vote(nb))
     return r.select(r6("f1_macro").alias("f1_macro"), r6("f1_micro").alias("f1_micro"), "n_test")
+
+
+# ------------------------------------------------------------------- fit
+
+from sphaera.params import Params  # noqa: E402
+
+FIT_PARAMS = Params(dim=16, iter=2, window=WINDOW, negative=NEGATIVE, min_count=MIN_COUNT, sample=SAMPLE, seed=SEED)
+
+
+@register("t8_fit")
+def q_t8(spark, sf):
+    """Vector norms of all three trained tables (rows = 2V + D); iterative,
+    so no SQL oracle."""
+    from sphaera.plans.fit import fit
+
+    r = fit(load(spark, sf, "documents"), FIT_PARAMS)
+    return r.vectors().select("role", "id", r6(Mv.norm("vec")).alias("norm"))
+
+
+@register("t9_fit_objective")
+def q_t9_fit(spark, sf):
+    """Per-epoch hinge loss and active share reported by the trainer."""
+    from sphaera.plans.fit import fit
+
+    return fit(load(spark, sf, "documents"), FIT_PARAMS).objective
