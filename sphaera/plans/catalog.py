@@ -1008,3 +1008,159 @@ def q_t9_fit(spark, sf):
     from sphaera.plans.fit import fit
 
     return fit(load(spark, sf, "documents"), FIT_PARAMS).objective
+
+
+# ------------------------------------------------------------------- sources / sinks
+
+from sphaera.session import scratch_path  # noqa: E402
+from sphaera.sources import benchmarks_io as B  # noqa: E402
+from sphaera.sources import corpus_io as CI  # noqa: E402
+from sphaera.sources import embedding_io as EI  # noqa: E402
+from sphaera.sources import labels_io as LI  # noqa: E402
+from sphaera.sources import vocab_io as VI  # noqa: E402
+from sphaera.sources.lines import write_ordered_lines  # noqa: E402
+
+
+@register(
+    "s1_read_corpus",
+    "SELECT (row_number() OVER (ORDER BY doc_id, line_no) - 1)::BIGINT AS doc_id, text FROM ("
+    "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS text FROM "
+    "(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
+)
+def q_s1(spark, sf):
+    """Every line of the documents written as a one-document-per-line text
+    corpus in the shared scratch folder, then read back and numbered."""
+    lines = C.line_documents(load(spark, sf, "documents")).select(
+        (F.col("doc_id") * F.lit(1 << 20) + F.col("line_no")).alias("o"), F.col("text").alias("value"))
+    path = scratch_path(spark, "corpus-text")
+    write_ordered_lines(lines, "o", path)
+    return CI.read_corpus(spark, path)
+
+
+VOC_LINES = VOC + ", vl AS (SELECT idx, word || ' ' || CAST(cn AS VARCHAR) AS value FROM vocab)"
+
+
+@register("s3_write_vocab", VOC_LINES + " SELECT idx::BIGINT AS idx, value FROM vl")
+def q_s3(spark, sf):
+    return VI.vocab_lines(vocab(spark, sf))
+
+
+@register("s2_read_vocab", VOC + "SELECT idx::BIGINT AS idx, word, cn::BIGINT AS cn FROM vocab")
+def q_s2(spark, sf):
+    path = scratch_path(spark, "vocab-text")
+    VI.write_vocab(vocab(spark, sf), path)
+    return V.import_vocab(VI.read_vocab(spark, path), MIN_COUNT)
+
+
+def _emb_line_sql(role: str, key: str, order: str) -> str:
+    return (
+        f"SELECT 0::BIGINT AS line_no, CAST(count(*) AS VARCHAR) || ' {DIM}' AS value FROM vecs WHERE role = '{role}' "
+        f"UNION ALL SELECT ({order} + 1)::BIGINT, CAST({key} AS VARCHAR) || ' ' || array_to_string(list_transform(x.vec, "
+        f"lambda y: printf('%.6f', y::DOUBLE)), ' ') || ' ' FROM vecs x {'JOIN vocab v ON x.id = v.idx' if key == 'v.word' else ''} "
+        f"WHERE x.role = '{role}'"
+    )
+
+
+def _emb_lines(spark, sf, role):
+    vec = _vectors(spark, sf).filter(F.col("role") == role)
+    if role == "d":
+        return EI.embedding_lines(vec, "id", "id", DIM)
+    keyed = vec.join(vocab(spark, sf).select(F.col("idx").alias("id"), "word"), "id")
+    return EI.embedding_lines(keyed, "word", "id", DIM)
+
+
+@register("s6_write_word_embeddings", VEC + _emb_line_sql("u", "v.word", "x.id"))
+def q_s6(spark, sf):
+    return _emb_lines(spark, sf, "u")
+
+
+@register("s7_write_context_embeddings", VEC + _emb_line_sql("v", "v.word", "x.id"))
+def q_s7(spark, sf):
+    return _emb_lines(spark, sf, "v")
+
+
+@register("s8_write_doc_embeddings", VEC + _emb_line_sql("d", "x.id", "x.id"))
+def q_s8(spark, sf):
+    return _emb_lines(spark, sf, "d")
+
+
+@register(
+    "s4_read_word_embeddings",
+    VEC + ", wl AS (SELECT v.word AS key, x.vec FROM vecs x JOIN vocab v ON x.id = v.idx WHERE x.role = 'u') "
+    "SELECT key, unnest(range(len(vec)))::BIGINT AS j, round(CAST(printf('%.6f', unnest(vec)::DOUBLE) AS DOUBLE), 6) AS x FROM wl",
+)
+def q_s4(spark, sf):
+    path = scratch_path(spark, "word-emb-text")
+    write_ordered_lines(_emb_lines(spark, sf, "u"), "line_no", path)
+    e = EI.read_word_embeddings(spark, path, DIM)
+    return e.select("key", F.posexplode("vec").alias("j", "x")).select("key", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register(
+    "s5_read_doc_embeddings",
+    VEC + "SELECT id AS doc_id, unnest(range(len(vec)))::BIGINT AS j, "
+    "round(CAST(printf('%.6f', unnest(vec)::DOUBLE) AS DOUBLE), 6) AS x FROM vecs WHERE role = 'd'",
+)
+def q_s5(spark, sf):
+    path = scratch_path(spark, "doc-emb-text")
+    write_ordered_lines(_emb_lines(spark, sf, "d"), "line_no", path)
+    e = EI.read_doc_embeddings(spark, path)
+    return e.select("doc_id", F.posexplode("vec").alias("j", "x")).select("doc_id", F.col("j").cast("bigint"),
+                                                                          r6("x").alias("x"))
+
+
+@register(
+    "s9_read_labels",
+    "SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, quality::INT AS label FROM labels",
+)
+def q_s9(spark, sf):
+    """The ``labels`` table written as a 1-based label file (quality + 1 per
+    line, in doc order) and read back."""
+    lab = load(spark, sf, "labels").select(F.col("doc_id").alias("o"), (F.col("quality") + 1).cast("string").alias("value"))
+    path = scratch_path(spark, "labels-text")
+    write_ordered_lines(lab, "o", path)
+    return LI.read_labels(spark, path)
+
+
+def _pair_lines(spark, sf, fmt: str):
+    clean = "^[^ \t\n\r\x0B\x0C,]+$"
+    p = _bench_pairs(spark, sf).filter(
+        (F.col("benchmark") == "adjacent") & F.col("w1").rlike(clean) & F.col("w2").rlike(clean))
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("w1", "w2")
+    p = p.withColumn("o", F.row_number().over(w))
+    s = F.format_string("%.2f", "score")
+    if fmt == "csv":
+        body = p.select("o", F.concat_ws(",", "w1", "w2", s).alias("value"))
+        head = "Word 1,Word 2,Human (mean)"
+    elif fmt == "men":
+        body = p.select("o", F.concat_ws(" ", "w1", "w2", s).alias("value"))
+        head = None
+    else:
+        body = p.select("o", F.concat_ws("\t", "w1", "w2", F.lit("N"), s, *[F.lit("1") for _ in range(6)]).alias("value"))
+        head = "word1\tword2\tPOS\tSimLex999\tconc(w1)\tconc(w2)\tconcQ\tAssoc(USF)\tSimAssoc333\tSD(SimLex)"
+    if head is not None:
+        body = body.unionByName(spark.createDataFrame([(0, head)], "o long, value string"))
+    path = scratch_path(spark, f"pairs-{fmt}")
+    write_ordered_lines(body, "o", path)
+    return path
+
+
+PAIRS_SQL = BENCH_SQL + (
+    ", ap AS (SELECT w1, w2, round(score, 2) AS score FROM bp WHERE benchmark = 'adjacent' "
+    "AND regexp_full_match(w1, '[^ \\t\\n\\r\\x0B\\x0C,]+') AND regexp_full_match(w2, '[^ \\t\\n\\r\\x0B\\x0C,]+')) "
+)
+
+
+@register("s10_read_pairs_wordsim", PAIRS_SQL + "SELECT w1, w2, score FROM ap")
+def q_s10(spark, sf):
+    return B.read_pairs(spark, _pair_lines(spark, sf, "csv"), "wordsim353").select("w1", "w2", "score")
+
+
+@register("s11_read_pairs_men", PAIRS_SQL + "SELECT w1, w2, score FROM ap")
+def q_s11(spark, sf):
+    return B.read_pairs(spark, _pair_lines(spark, sf, "men"), "men").select("w1", "w2", "score")
+
+
+@register("s12_read_pairs_simlex", PAIRS_SQL + "SELECT w1, w2, score FROM ap")
+def q_s12(spark, sf):
+    return B.read_pairs(spark, _pair_lines(spark, sf, "simlex"), "simlex").select("w1", "w2", "score")
