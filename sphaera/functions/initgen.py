@@ -62,3 +62,17 @@ def state_after(n: int) -> int:
     for _ in range(n):
         x = (x * LCG_MULTIPLIER + LCG_INCREMENT) % (1 << 64)
     return x & (MOD - 1)
+
+
+def state_table():
+    """``table[n]`` = low 16 bits after ``n + 1`` steps from 1 (the full
+    period), built by the rule above; 65536 entries."""
+    import numpy as np
+
+    a, c = LCG_MULTIPLIER % MOD, LCG_INCREMENT % MOD
+    out = np.empty(MOD, dtype=np.int64)
+    x = LCG_START
+    for i in range(MOD):
+        x = (a * x + c) % MOD
+        out[i] = x
+    return out

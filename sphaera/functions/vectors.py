@@ -81,12 +81,13 @@ def l2_normalize(df, col: str, out: str | None = None, as_float: bool = True):
     return res
 
 
-def array_sum_agg(col: str, dim: int) -> Column:
-    """Elementwise sum of the arrays of a group. ``collect_list`` has a
-    partial (map-side) phase, so each task ships one list per key."""
-    zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    return F.aggregate(
-        F.collect_list(col),
-        zero,
-        lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q.cast("double")),
-    )
+def element_aggs(col: str, dim: int, fn=F.sum, prefix: str = "_e") -> list[Column]:
+    """One aggregate per element of a fixed-length array column: a plain
+    hash aggregate with a map-side partial phase, so a hot key costs one
+    partial row per task however many arrays it has."""
+    return [fn(F.col(col)[j].cast("double")).alias(f"{prefix}{j}") for j in range(dim)]
+
+
+def element_array(dim: int, prefix: str = "_e") -> Column:
+    """Reassemble the columns of :func:`element_aggs` into one array."""
+    return F.array(*[F.col(f"{prefix}{j}") for j in range(dim)])

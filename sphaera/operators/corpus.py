@@ -169,9 +169,11 @@ def doc_lengths(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
-def segment(kept: DataFrame, max_len: int = MAX_SEGMENT) -> DataFrame:
+def segment(kept: DataFrame, max_len: int = MAX_SEGMENT, by: tuple[str, ...] = ()) -> DataFrame:
     """Kept tokens renumbered ``kpos`` (0-based) and cut into runs of
-    ``max_len``: ``seg = kpos div max_len``; windows never cross a run."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    ``max_len``: ``seg = kpos div max_len``; windows never cross a run.
+    ``by``: coarser keys the data is already partitioned on (kept in the
+    window keys so no shuffle is added)."""
+    w = Window.partitionBy(*by, "doc_id").orderBy("pos")
     k = kept.withColumn("kpos", F.row_number().over(w) - 1)
     return k.withColumn("seg", F.floor(F.col("kpos") / F.lit(max_len)).cast("int"))

@@ -16,11 +16,11 @@ from sphaera.functions.keyed import uniform
 from sphaera.operators.sampling import CorpusScalars, draw_negatives
 
 
-def skipgram_pairs(kept: DataFrame, window: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def skipgram_pairs(kept: DataFrame, window: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """G1: for every kept position (context ``ctx`` = its word) each other
     position of the same segment within ``radius``: ``center`` = that word,
     ``off`` = signed distance. ``carry`` columns are passed through."""
-    frame = Window.partitionBy("doc_id", "seg").orderBy("kpos").rowsBetween(-window, window)
+    frame = Window.partitionBy(*by, "doc_id", "seg").orderBy("kpos").rowsBetween(-window, window)
     near = F.collect_list(F.struct(F.col("kpos").alias("p"), F.col("idx").alias("i"))).over(frame)
     w = kept.select("doc_id", "seg", "kpos", "idx", "radius", *carry, near.alias("near"))
     e = w.select("doc_id", "seg", "kpos", F.col("idx").alias("ctx"), "radius", *carry, F.explode("near").alias("n"))

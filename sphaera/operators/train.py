@@ -30,13 +30,30 @@ def init_rows(ids: DataFrame, role: str, dim: int, row_offset, pos_col: str = "i
     """T1 for the rows of ``ids``: the row at stream row ``pos_col`` takes
     elements ``(row_offset + pos) * dim + j``; normalised (T11).
 
-    ``row_offset`` is an int or a SQL expression text."""
+    Arrow-batched: the generator's 65536 states are one table built by its
+    rule on each worker, so a vector is a vectorised table lookup. The norm
+    is summed element by element in order, as the SQL form does.
+    ``row_offset`` is an int."""
+    fn = _init_udf(dim, int(row_offset))
+    return ids.select(F.lit(role).alias("role"), F.col(id_col).cast("bigint").alias("id"),
+                      fn(F.col(pos_col).cast("bigint")).alias("vec"))
+
+
+def init_rows_sql(ids: DataFrame, role: str, dim: int, row_offset, pos_col: str = "id", id_col: str = "id") -> DataFrame:
+    """T1 as one SQL expression (the closed form), kept as the JVM-only path."""
     flat = f"((({row_offset}) + {pos_col}) * {dim} + j)"
     raw = F.expr(f"transform(sequence(0, {dim - 1}), j -> {init_value_sql(flat, dim)})")
     df = ids.select(F.lit(role).alias("role"), F.col(id_col).cast("bigint").alias("id"), raw.alias("vec"))
     return M.l2_normalize(df, "vec")
 
 
+def _init_udf(dim: int, row_offset: int):
+    from sphaera.functions.arrow_udfs import init_vectors_udf
+
+    return init_vectors_udf(dim, row_offset)
+
+
+
 def init_vectors(vocab: DataFrame, doc_ids: DataFrame, dim: int, vocab_size: int) -> DataFrame:
     """Context rows first, then center rows, then documents, as one
     stream; every row is independent, so this is a pure projection."""
@@ -113,16 +130,12 @@ def triple_deltas(fwd: DataFrame, anchor_role: str, anchor: str, pos: str, alpha
     return act.select(F.explode(rows).alias("r")).select("r.role", "r.id", "r.delta")
 
 
-def sum_deltas(deltas: DataFrame) -> DataFrame:
-    """Elementwise sum per ``(role, id)``: exploded to ``(role, id, j)`` so
-    the aggregate combines map-side even for the hottest words, then each
-    row's ``dim`` sums are put back in order."""
-    e = deltas.select("role", "id", F.posexplode("delta").alias("j", "x"))
-    s = e.groupBy("role", "id", "j").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    g = s.groupBy("role", "id").agg(
-        F.array_sort(F.collect_list(F.struct("j", "x"))).alias("xs"), F.max("n").alias("n")
-    )
-    return g.select("role", "id", F.transform("xs", lambda z: z["x"]).alias("delta"), "n")
+def sum_deltas(deltas: DataFrame, dim: int) -> DataFrame:
+    """Elementwise sum per ``(role, id)`` as ``dim`` plain sums: the
+    aggregate combines map-side, so the hottest words cost one partial row
+    per task; ``n`` counts the summed rows."""
+    g = deltas.groupBy("role", "id").agg(*M.element_aggs("delta", dim), F.count(F.lit(1)).alias("n"))
+    return g.select("role", "id", M.element_array(dim).alias("delta"), "n")
 
 
 def apply_deltas(vectors: DataFrame, summed: DataFrame, scale: str | None = None) -> DataFrame:
@@ -139,7 +152,8 @@ def apply_deltas(vectors: DataFrame, summed: DataFrame, scale: str | None = None
     return out.filter(~F.col("_t")).drop("_t").unionByName(touched)
 
 
-def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha: float, margin: float) -> DataFrame:
+def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha: float, margin: float,
+               dim: int) -> DataFrame:
     """One synchronous step: gradients of all triples from one snapshot,
     deltas summed per row, added, retracted."""
     wf = margin_forward(word_tr, vectors, "v", "ctx", "center", margin)
@@ -147,7 +161,7 @@ def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha:
     deltas = triple_deltas(wf, "v", "ctx", "center", alpha).unionByName(
         triple_deltas(df_, "d", "doc_id", "word", alpha)
     )
-    return apply_deltas(vectors, sum_deltas(deltas))
+    return apply_deltas(vectors, sum_deltas(deltas, dim))
 
 
 def alpha_expr(alpha0: float, done, iters: int, train_words: int):

@@ -507,7 +507,7 @@ def q_t3(spark, sf):
 
 
 def _delta_long(d):
-    s = T.sum_deltas(d)
+    s = T.sum_deltas(d, DIM)
     return s.select("role", "id", F.posexplode("delta").alias("j", "x")).select(
         "role", "id", F.col("j").cast("bigint"), r6("x").alias("x"))
 
@@ -551,7 +551,7 @@ def q_t5(spark, sf):
 )
 def q_t6(spark, sf):
     wt, dt = _triples(spark, sf)
-    return _long(T.batch_step(_vectors(spark, sf), wt, dt, ALPHA, MARGIN))
+    return _long(T.batch_step(_vectors(spark, sf), wt, dt, ALPHA, MARGIN, DIM))
 
 
 def _shards(spark, sf):
