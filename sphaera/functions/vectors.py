@@ -14,8 +14,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def dot(a, b) -> Column:
-    """M1: sum of element products, accumulated in DOUBLE."""
+def _unrolled_sum(terms: list[Column]) -> Column:
+    acc = terms[0]
+    for t in terms[1:]:
+        acc = acc + t
+    return acc
+
+
+def dot(a, b, dim: int | None = None) -> Column:
+    """M1: sum of element products, accumulated in DOUBLE, left to right.
+
+    With a known ``dim`` the sum is unrolled into element accesses, which
+    whole-stage codegen compiles (higher-order array functions are
+    interpreted); both forms add in the same order, so they agree bit for
+    bit."""
+    if dim is not None:
+        x, y = _c(a), _c(b)
+        return _unrolled_sum([x[j].cast("double") * y[j].cast("double") for j in range(dim)])
     return F.aggregate(
         F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
         F.lit(0.0).cast("double"),
@@ -23,15 +38,15 @@ def dot(a, b) -> Column:
     )
 
 
-def norm(a) -> Column:
+def norm(a, dim: int | None = None) -> Column:
     """M2: Euclidean length."""
-    return F.sqrt(dot(a, a))
+    return F.sqrt(dot(a, a, dim))
 
 
-def cosine(a, b) -> Column:
+def cosine(a, b, dim: int | None = None) -> Column:
     """M3: dot / (|a| |b|); the product keeps cos(a, b) == cos(b, a) bit
     for bit, so tied pairs stay tied for rank statistics."""
-    return dot(a, b) / (norm(a) * norm(b))
+    return dot(a, b, dim) / (norm(a, dim) * norm(b, dim))
 
 
 def euclidean(a, b) -> Column:
@@ -64,17 +79,25 @@ def to_float(a) -> Column:
     return F.transform(_c(a), lambda x: x.cast("float"))
 
 
-def divide(a, n) -> Column:
+def divide(a, n, dim: int | None = None, as_float: bool = False) -> Column:
     """T11 retraction once the norm ``n`` is known (null for a zero vector)."""
     n = _c(n)
+    if dim is not None:
+        x = _c(a)
+        els = [x[j].cast("double") / n for j in range(dim)]
+        if as_float:
+            els = [e.cast("float") for e in els]
+        return F.when(n > 0, F.array(*els)).otherwise(F.lit(None))
     return F.when(n > 0, F.transform(_c(a), lambda x: (x / n))).otherwise(F.lit(None))
 
 
-def l2_normalize(df, col: str, out: str | None = None, as_float: bool = True):
+def l2_normalize(df, col: str, out: str | None = None, as_float: bool = True, dim: int | None = None):
     """T11 on a DataFrame: two projections, so the norm is computed once and
     the array expression is not duplicated by projection collapsing."""
     out = out or col
     tmp = f"__norm_{col}"
+    if dim is not None:
+        return df.withColumn(tmp, norm(col, dim)).withColumn(out, divide(col, tmp, dim, as_float)).drop(tmp)
     res = df.withColumn(tmp, norm(col)).withColumn(out, divide(col, tmp)).drop(tmp)
     if as_float:
         res = res.withColumn(out, to_float(out))

@@ -96,23 +96,26 @@ def _gather(triples: DataFrame, vectors: DataFrame, role: str, key: str, name: s
 
 
 def margin_forward(triples: DataFrame, vectors: DataFrame, anchor_role: str, anchor: str, pos: str,
-                   margin: float) -> DataFrame:
+                   margin: float, dim: int | None = None) -> DataFrame:
     """``f = <u_pos, anchor>``, ``h = <u_neg, anchor>``, hinge loss and
     the strict ``f - h < margin`` activity flag. Three equi-joins to the
     vector table (AQE splits the hot frequent-word keys)."""
     t = _gather(triples, vectors, anchor_role, anchor, "a_vec")
     t = _gather(t, vectors, "u", pos, "u_vec")
     t = _gather(t, vectors, "u", "neg", "n_vec")
-    t = t.withColumn("f", M.dot("u_vec", "a_vec")).withColumn("h", M.dot("n_vec", "a_vec"))
+    t = t.withColumn("f", M.dot("u_vec", "a_vec", dim)).withColumn("h", M.dot("n_vec", "a_vec", dim))
     m = F.lit(float(margin))
     return t.withColumn("loss", F.greatest(F.lit(0.0), m - (F.col("f") - F.col("h")))).withColumn(
         "active", (F.col("f") - F.col("h")) < m
     )
 
 
-def triple_deltas(fwd: DataFrame, anchor_role: str, anchor: str, pos: str, alpha) -> DataFrame:
+def triple_deltas(fwd: DataFrame, anchor_role: str, anchor: str, pos: str, alpha, dim: int | None = None) -> DataFrame:
     """T4 (anchor = context word) / T5 (anchor = document): the three
-    gradient steps of every active triple as rows ``(role, id, delta)``."""
+    gradient steps of every active triple as rows ``(role, id, delta)``.
+    (Unrolling these for a known ``dim`` overflows the generated-code size
+    limit and falls back to slower interpretation, so they stay array
+    functions; ``dim`` is accepted for symmetry.)"""
     a = alpha if not isinstance(alpha, (int, float)) else F.lit(float(alpha))
     act = fwd.filter("active")
     f, h = F.col("f"), F.col("h")
@@ -138,7 +141,7 @@ def sum_deltas(deltas: DataFrame, dim: int) -> DataFrame:
     return g.select("role", "id", M.element_array(dim).alias("delta"), "n")
 
 
-def apply_deltas(vectors: DataFrame, summed: DataFrame, scale: str | None = None) -> DataFrame:
+def apply_deltas(vectors: DataFrame, summed: DataFrame, scale: str | None = None, dim: int | None = None) -> DataFrame:
     """Add summed deltas (optionally divided by ``sqrt(s)``, ``s`` = rows
     merged) and retract to the sphere; untouched rows pass through."""
     j = vectors.join(summed.select("role", "id", "delta", *( [scale] if scale else [])), ["role", "id"], "left")
@@ -156,6 +159,8 @@ def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha:
                dim: int) -> DataFrame:
     """One synchronous step: gradients of all triples from one snapshot,
     deltas summed per row, added, retracted."""
+    # array-function dots here: unrolled ones in the same stage as the
+    # array-function updates exceed the generated-code limit
     wf = margin_forward(word_tr, vectors, "v", "ctx", "center", margin)
     df_ = margin_forward(doc_tr, vectors, "d", "doc_id", "word", margin)
     deltas = triple_deltas(wf, "v", "ctx", "center", alpha).unionByName(

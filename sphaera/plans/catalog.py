@@ -501,7 +501,7 @@ TRI = _kept_sql(
 )
 def q_t3(spark, sf):
     _, dt = _triples(spark, sf)
-    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN)
+    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN, DIM)
     return fw.select("doc_id", F.col("kpos").cast("bigint"), "k", r6("f").alias("f"), r6("h").alias("h"),
                      r6("loss").alias("loss"), F.col("active").cast("bigint").alias("active"))
 
@@ -519,8 +519,8 @@ def _delta_long(d):
 )
 def q_t4(spark, sf):
     wt, _ = _triples(spark, sf)
-    fw = T.margin_forward(wt, _vectors(spark, sf), "v", "ctx", "center", MARGIN)
-    return _delta_long(T.triple_deltas(fw, "v", "ctx", "center", ALPHA))
+    fw = T.margin_forward(wt, _vectors(spark, sf), "v", "ctx", "center", MARGIN, DIM)
+    return _delta_long(T.triple_deltas(fw, "v", "ctx", "center", ALPHA, DIM))
 
 
 @register(
@@ -530,8 +530,8 @@ def q_t4(spark, sf):
 )
 def q_t5(spark, sf):
     _, dt = _triples(spark, sf)
-    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN)
-    return _delta_long(T.triple_deltas(fw, "d", "doc_id", "word", ALPHA))
+    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN, DIM)
+    return _delta_long(T.triple_deltas(fw, "d", "doc_id", "word", ALPHA, DIM))
 
 
 @register(
@@ -590,8 +590,8 @@ def q_t7(spark, sf):
 def q_t9(spark, sf):
     wt, dt = _triples(spark, sf)
     vec = _vectors(spark, sf)
-    o = T.epoch_objective(T.margin_forward(wt, vec, "v", "ctx", "center", MARGIN),
-                          T.margin_forward(dt, vec, "d", "doc_id", "word", MARGIN))
+    o = T.epoch_objective(T.margin_forward(wt, vec, "v", "ctx", "center", MARGIN, DIM),
+                          T.margin_forward(dt, vec, "d", "doc_id", "word", MARGIN, DIM))
     return o.select("kind", r6("mean_loss").alias("mean_loss"), r6("active_share").alias("active_share"), "n_triples")
 
 
