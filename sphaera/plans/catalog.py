@@ -1126,22 +1126,22 @@ def _pair_lines(spark, sf, fmt: str):
     clean = "^[^ \t\n\r\x0B\x0C,]+$"
     p = _bench_pairs(spark, sf).filter(
         (F.col("benchmark") == "adjacent") & F.col("w1").rlike(clean) & F.col("w2").rlike(clean))
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("w1", "w2")
-    p = p.withColumn("o", F.row_number().over(w))
+    p = p.withColumn("o", F.lit(1))
     s = F.format_string("%.2f", "score")
     if fmt == "csv":
-        body = p.select("o", F.concat_ws(",", "w1", "w2", s).alias("value"))
+        body = p.select("o", "w1", "w2", F.concat_ws(",", "w1", "w2", s).alias("value"))
         head = "Word 1,Word 2,Human (mean)"
     elif fmt == "men":
-        body = p.select("o", F.concat_ws(" ", "w1", "w2", s).alias("value"))
+        body = p.select("o", "w1", "w2", F.concat_ws(" ", "w1", "w2", s).alias("value"))
         head = None
     else:
-        body = p.select("o", F.concat_ws("\t", "w1", "w2", F.lit("N"), s, *[F.lit("1") for _ in range(6)]).alias("value"))
+        body = p.select("o", "w1", "w2",
+                        F.concat_ws("\t", "w1", "w2", F.lit("N"), s, *[F.lit("1") for _ in range(6)]).alias("value"))
         head = "word1\tword2\tPOS\tSimLex999\tconc(w1)\tconc(w2)\tconcQ\tAssoc(USF)\tSimAssoc333\tSD(SimLex)"
     if head is not None:
-        body = body.unionByName(spark.createDataFrame([(0, head)], "o long, value string"))
+        body = body.unionByName(spark.createDataFrame([(0, "", "", head)], "o int, w1 string, w2 string, value string"))
     path = scratch_path(spark, f"pairs-{fmt}")
-    write_ordered_lines(body, "o", path)
+    write_ordered_lines(body, ["o", "w1", "w2"], path)
     return path
 
 
@@ -1164,3 +1164,38 @@ def q_s11(spark, sf):
 @register("s12_read_pairs_simlex", PAIRS_SQL + "SELECT w1, w2, score FROM ap")
 def q_s12(spark, sf):
     return B.read_pairs(spark, _pair_lines(spark, sf, "simlex"), "simlex").select("w1", "w2", "score")
+
+
+# ------------------------------------------------------------------- M6 / M7
+
+
+@register(
+    "m6_string_functions",
+    "SELECT item_id, lower(" + _strip_sql("text") + ") AS lowered, len(string_split(" + _strip_sql("text")
+    + ", ' '))::BIGINT AS n_fields, TRY_CAST(string_split(" + _strip_sql("text") + ", ' ')[1] AS DOUBLE) AS first_num "
+    "FROM benchmark",
+)
+def q_m6(spark, sf):
+    """lower / strip / split / cast as the evaluation parsers use them."""
+    from sphaera.functions.text import PY_STRIP_CLASS
+
+    b = load(spark, sf, "benchmark")
+    st = F.regexp_replace("text", f"^{PY_STRIP_CLASS}+|{PY_STRIP_CLASS}+$", "")
+    parts = F.split(st, " ")
+    return b.select("item_id", F.lower(st).alias("lowered"), F.size(parts).cast("bigint").alias("n_fields"),
+                    F.try_element_at(parts, F.lit(1)).try_cast("double").alias("first_num"))
+
+
+@register(
+    "m7_math_functions",
+    VOC + "SELECT idx::BIGINT AS idx, round(pow(cn::DOUBLE, 0.75), 6) AS pw, round(sqrt(cn::DOUBLE), 6) AS sq, "
+    "(cn // 7)::BIGINT AS fl, (cn % 7)::BIGINT AS md, round(ln(cn::DOUBLE), 6) AS lg FROM vocab",
+)
+def q_m7(spark, sf):
+    """pow / sqrt / floor-division / mod / log as the sampling and metric
+    formulas use them, over the vocabulary counts."""
+    v = vocab(spark, sf)
+    c = F.col("cn").cast("double")
+    return v.select("idx", r6(F.pow(c, F.lit(0.75))).alias("pw"), r6(F.sqrt(c)).alias("sq"),
+                    F.floor(F.col("cn") / 7).cast("bigint").alias("fl"), (F.col("cn") % 7).cast("bigint").alias("md"),
+                    r6(F.log(c)).alias("lg"))

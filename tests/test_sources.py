@@ -100,3 +100,12 @@ def test_men_and_simlex(spark, tmp_dir):
     write(s, "simlex.txt", (head + "\n" + row + "\nshort\tline\n").encode())
     got = [tuple(r) for r in B.read_pairs(spark, s, "simlex").select("w1", "w2", "score").collect()]
     assert got == [("old", "new", 1.58)]
+
+
+def test_append_metrics(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "metrics")
+    row = spark.createDataFrame([(0.5, 0.25)], "mi double, nmi double")
+    labels_io.append_metrics(row, path)
+    labels_io.append_metrics(row, path)
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert lines == ["0.5,0.25", "0.5,0.25"]
