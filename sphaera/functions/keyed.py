@@ -42,3 +42,30 @@ def uniform_sql(seed: int, op: str, keys: list[str], lane: int = 0, dialect: str
 def uniform(seed: int, op: str, *keys: str, lane: int = 0) -> Column:
     """Column form of :func:`uniform_sql` (keys are column names/expressions)."""
     return F.expr(uniform_sql(seed, op, list(keys), lane, "spark"))
+
+
+def digest_array_sql(seed: int, op: str, keys: list[str], groups: int, dialect: str = "spark") -> str:
+    """SQL for an array of ``groups`` digests of one key: digest ``g`` hashes
+    the key with ``g`` appended, and each digest yields four 32-bit lanes, so
+    two draws of two uniforms each share one hash."""
+    items = [f"md5({_key(seed, op, keys + [str(g)], dialect)})" for g in range(groups)]
+    return ("array(" if dialect == "spark" else "[") + ", ".join(items) + (")" if dialect == "spark" else "]")
+
+
+def lane_uniform_sql(digest: str, lane: str, dialect: str = "spark") -> str:
+    """u in [0, 1) from the 32-bit lane ``lane`` (0..3, an SQL expression)
+    of the hex digest expression ``digest``."""
+    hexpart = f"substr({digest}, CAST(({lane}) * 8 + 1 AS INT), 8)"
+    if dialect == "spark":
+        return f"(CAST(conv({hexpart}, 16, 10) AS BIGINT) / {TWO_32})"
+    return f"(CAST('0x' || {hexpart} AS BIGINT) / {TWO_32})"
+
+
+def draw_pair_sql(negative: int, k_col: str = "k", digests: str = "_dgs", dialect: str = "spark"):
+    """(u1, u2) SQL for draw ``k`` (1-based) from the digest array: draw k
+    uses digest ``(k-1) div 2`` and lanes ``2((k-1) mod 2)`` and the next."""
+    div = "div" if dialect == "spark" else "//"
+    g = f"((({k_col}) - 1) {div} 2)"
+    dg = f"element_at({digests}, CAST({g} + 1 AS INT))" if dialect == "spark" else f"{digests}[{g} + 1]"
+    lane = f"(((({k_col}) - 1) % 2) * 2)"
+    return lane_uniform_sql(dg, lane, dialect), lane_uniform_sql(dg, f"{lane} + 1", dialect)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sphaera.functions.keyed import uniform
+from sphaera.functions.keyed import digest_array_sql, draw_pair_sql
 from sphaera.operators.sampling import CorpusScalars, draw_negatives
 
 
@@ -36,9 +36,14 @@ def doc_word_pairs(kept: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _with_draws(df: DataFrame, negative: int, seed: int, op: str, epoch: int, keys: list[str]) -> DataFrame:
-    d = df.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(negative).cast("bigint"))))
-    ks = [str(epoch)] + keys + ["k"]
-    return d.withColumn("u1", uniform(seed, op, *ks, lane=0)).withColumn("u2", uniform(seed, op, *ks, lane=1))
+    """Rows times ``k = 1..negative`` with two uniforms each. One md5 per
+    source row and pair of draws (four 32-bit lanes), computed before the
+    explode."""
+    groups = (negative + 1) // 2
+    d = df.withColumn("_dgs", F.expr(digest_array_sql(seed, op, [str(epoch)] + keys, groups)))
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(negative).cast("bigint"))))
+    u1, u2 = draw_pair_sql(negative)
+    return d.withColumn("u1", F.expr(u1)).withColumn("u2", F.expr(u2)).drop("_dgs")
 
 
 def word_triples(

@@ -362,11 +362,8 @@ def q_p5(spark, sf):
 
 @register(
     "p6_uniform_negative",
-    KEPT.rstrip()
-    + f", ks AS (SELECT doc_id, kpos, unnest(range(1, {NEGATIVE + 1}))::BIGINT AS k FROM kept) "
-    "SELECT doc_id, kpos, k, (1 + CAST(floor("
-    + S.u(SEED, "dneg", [str(EPOCH), "doc_id", "kpos", "k"], 1)
-    + " * (n_vocab - 1)) AS BIGINT))::BIGINT AS uneg FROM ks, nstat",
+    _kept_sql(S.draws("dr", "kept", SEED, "dneg", EPOCH, ["doc_id", "kpos"], NEGATIVE))
+    + "SELECT doc_id, kpos, k, (1 + CAST(floor(u2 * (n_vocab - 1)) AS BIGINT))::BIGINT AS uneg FROM dr_u, nstat",
 )
 def q_p6(spark, sf):
     _, _, sc = sampling_state(spark, sf)
