@@ -4,6 +4,7 @@ checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Uses the session's setting; sets one only
-    where none is configured (local tests)."""
+    """The shared checkpoint folder: the session's ``spark.checkpoint.dir``.
+    Where none is set, a ``local[...]`` session gets a local folder, since its
+    executors are the driver; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder that the driver and all executors share"
+            )
         d = os.path.join("/tmp", "sphaera-checkpoints")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
