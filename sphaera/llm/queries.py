@@ -7,20 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprint_edits
 from .mixing import mix
+from .near_dedup import near_dedup
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(load(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES = {
