@@ -10,6 +10,11 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .mixing import mix
 from .near_dedup import near_dedup
+from .packing import pack_documents
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +34,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
