@@ -11,6 +11,7 @@ from .fingerprints import fingerprint_edits
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
+from .secrets import secret_report
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_dedup": op4_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
