@@ -25,7 +25,7 @@ from ..session import write_cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-CHUNK_ROWS = 10_000
+CHUNK_ROWS = 2000
 SLOT_ROWS = 4096
 FEISTEL_ROUNDS = 4
 WALK = 64
@@ -111,6 +111,8 @@ def _permute(k: Column, n: Column, *key: Column) -> Column:
 def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """The slots of all sources: src, pass, block, words, shard."""
     size, rest = F.col("source_size"), F.col("total") % F.col("source_size")
+    # a number of its own: few small rows go in, many come out
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = sources.filter("source_size > 0").withColumn("total", F.least(F.round("target").cast("long"), 2 * size))
     s = s.withColumn("full", F.floor(size / block_words).cast("long"))
     s = s.withColumn("blocks", F.ceil(size / block_words).cast("long"))
@@ -119,7 +121,7 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     )
     s = s.withColumn("all_slots", F.sum("slots").over(Window.partitionBy())).filter("slots > 0")
     part = F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_ROWS).cast("long"))
-    s = s.withColumn("part", F.explode(part)).repartition("src", "part")
+    s = s.withColumn("part", F.explode(part)).repartition(parts, "src", "part")
     lo = F.col("part") * SLOT_ROWS
     s = s.withColumn("k", F.explode(F.sequence(lo, F.least(lo + SLOT_ROWS, F.col("slots")) - 1)))
     s = s.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("int")).withColumn("j", F.col("k") % F.col("blocks"))
@@ -156,7 +158,8 @@ def _mix(df, id_col, text_col, source_col, weights, share, most, block_words, sh
     docs = docs.join(s, docs["source"].eqNullSafe(s["s_source"])).drop("s_source")
     docs = write_cut(docs, "mix-layout")
     slots = _slots(sources, block_words, shard_slots, seed)
-    taken = slots.join(_pieces(docs, block_words), ["src", "block"]).withColumn(
+    # the planner takes the generated slots for a few rows: never broadcast them
+    taken = slots.hint("merge").join(_pieces(docs, block_words), ["src", "block"]).withColumn(
         "took", F.least(F.col("length"), F.col("words") - F.col("in_block"))
     ).filter("took > 0")
     return docs, taken
