@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import load
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
+from .private_data import private_report
 from .secrets import secret_report
 
 
@@ -18,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
@@ -30,6 +36,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_report(load(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
@@ -40,8 +50,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_dedup": op4_near_dedup,
+    "op6_private_data": op6_private_data,
     "op7_secret_scan": op7_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
