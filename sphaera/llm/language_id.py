@@ -258,6 +258,24 @@ def _slices(text: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _best(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language (the number of languages for none), score
+    and number of switches of every text."""
+    n, k = len(texts), len(model.langs)
+    best, score, switches = np.full(n, k), np.zeros(n), np.zeros(n, np.int64)
+    if k:
+        post, lengths = label(texts, model)
+        doc = np.repeat(np.arange(n), lengths)
+        total = np.stack([np.bincount(doc, post[:, j], n) for j in range(k)], 1)
+        some = lengths > 0
+        best[some] = total[some].argmax(1)
+        score[some] = np.minimum(total[some].max(1) / lengths[some], 1.0)
+        top = post.argmax(1)
+        turn = (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])
+        switches = np.bincount(doc[1:][turn], minlength=n)
+    return best, score, switches
+
+
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` and ``n_switches`` (changes of the
     most likely language from word to word) for every row."""
@@ -268,17 +286,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             text = b.column("t")
             for lo, hi in _slices(text):
                 n = hi - lo
-                best, score, switches = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n, np.int64)
-                if model.langs:
-                    post, lengths = label(text.slice(lo, n).to_pylist(), model)
-                    doc = np.repeat(np.arange(n), lengths)
-                    total = np.stack([np.bincount(doc, post[:, j], n) for j in range(post.shape[1])], 1)
-                    some = lengths > 0
-                    best[some] = total[some].argmax(1)
-                    score[some] = np.minimum(total[some].max(1) / lengths[some], 1.0)
-                    top = post.argmax(1)
-                    turn = (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])
-                    switches = np.bincount(doc[1:][turn], minlength=n)
+                best, score, switches = _best(text.slice(lo, n).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, n), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches, pa.int64())],
                     names=["id", "lang_pred", "score", "n_switches"],
@@ -290,6 +298,24 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_identified(
+    df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.5
+) -> DataFrame:
+    """The rows of ``df``, all columns as they were, whose language is a
+    learned one with a score of at least ``least_score``."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(at)
+            for lo, hi in _slices(text):
+                best, score, _ = _best(text.slice(lo, hi - lo).to_pylist(), model)
+                keep = (best < len(model.langs)) & (score >= least_score)
+                yield b.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def label_words(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``langs``: the most likely language of every word."""
 

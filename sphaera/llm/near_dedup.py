@@ -290,3 +290,12 @@ def near_dedup(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5
+) -> DataFrame:
+    """The rows of ``df`` that are kept, all columns as they were."""
+    got = near_dedup(df, id_col, text_col, percent, k)
+    kept = got.filter("kept").select(F.col(id_col).alias("nd_id")).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept["nd_id"]), "left_semi")
