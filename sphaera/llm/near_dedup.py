@@ -102,7 +102,9 @@ def _blocks(rows: DataFrame, key: str, member: str, n_blocks: Column) -> DataFra
     d = rows.withColumn("nb", n_blocks).withColumn("own", F.pmod(F.xxhash64(member), F.col("nb")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     d = d.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("nb", "other")
-    return d.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+    # a number of tasks of its own: the groups are small in bytes and large in work
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
