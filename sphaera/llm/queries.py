@@ -12,8 +12,10 @@ from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
+from .preferences import pairs_from_conversations, preference_turns
 from .private_data import private_report
 from .secrets import secret_report
+from .token_output import token_matrix
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_turns(pairs_from_conversations(load(spark, sf_dir, "conversations")))
+
+
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_report(load(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
 
+def op8_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrix(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
@@ -53,13 +63,39 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_near_dedup": op4_near_dedup,
+    "op5_preference_chat": op5_preference_chat,
     "op6_private_data": op6_private_data,
     "op7_secret_scan": op7_secret_scan,
+    "op8_token_matrix": op8_token_matrix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES = {
+    "op5_preference_chat": """
+WITH c AS (
+  SELECT conv_id AS pair, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS nth
+  FROM conversations),
+last AS (
+  SELECT pair, max(turn) AS turn FROM c WHERE role = 'assistant' GROUP BY pair),
+answer AS (
+  SELECT c.pair, max(c.text) AS text FROM c JOIN last USING (pair, turn) WHERE role = 'assistant' GROUP BY c.pair),
+t AS (
+  SELECT c.pair, c.turn, c.role, c.text, c.nth,
+         CASE WHEN c.turn = last.turn AND c.role = 'assistant' THEN coalesce(o.text, '') ELSE c.text END AS other
+  FROM c JOIN last ON c.pair = last.pair AND c.turn <= last.turn LEFT JOIN answer o ON o.pair = c.pair + 1),
+first AS (
+  SELECT pair, min(turn) AS first FROM t WHERE text <> other GROUP BY pair),
+parts AS (
+  SELECT t.pair, 'prompt' AS part, turn, nth, role, text FROM t LEFT JOIN first USING (pair)
+  WHERE first IS NULL OR turn < first
+  UNION ALL SELECT t.pair, 'chosen', turn, nth, role, text FROM t JOIN first USING (pair) WHERE turn >= first
+  UNION ALL SELECT t.pair, 'rejected', turn, nth, role, other FROM t JOIN first USING (pair) WHERE turn >= first)
+SELECT pair, part, turn, nth, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND role = 'assistant' AS train
+FROM parts
+""",
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
