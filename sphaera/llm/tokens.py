@@ -1,19 +1,31 @@
 """Token ids of whole texts by a word-wise BPE tokenizer, inside Python tasks.
 
-The tokenizer drops white space and never merges across it, so a text's ids
-are those of its words (cut at ASCII white space) one after another. Words are
-looked up in a bounded cache, and the unknown words of a batch are encoded
-together.
+The tokenizer lower-cases, drops white space and encodes runs of letters,
+single digits and runs of signs each for itself. Texts of ASCII and Latin
+letters are cut into these parts here and the parts looked up: in a small table
+of the parts met first, which stays in the processor's cache, then in a large
+bounded one; unknown letter runs are encoded many at a time as one text and cut
+apart after the tokens that end a word. All other texts go through the
+tokenizer as they are.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
-MAX_CACHED_WORDS = 400_000
-ENCODE_WORDS = 20_000
+MAX_CACHED = 1_000_000
+HOT = 16_384
+ENCODE_PARTS = 5000
+
+# letters that normalisation leaves alone or lower-cases one for one
+_LETTERS = "a-zß-öø-ÿĀ-įĲ-ſ"
+_PLAIN = re.compile(rf"[\t-\r -~À-ÖØ-öø-ÿ{_LETTERS}]*")
+# the tokenizer's parts, in its order, over these characters
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
+_RUN = re.compile(rf"[{_LETTERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -22,30 +34,97 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-_cache: dict[str, dict[bytes, bytes]] = {}
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class _Parts:
+    """Ids of texts by one tokenizer; the large table is emptied at its bound."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tok = Tokenizer.from_file(path)
+        # for lower-case letter runs with a blank between them, all of the
+        # normalisation and nearly all of the splitting is done
+        self.runs = Tokenizer.from_file(path)
+        self.runs.normalizer = normalizers.Sequence([])
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.hot: dict[str, bytes] = {}
+        self.all: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        ids = np.array(self.runs.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cut) != len(runs):  # a vocabulary without word ends
+            return self._each(runs)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _learn(self, parts: list[str]) -> None:
+        letters = [p for p in parts if _RUN.fullmatch(p)]
+        other = [p for p in parts if not _RUN.fullmatch(p)]
+        got = dict(zip(letters, self._letters(letters))) if letters else {}
+        if other:
+            got.update(zip(other, self._each(other)))
+        self.all.update(got)
+        if len(self.hot) < HOT:
+            self.hot.update(got)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list = [b""] * len(texts)
+        hot, every = self.hot.get, self.all.get
+        open_, missing, slow = [], {}, []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
+                slow.append(i)
+                continue
+            parts = _PARTS.findall(t.lower())
+            ids = list(map(hot, parts))
+            gaps = [j for j, x in enumerate(ids) if x is None]
+            lack = False
+            for j in gaps:
+                x = ids[j] = every(parts[j])
+                if x is None:
+                    missing[parts[j]] = None
+                    lack = True
+            if lack:
+                open_.append((i, ids, [(j, parts[j]) for j in gaps if ids[j] is None]))
+            else:
+                out[i] = b"".join(ids)
+        missing = list(missing)
+        if len(self.all) + len(missing) > MAX_CACHED:
+            self.all.clear()
+        for k in range(0, len(missing), ENCODE_PARTS):
+            self._learn(missing[k : k + ENCODE_PARTS])
+        known = self.all
+        for i, ids, gaps in open_:
+            for j, p in gaps:
+                ids[j] = known[p]
+            out[i] = b"".join(ids)
+        for i, ids in zip(slow, self._each([texts[i] for i in slow])):
+            out[i] = ids
+        return out
+
+
+_parts = lru_cache(maxsize=2)(_Parts)
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers. A null
     text is empty."""
-    tok, cache = _tokenizer(path), _cache.setdefault(path, {})
-    words = [(t or "").encode().split() for t in texts]
-    missing = list({w for ws in words for w in ws if w not in cache})
-    if len(cache) + len(missing) > MAX_CACHED_WORDS:
-        cache.clear()
-        missing = list({w for ws in words for w in ws})
-    for i in range(0, len(missing), ENCODE_WORDS):
-        part = missing[i : i + ENCODE_WORDS]
-        for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, ws)) for ws in words]
+    return _parts(path)(texts)
