@@ -6,8 +6,9 @@ best-fit decreasing. Dual-feasible functions give a lower bound on the bins
 that the partition's sizes need; a partition that meets its bound is certified
 and gives away only its emptiest bin, one with a gap gives away the pieces of
 every bin that has room. These pieces are dealt anew and packed again, round
-after round, while the corpus holds more bins than its own bound and a round
-saves some; a round that saves nothing is discarded. Only identifiers and
+after round, while the corpus holds more bins than its own bound; a round that
+saves no bin is discarded, and then all bins with room, of certified partitions
+too, are tried in the same way. Only identifiers and
 lengths are shuffled. The corpus bound is taken over the histogram of sizes,
 which has at most as many rows as the capacity.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -135,11 +137,9 @@ def _pack_part(capacity: int, round_: int):
         filled = np.bincount(bins, weights=size).astype(np.int64)
         kinds, counts = np.unique(size, return_counts=True)
         bound = lower_bound(kinds, counts, capacity)
-        if len(filled) == bound:  # certified
-            loose = np.zeros(len(filled), bool)
-            loose[np.argmin(filled)] = filled.min() < capacity
-        else:
-            loose = filled < capacity
+        loose = filled < capacity
+        if len(filled) == bound:  # certified: only the emptiest bin leaves
+            loose &= np.arange(len(filled)) == np.argmin(filled)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(size[order]) - size[order]
         first = np.concatenate(([0], np.cumsum(filled)[:-1]))
@@ -147,13 +147,13 @@ def _pack_part(capacity: int, round_: int):
         offset[order] = before - first[bins[order]]
         out = items[["row", "h", "length"]].copy()
         out["round"], out["part"], out["bin"], out["offset"] = round_, key[0], bins, offset
-        out["loose"], out["bound"] = loose[bins], bound
+        out["loose"], out["room"], out["bound"] = loose[bins], (filled < capacity)[bins], bound
         return out
 
     return run
 
 
-PACKED = "row long, h long, length long, round int, part long, bin long, offset long, loose boolean, bound long"
+PACKED = "row long, h long, length long, round int, part long, bin long, offset long, loose boolean, room boolean, bound long"
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
@@ -162,27 +162,30 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
     items = items.select("row", F.xxhash64("row").alias("h"), "length")
     hist = items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most `capacity` rows
     bound = lower_bound(hist["length"].to_numpy(), hist["n"].to_numpy(), capacity)
-    pool, n_pool, closed, best = items, int(hist["n"].sum()), [], None
-    for round_ in range(MAX_ROUNDS):
-        parts = max(1, -(-n_pool // partition_pieces))
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("h", F.lit(round_)), F.lit(parts)))
-        packed = write_cut(dealt.groupBy("part").applyInPandas(_pack_part(capacity, round_), PACKED), "packed")
-        bins = packed.filter("offset = 0")
-        r = bins.agg(F.count(F.lit(1)), F.count(F.when(F.col("loose"), 1))).first()
-        if best is not None and r[0] >= best:  # the last packing of these pieces stays
+
+    def deal(pool: DataFrame, n: int, round_: int) -> tuple[DataFrame, int]:
+        part = F.pmod(F.xxhash64("h", F.lit(round_)), F.lit(max(1, -(-n // partition_pieces))))
+        done = pool.withColumn("part", part).groupBy("part").applyInPandas(_pack_part(capacity, round_), PACKED)
+        done = write_cut(done, "packed")
+        return done, done.filter("offset = 0").count()
+
+    first, bins = deal(items, int(hist["n"].sum()), 0)
+    stand, rules = [first], ["loose", "room"]  # in the end every bin with room is tried
+    for round_ in range(1, MAX_ROUNDS):
+        if bins <= bound:
             break
-        if best is not None:
-            closed[-1] = closed[-1].filter("not loose")
-        closed.append(packed)
-        best, n_closed = r[1], r[0] - r[1]
-        bound -= n_closed  # bins that the pool may still come down to
-        if r[1] <= max(1, bound):
+        out = [s.filter(rules[0]).select("row", "h", "length", "offset") for s in stand]
+        pool = reduce(DataFrame.unionByName, out)
+        n, old = pool.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1))).first()
+        more, new = deal(pool.drop("offset"), n, round_)
+        if new < old:
+            stand = [s.filter(~F.col(rules[0])) for s in stand] + [more]
+            bins -= old - new
+        elif len(rules) == 1:
             break
-        pool = packed.filter("loose").select("row", "h", "length")
-        n_pool = pool.count()
-    out = closed[0]
-    for more in closed[1:]:
-        out = out.unionByName(more)
+        else:
+            rules = rules[1:]
+    out = reduce(DataFrame.unionByName, stand)
     # rounds, partitions and bins are numbered; a sequence is one of each
     seq = F.col("round").cast("long") * F.lit(2**59) + F.col("part") * F.lit(2**20) + F.col("bin")
     return out.select("row", seq.alias("sequence_id"), "offset")
