@@ -116,18 +116,17 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
 
 
 def _ratio(value: Column, model: dict[str, float]) -> Column:
-    """Log-likelihood ratio of a run of characters of the alphabet."""
+    """Log-likelihood ratio of a run of characters of the alphabet; a pair of
+    characters counts once, so that repetition is no evidence."""
     table = ",".join(f"{model[a + b]:.6f}" for a in START + ALPHABET for b in ALPHABET)
     scores = F.split(F.lit(table), ",").cast("array<double>")  # folded to one constant
     symbols = F.lit(START + ALPHABET)
-    place = F.transform(F.split(value, ""), lambda c: F.position(c, symbols))
-    return F.aggregate(
-        place, F.struct(F.lit(1).alias("last"), F.lit(0.0).alias("sum")),
-        lambda s, c: F.struct(
-            c.alias("last"), (s["sum"] + F.get(scores, (s["last"] - 1) * len(ALPHABET) + c - 2)).alias("sum")
-        ),
-        lambda s: s["sum"],
+    place = F.concat(F.array(F.lit(1)), F.transform(F.split(value, ""), lambda c: F.position(c, symbols)))
+    pairs = F.zip_with(
+        F.slice(place, F.lit(1), F.length(value)), F.slice(place, F.lit(2), F.length(value)),
+        lambda a, b: (a - 1) * len(ALPHABET) + b - 2,
     )
+    return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda s, i: s + F.get(scores, i))
 
 
 def find_secrets(
