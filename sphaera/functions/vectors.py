@@ -69,10 +69,6 @@ def add(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
 
 
-def axpy(alpha, x, y) -> Column:
-    """y + alpha * x, elementwise."""
-    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
-    return F.zip_with(_c(x), _c(y), lambda p, q: q + alpha * p)
 
 
 def to_float(a) -> Column:

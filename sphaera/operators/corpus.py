@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sphaera.functions.text import PY_STRIP_CLASS
 from sphaera.operators.ordering import with_prefix_sum
-from sphaera.params import EOS, MAX_SEGMENT, MAX_TOKEN_BYTES
+from sphaera.params import EOS, MAX_TOKEN_BYTES
 
 SEPARATORS = "[ \t\n]+"
 
@@ -26,18 +26,25 @@ def raw_token_array(text_col: str = "text"):
 
 
 def truncate_token(col, max_bytes: int = MAX_TOKEN_BYTES):
-    """A token longer than ``max_bytes`` bytes keeps its first bytes."""
+    """A token longer than ``max_bytes`` bytes keeps the characters that
+    fit whole into them. A character has at most four bytes, so the border is
+    at ``max_bytes`` or up to three bytes before; the byte after it does not
+    continue a character."""
     c = F.col(col) if isinstance(col, str) else col
-    cut = F.substring(c.cast("binary"), 1, max_bytes).cast("string")
-    return F.when(F.octet_length(c) > max_bytes, cut).otherwise(c)
+    raw = c.cast("binary")
+    cut = F.substring(raw, 1, max_bytes - 3)
+    for n in range(max_bytes - 2, max_bytes + 1):
+        after = F.hex(F.substring(raw, n + 1, 1))
+        cut = F.when((after < "80") | (after > "BF"), F.substring(raw, 1, n)).otherwise(cut)
+    return F.when(F.octet_length(c) > max_bytes, cut.cast("string")).otherwise(c)
 
 
-def tokenize(docs: DataFrame, text_col: str = "text", max_bytes: int = MAX_TOKEN_BYTES) -> DataFrame:
-    """C1 + C3: ``tokens(doc_id, pos, word)``, ``pos`` 0-based. Literal
-    ``</s>`` tokens are kept; :func:`doc_boundaries` splits on them first."""
-    return docs.select("doc_id", F.posexplode(raw_token_array(text_col)).alias("pos", "word")).withColumn(
-        "word", truncate_token("word", max_bytes)
-    )
+def tokenize(docs: DataFrame, text_col: str = "text", max_bytes: int | None = None) -> DataFrame:
+    """``tokens(doc_id, pos, word)``, ``pos`` 0-based; with ``max_bytes``
+    also C3. Literal ``</s>`` tokens are kept; :func:`doc_boundaries` splits on
+    them first."""
+    t = docs.select("doc_id", F.posexplode(raw_token_array(text_col)).alias("pos", "word"))
+    return t if max_bytes is None else t.withColumn("word", truncate_token("word", max_bytes))
 
 
 def marker_count(text_col: str = "text"):
@@ -128,7 +135,9 @@ def balanced_shards(offsets: DataFrame, n: int) -> DataFrame:
     total = offsets.agg(F.max("end_off").alias("total"))
     return offsets.crossJoin(F.broadcast(total)).select(
         "doc_id",
-        F.least(F.lit(n - 1), F.floor(F.col("start_off") * F.lit(n) / F.col("total"))).cast("int").alias("shard"),
+        F.least(
+            F.lit(n - 1), F.expr(f"cast(start_off as decimal(28,0)) * {int(n)} div cast(total as decimal(28,0))")
+        ).cast("int").alias("shard"),
     )
 
 
@@ -169,11 +178,12 @@ def doc_lengths(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
-def segment(kept: DataFrame, max_len: int = MAX_SEGMENT, by: tuple[str, ...] = ()) -> DataFrame:
-    """Kept tokens renumbered ``kpos`` (0-based) and cut into runs of
-    ``max_len``: ``seg = kpos div max_len``; windows never cross a run.
+def segment(kept: DataFrame, max_len: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Kept tokens renumbered ``kpos`` (0-based) and, with ``max_len``, cut
+    into runs of that length: ``seg = kpos div max_len``; windows never cross a
+    run. Without it a document is one segment.
     ``by``: coarser keys the data is already partitioned on (kept in the
     window keys so no shuffle is added)."""
     w = Window.partitionBy(*by, "doc_id").orderBy("pos")
     k = kept.withColumn("kpos", F.row_number().over(w) - 1)
-    return k.withColumn("seg", F.floor(F.col("kpos") / F.lit(max_len)).cast("int"))
+    return k.withColumn("seg", F.lit(0) if max_len is None else F.floor(F.col("kpos") / F.lit(max_len)).cast("int"))

@@ -1,10 +1,10 @@
 """Pair and triple generation G1-G4 over kept tokens
 ``kept(doc_id, seg, kpos, idx, radius)``.
 
-Skip-gram pairs use a bounded ROWS frame partitioned by ``(doc_id, seg)``:
-each position sees at most ``2 * window`` neighbours, so no document array is
-ever carried whole and a long document is no bigger a group than its
-segments.
+Skip-gram pairs use a bounded ROWS frame over blocks of positions: a block
+also holds the ``window`` positions beyond either edge, so no pair is lost, each
+position sees at most ``2 * window`` neighbours, no document array is ever
+carried whole and a long document is no bigger a group than its blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +16,22 @@ from sphaera.functions.keyed import digest_array_sql, draw_pair_sql
 from sphaera.operators.sampling import CorpusScalars, draw_negatives
 
 
-def skipgram_pairs(kept: DataFrame, window: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+BLOCK = 8192
+
+
+def skipgram_pairs(
+    kept: DataFrame, window: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), block: int = BLOCK
+) -> DataFrame:
     """G1: for every kept position (context ``ctx`` = its word) each other
     position of the same segment within ``radius``: ``center`` = that word,
     ``off`` = signed distance. ``carry`` columns are passed through."""
-    frame = Window.partitionBy(*by, "doc_id", "seg").orderBy("kpos").rowsBetween(-window, window)
+    b = lambda at: F.floor(at / F.lit(block)).cast("bigint")
+    first, last = b(F.greatest(F.col("kpos") - window, F.lit(0))), b(F.col("kpos") + window)
+    kept = kept.withColumn("_b", F.explode(F.sequence(first, last)))
+    frame = Window.partitionBy(*by, "doc_id", "seg", "_b").orderBy("kpos").rowsBetween(-window, window)
     near = F.collect_list(F.struct(F.col("kpos").alias("p"), F.col("idx").alias("i"))).over(frame)
-    w = kept.select("doc_id", "seg", "kpos", "idx", "radius", *carry, near.alias("near"))
+    w = kept.select("doc_id", "seg", "kpos", "idx", "radius", *carry, "_b", near.alias("near"))
+    w = w.filter(F.col("_b") == b(F.col("kpos"))).drop("_b")  # the block that owns the position
     e = w.select("doc_id", "seg", "kpos", F.col("idx").alias("ctx"), "radius", *carry, F.explode("near").alias("n"))
     off = F.col("n.p") - F.col("kpos")
     return e.filter((off != 0) & (F.abs(off) <= F.col("radius"))).select(

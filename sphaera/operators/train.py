@@ -39,12 +39,6 @@ def init_rows(ids: DataFrame, role: str, dim: int, row_offset, pos_col: str = "i
                       fn(F.col(pos_col).cast("bigint")).alias("vec"))
 
 
-def init_rows_sql(ids: DataFrame, role: str, dim: int, row_offset, pos_col: str = "id", id_col: str = "id") -> DataFrame:
-    """T1 as one SQL expression (the closed form), kept as the JVM-only path."""
-    flat = f"((({row_offset}) + {pos_col}) * {dim} + j)"
-    raw = F.expr(f"transform(sequence(0, {dim - 1}), j -> {init_value_sql(flat, dim)})")
-    df = ids.select(F.lit(role).alias("role"), F.col(id_col).cast("bigint").alias("id"), raw.alias("vec"))
-    return M.l2_normalize(df, "vec")
 
 
 def _init_udf(dim: int, row_offset: int):
@@ -220,7 +214,3 @@ def epoch_quota(encoded: DataFrame, kept: DataFrame, doc_ids: DataFrame, shards:
         (F.sum(F.coalesce(F.col("n"), F.lit(0))) + F.count(F.lit(1))).cast("bigint").alias("n_words"),
         F.sum(F.coalesce(F.col("k"), F.lit(0))).cast("bigint").alias("n_kept"),
     )
-
-
-def vocab_words(vocab: DataFrame) -> DataFrame:
-    return vocab.filter(F.col("word") != EOS)

@@ -97,10 +97,3 @@ def oov_report(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).cast("bigint").alias("n_oov_words"),
         F.sum(F.when(F.col("hit").isNotNull(), 1).otherwise(0)).cast("bigint").alias("n_matched_words"),
     )
-
-
-def words_by_window(vocab: DataFrame) -> DataFrame:
-    """V3 in its plain single-window form, for small vocabularies and tests."""
-    w = Window.orderBy(F.col("cn").desc(), F.col("word").desc())
-    words = vocab.filter(F.col("word") != EOS).withColumn("idx", F.row_number().over(w).cast("bigint"))
-    return words

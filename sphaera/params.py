@@ -6,8 +6,8 @@ from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference's defaults for equal results.
 EOS = "</s>"  # end-of-document token, always vocabulary id 0
-MAX_TOKEN_BYTES = 98  # longer tokens are cut to their first 98 bytes
-MAX_SEGMENT = 1000  # kept tokens per training segment
+MAX_TOKEN_BYTES = 98  # the byte limit that C3 applies
+MAX_SEGMENT = 1000  # the segment length that C9 applies
 NOISE_POWER = 0.75  # unigram exponent of the negative-sampling distribution
 ALPHA_FLOOR = 1e-4  # learning rate never drops below alpha * 1e-4
 
@@ -29,6 +29,10 @@ class Params:
     shard_tokens: int = 100_000
     wave: int = 8
     batch_size: int = 4096
+    # Off by default: nothing is cut. ``max_token_bytes`` shortens tokens at a
+    # character border, ``max_segment`` ends windows after so many kept tokens.
+    max_token_bytes: int | None = None
+    max_segment: int | None = None
     # Vocabulary tables up to this many rows are broadcast; beyond it the
     # lookups fall back to shuffle joins.
     broadcast_rows: int = 2_000_000

@@ -10,14 +10,16 @@ rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sphaera.operators import corpus as C
 from sphaera.operators import pairs as G
 from sphaera.operators import sampling as P
 from sphaera.operators import vocab as V
+from sphaera.params import MAX_SEGMENT, MAX_TOKEN_BYTES
 from sphaera.plans import sqlparts as S
 from sphaera.session import load
 
@@ -34,9 +36,17 @@ DIM = 8
 SHARDS = 16
 
 
+_BUILT: dict[tuple, object] = {}
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def query(spark, sf):
+            _BUILT.clear()
+            return fn(spark, sf)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -44,6 +54,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def once(fn):
+    """Build a shared input once per query: a vocabulary costs a written table
+    each time, so the parts of one plan use the same."""
+
+    @wraps(fn)
+    def build(*args):
+        key = (fn.__name__, *args)
+        if key not in _BUILT:
+            _BUILT[key] = fn(*args)
+        return _BUILT[key]
+
+    return build
+
+
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -52,23 +76,27 @@ def r6(c):
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents").select("doc_id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return d.repartition(n, "doc_id")
+    return load(spark, sf, "documents").select("doc_id", "text")
 
 
 def tokens(spark, sf):
     return C.tokenize(docs(spark, sf))
 
 
+@once
 def vocab(spark, sf, min_count=MIN_COUNT):
     return V.build_vocab(tokens(spark, sf), docs(spark, sf), min_count).cache()
 
 
+@once
 def encoded(spark, sf):
-    return C.encode_tokens(tokens(spark, sf), vocab(spark, sf))
+    """Documents are dealt by id before they are cut into tokens, so that the
+    windows over a document's tokens need no further shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return C.encode_tokens(C.tokenize(docs(spark, sf).repartition(n, "doc_id")), vocab(spark, sf))
 
 
+@once
 def sampling_state(spark, sf):
     v = vocab(spark, sf)
     hist = P.noise_histogram(v).cache()
@@ -76,9 +104,9 @@ def sampling_state(spark, sf):
     return v, hist, sc
 
 
-def kept(spark, sf, sc):
+def kept(spark, sf, sc, max_segment=None):
     k = P.subsample(encoded(spark, sf), sc, SAMPLE, SEED, EPOCH)
-    k = C.segment(k)
+    k = C.segment(k, max_segment)
     return P.dynamic_window(k, WINDOW, SEED, EPOCH)
 
 
@@ -104,11 +132,12 @@ def q_c2(spark, sf):
 
 @register(
     "c3_truncate_token",
-    BASE + "SELECT strlen(word)::BIGINT AS n_bytes, count(*)::BIGINT AS n FROM tok GROUP BY 1",
+    S.with_(S.tok("replace(text, ' ', '_')")) + f"SELECT doc_id, pos, {S.cut_token('word')} AS word FROM tok",
 )
 def q_c3(spark, sf):
-    t = tokens(spark, sf)
-    return t.groupBy(F.octet_length("word").cast("bigint").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n"))
+    """Whole lines as tokens (blanks become underscores), cut to 98 bytes."""
+    d = docs(spark, sf).withColumn("text", F.replace("text", F.lit(" "), F.lit("_")))
+    return C.tokenize(d, max_bytes=MAX_TOKEN_BYTES).select("doc_id", F.col("pos").cast("bigint"), "word")
 
 
 @register(
@@ -177,10 +206,15 @@ def q_c8(spark, sf):
 KEPT = S.with_(S.tok(), S.counts(), S.vocab(MIN_COUNT), S.enc(), S.kept(SEED, SAMPLE, EPOCH, WINDOW))
 
 
-@register("c9_segment_documents", KEPT + "SELECT doc_id, seg, kpos, idx FROM kept")
+SEGMENTED = S.with_(
+    S.tok(), S.counts(), S.vocab(MIN_COUNT), S.enc(), S.kept(SEED, SAMPLE, EPOCH, WINDOW, MAX_SEGMENT)
+)
+
+
+@register("c9_segment_documents", SEGMENTED + "SELECT doc_id, seg, kpos, idx FROM kept")
 def q_c9(spark, sf):
     _, _, sc = sampling_state(spark, sf)
-    k = kept(spark, sf, sc)
+    k = kept(spark, sf, sc, MAX_SEGMENT)
     return k.select("doc_id", F.col("seg").cast("bigint"), F.col("kpos").cast("bigint"), "idx")
 
 
@@ -381,7 +415,7 @@ def _pairs(spark, sf):
     return G.skipgram_pairs(k, WINDOW), k, grid, sc
 
 
-@register("g1_skipgram_pairs", _kept_sql(S.pairs()) + "SELECT doc_id, kpos, off, ctx, center FROM pairs")
+@register("g1_skipgram_pairs", _kept_sql(S.pairs(WINDOW)) + "SELECT doc_id, kpos, off, ctx, center FROM pairs")
 def q_g1(spark, sf):
     p, _, _, _ = _pairs(spark, sf)
     return p.select("doc_id", F.col("kpos").cast("bigint"), "off", "ctx", "center")
@@ -395,7 +429,7 @@ def q_g2(spark, sf):
 
 @register(
     "g3_word_triples",
-    _kept_sql(S.pairs(), S.draws("wt", "pairs", SEED, "wneg", EPOCH, ["doc_id", "kpos", "off"], NEGATIVE))
+    _kept_sql(S.pairs(WINDOW), S.draws("wt", "pairs", SEED, "wneg", EPOCH, ["doc_id", "kpos", "off"], NEGATIVE))
     + "SELECT doc_id, kpos, off, k, ctx, center, neg FROM wt WHERE neg <> ctx",
 )
 def q_g3(spark, sf):
@@ -425,6 +459,7 @@ ALPHA = 0.04
 ITERS = 10
 
 
+@once
 def _vectors(spark, sf, dim=DIM):
     v, _, sc = sampling_state(spark, sf)
     d = load(spark, sf, "documents").select("doc_id")
@@ -466,8 +501,8 @@ PRE_MIN = 10
 )
 def q_t2(spark, sf):
     pv = vocab(spark, sf, PRE_MIN)
-    pvecs = T.init_vectors(pv, load(spark, sf, "documents").select("doc_id").limit(0), DIM,
-                           pv.count()).filter("role = 'u'")
+    none = spark.createDataFrame([], "doc_id bigint")
+    pvecs = T.init_vectors(pv, none, DIM, pv.count()).filter("role = 'u'")
     pre = pvecs.join(pv.select(F.col("idx").alias("id"), F.col("word").alias("key")), "id").select("key", "vec")
     return _long(T.load_pretrained(vocab(spark, sf), pre, "u", DIM))
 
@@ -480,7 +515,7 @@ def _triples(spark, sf):
 
 
 TRI = _kept_sql(
-    S.pairs(),
+    S.pairs(WINDOW),
     S.draws("wt", "pairs", SEED, "wneg", EPOCH, ["doc_id", "kpos", "off"], NEGATIVE),
     S.draws("dt", "kept", SEED, "dneg", EPOCH, ["doc_id", "kpos"], NEGATIVE),
     "wtr AS (SELECT * FROM wt WHERE neg <> ctx)",
@@ -691,13 +726,11 @@ CT = (
     "ma AS (SELECT true_label, sum(n) AS a FROM ct GROUP BY true_label),\n"
     "mb AS (SELECT pred_label, sum(n) AS b FROM ct GROUP BY pred_label),\n"
     "tot AS (SELECT sum(n)::DOUBLE AS nn FROM ct),\n"
-    f"mi AS (SELECT CASE WHEN (SELECT count(*) FROM ma) = 1 OR (SELECT count(*) FROM mb) = 1 THEN 0.0 ELSE "
-    f"greatest(sum(CASE WHEN abs(t) < {K.EPS} THEN 0.0 ELSE t END), 0.0) END AS mi FROM (SELECT (n / nn) * (ln(n) - ln(nn)) "
-    "+ (n / nn) * (-ln(a::DOUBLE * b::DOUBLE) + ln(nn) + ln(nn)) AS t FROM ct JOIN ma USING (true_label) JOIN mb USING "
-    "(pred_label), tot)),\n"
+    "mi AS (SELECT greatest(coalesce(sum((n / nn) * ln((n / nn) / ((a / nn) * (b / nn)))), 0.0), 0.0) AS mi "
+    "FROM ct JOIN ma USING (true_label) JOIN mb USING (pred_label), tot),\n"
     "ha AS (SELECT sum(-(a / nn) * ln(a / nn)) AS ha, count(*) AS ka FROM ma, tot),\n"
     "hb AS (SELECT sum(-(b / nn) * ln(b / nn)) AS hb, count(*) AS kb FROM mb, tot),\n"
-    "nmi AS (SELECT CASE WHEN ka = 1 AND kb = 1 THEN 1.0 WHEN mi = 0 THEN 0.0 ELSE mi / ((ha + hb) / 2.0) END AS nmi "
+    "nmi AS (SELECT CASE WHEN ka = 1 AND kb = 1 THEN 1.0 WHEN ka = 1 OR kb = 1 OR mi = 0 THEN 0.0 ELSE mi / ((ha + hb) / 2.0) END AS nmi "
     "FROM mi, ha, hb),\n"
     "pc AS (SELECT (SELECT sum(n * n) FROM ct) AS sn2, (SELECT sum(n) FROM ct) AS nt, (SELECT sum(a * a) FROM ma) AS sa2, "
     "(SELECT sum(b * b) FROM mb) AS sb2),\n"
@@ -841,7 +874,7 @@ BENCH_SQL = S.with_(
     f"string_split(lower({_strip_sql('text')}), ' ') AS a FROM benchmark))",
     "bp0 AS (SELECT 'adjacent' AS benchmark, item_id, pos, w AS w1, lead(w, 1) OVER (PARTITION BY item_id ORDER BY pos) "
     "AS w2 FROM bt UNION ALL SELECT 'skip', item_id, pos, w, lead(w, 2) OVER (PARTITION BY item_id ORDER BY pos) FROM bt)",
-    "bp AS (SELECT benchmark, w1, w2, max_by(((item_id + pos) % 11)::DOUBLE, item_id * 1000000 + pos) AS score FROM bp0 "
+    "bp AS (SELECT benchmark, w1, w2, max_by(((item_id + pos) % 11)::DOUBLE, (item_id, pos)) AS score FROM bp0 "
     "WHERE w2 IS NOT NULL GROUP BY benchmark, w1, w2)",
     "cov AS (SELECT p.benchmark, count(*)::BIGINT AS n_pairs, sum(CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL "
     "THEN 1 ELSE 0 END)::BIGINT AS n_covered FROM bp p LEFT JOIN wemb a ON p.w1 = a.key LEFT JOIN wemb b ON p.w2 = b.key "
@@ -859,7 +892,7 @@ BENCH_SQL = S.with_(
 def _bench_pairs(spark, sf):
     b = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower(F.col("text")).alias("text"))
     t = C.split_simple(b).withColumnRenamed("doc_id", "item_id")
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("item_id").orderBy("pos")
+    w = Window.partitionBy("item_id").orderBy("pos")
     p = t.select("item_id", "pos", F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("a"),
                  F.lead("word", 2).over(w).alias("s"))
     p = p.select("item_id", "pos", "w1", F.explode(F.array(
@@ -867,7 +900,7 @@ def _bench_pairs(spark, sf):
         F.struct(F.lit("skip").alias("benchmark"), F.col("s").alias("w2")))).alias("x")).select(
         "item_id", "pos", "w1", "x.benchmark", "x.w2").filter(F.col("w2").isNotNull())
     score = ((F.col("item_id") + F.col("pos")) % 11).cast("double")
-    key = F.col("item_id") * F.lit(1000000) + F.col("pos")
+    key = F.struct("item_id", "pos")
     return p.groupBy("benchmark", "w1", "w2").agg(F.max_by(score, key).alias("score"))
 
 
@@ -1028,9 +1061,9 @@ def q_s1(spark, sf):
     """Every line of the documents written as a one-document-per-line text
     corpus in the shared scratch folder, then read back and numbered."""
     lines = C.line_documents(load(spark, sf, "documents")).select(
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("line_no")).alias("o"), F.col("text").alias("value"))
+        "doc_id", "line_no", F.col("text").alias("value"))
     path = scratch_path(spark, "corpus-text")
-    write_ordered_lines(lines, "o", path)
+    write_ordered_lines(lines, ["doc_id", "line_no"], path)
     return CI.read_corpus(spark, path)
 
 

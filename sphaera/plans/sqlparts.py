@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from sphaera.functions.initgen import init_value_sql
 from sphaera.functions.keyed import digest_array_sql, draw_pair_sql, uniform_sql
-from sphaera.params import EOS, MAX_SEGMENT, MAX_TOKEN_BYTES, NOISE_POWER
+from sphaera.params import EOS, MAX_TOKEN_BYTES, NOISE_POWER
 
 
 def u(seed: int, op: str, keys: list[str], lane: int = 0) -> str:
@@ -21,14 +21,16 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def tok() -> str:
-    arr = "list_filter(regexp_split_to_array(replace(text, chr(13), ''), '[ \\t\\n]+'), lambda x: x <> '')"
-    word = (
-        f"CASE WHEN strlen(w) > {MAX_TOKEN_BYTES} THEN coalesce(try(decode(encode(w)[1:{MAX_TOKEN_BYTES}])), w) "
-        "ELSE w END"
-    )
+def cut_token(w: str, n: int = MAX_TOKEN_BYTES) -> str:
+    """The characters that fit whole into ``n`` bytes."""
+    fits = ", ".join(f"try(decode(encode({w})[1:{n - i}]))" for i in range(4))
+    return f"CASE WHEN strlen({w}) > {n} THEN coalesce({fits}) ELSE {w} END"
+
+
+def tok(text: str = "text") -> str:
+    arr = f"list_filter(regexp_split_to_array(replace({text}, chr(13), ''), '[ \\t\\n]+'), lambda x: x <> '')"
     return (
-        "tok AS (SELECT doc_id, pos, " + word + " AS word FROM ("
+        "tok AS (SELECT doc_id, pos, w AS word FROM ("
         f"SELECT doc_id, unnest(range(len(arr))) AS pos, unnest(arr) AS w FROM (SELECT doc_id, {arr} AS arr FROM documents)))"
     )
 
@@ -62,15 +64,16 @@ def keep_p(sample: float) -> str:
     return f"least(1.0, (sqrt(cn / {sn}) + 1) * {sn} / cn)"
 
 
-def kept(seed: int, sample: float, epoch: int, window: int) -> str:
+def kept(seed: int, sample: float, epoch: int, window: int, max_segment: int | None = None) -> str:
     """P2 + C9 + P5: subsampled tokens with kpos, seg and radius."""
+    seg = "0" if max_segment is None else f"kpos // {max_segment}"
     uu = u(seed, "sub", [str(epoch), "doc_id", "pos"])
     filt = f"WHERE {uu} <= {keep_p(sample)}" if sample > 0 else ""
     rad = f"{window} - CAST(floor({u(seed, 'win', [str(epoch), 'doc_id', 'kpos'])} * {window}) AS BIGINT)"
     return (
         f"sub AS (SELECT enc.* FROM enc, nstat {filt}),\n"
         "kp AS (SELECT doc_id, pos, idx, cn, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS kpos FROM sub),\n"
-        f"kept AS (SELECT doc_id, pos, idx, cn, kpos, (kpos // {MAX_SEGMENT})::BIGINT AS seg, ({rad})::BIGINT AS radius FROM kp)"
+        f"kept AS (SELECT doc_id, pos, idx, cn, kpos, ({seg})::BIGINT AS seg, ({rad})::BIGINT AS radius FROM kp)"
     )
 
 
@@ -84,12 +87,6 @@ def noise() -> str:
     )
 
 
-def draw_idx(ukey: str, ufall: str) -> str:
-    """P4 lookup is done with an ASOF join in the query bodies; this is the
-    fallback of P6 for id 0: ``1 + floor(u * (V - 1))``."""
-    return f"(1 + CAST(floor({ufall} * (n_vocab - 1)) AS BIGINT))"
-
-
 def init_vec(flat_base: str, dim: int) -> str:
     """T1 unnormalised vector of ``dim`` values starting at stream element
     ``flat_base``."""
@@ -127,12 +124,13 @@ def draws(name: str, src: str, seed: int, op: str, epoch: int, keys: list[str],
     )
 
 
-def pairs() -> str:
-    """G1 as a self range join."""
+def pairs(window: int) -> str:
+    """G1 as an equi-join on the other position, for every signed distance."""
     return (
-        "pairs AS (SELECT a.doc_id, a.seg, a.kpos, (b.kpos - a.kpos)::BIGINT AS off, a.idx AS ctx, b.idx AS center "
-        "FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.kpos <> a.kpos "
-        "AND b.kpos BETWEEN a.kpos - a.radius AND a.kpos + a.radius)"
+        "po AS (SELECT k.*, o.off::BIGINT AS off, k.kpos + o.off AS other FROM kept k, "
+        f"(SELECT unnest(range(-{window}, {window} + 1)) AS off) o WHERE o.off <> 0 AND abs(o.off) <= k.radius),\n"
+        "pairs AS (SELECT a.doc_id, a.seg, a.kpos, a.off, a.idx AS ctx, b.idx AS center "
+        "FROM po a JOIN kept b ON a.doc_id = b.doc_id AND a.seg = b.seg AND b.kpos = a.other)"
     )
 
 
