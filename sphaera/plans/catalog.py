@@ -822,6 +822,45 @@ def q_k2(spark, sf):
     return K.kmeans(_emb(spark, sf), 10, seed=SEED, spherical=True)
 
 
+def _lloyd_sql(rounds: int, metric: str) -> str:
+    """Lloyd rounds from the first ten rows, unrolled."""
+    cos = f"1 - {_dsql('e.vec', 'c.vec')} / (sqrt({_dsql('e.vec', 'e.vec')}) * sqrt({_dsql('c.vec', 'c.vec')}))"
+    dist = EUC.format(a="e.vec", b="c.vec") if metric == "euclidean" else cos
+    ctes = [EV, "c0 AS (SELECT id AS cid, CAST(vec AS DOUBLE[]) AS vec FROM ev WHERE id < 10)"]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"a{i} AS (SELECT id, cid AS cluster, vec, d FROM (SELECT e.id, e.vec, c.cid, {dist} AS d FROM ev e, c{i} c) "
+            "QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1)"
+        )
+        mean = (
+            f"SELECT cluster AS cid, list(x ORDER BY j) AS vec FROM (SELECT cluster, j, avg(x::DOUBLE) AS x FROM (SELECT "
+            f"cluster, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM a{i}) GROUP BY cluster, j) GROUP BY cluster"
+        )
+        if metric == "cosine":
+            mean = f"SELECT cid, list_transform(vec, lambda x: x / sqrt({_dsql('m.vec', 'm.vec')})) AS vec FROM ({mean}) m"
+        ctes.append(f"c{i + 1} AS ({mean})")
+    return S.with_(*ctes) + f"SELECT id, cluster::BIGINT AS cluster, round(d, 6) AS dist FROM a{rounds}"
+
+
+LLOYD_ROUNDS = 3
+
+
+def _lloyd(spark, sf, metric):
+    e = _emb(spark, sf).select("id", "vec")
+    a = K.lloyd(e, K.first_rows_as_centers(e, 10), LLOYD_ROUNDS, metric)
+    return a.select("id", F.col("cluster").cast("bigint"), r6("dist").alias("dist"))
+
+
+@register("k1_lloyd_rounds", _lloyd_sql(LLOYD_ROUNDS, "euclidean"))
+def q_k1_lloyd(spark, sf):
+    return _lloyd(spark, sf, "euclidean")
+
+
+@register("k2_lloyd_rounds", _lloyd_sql(LLOYD_ROUNDS, "cosine"))
+def q_k2_lloyd(spark, sf):
+    return _lloyd(spark, sf, "cosine")
+
+
 WEMB = "wemb AS (SELECT v.word AS key, x.vec FROM vecs x JOIN vocab v ON x.id = v.idx WHERE x.role = 'u')"
 SPLIT_DOCS = (
     f"sd AS (SELECT doc_id, unnest(string_split({_strip_sql('text')}, ' ')) AS word FROM documents)"
@@ -870,8 +909,8 @@ def q_t11(spark, sf):
 
 BENCH_SQL = S.with_(
     S.tok(), S.counts(), S.vocab(MIN_COUNT), S.vecs(DIM), WEMB,
-    f"bt AS (SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT item_id, "
-    f"string_split(lower({_strip_sql('text')}), ' ') AS a FROM benchmark))",
+    "bt AS (SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT item_id, list_filter("
+    "regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0B\\x0C]+'), lambda x: x <> '') AS a FROM benchmark))",
     "bp0 AS (SELECT 'adjacent' AS benchmark, item_id, pos, w AS w1, lead(w, 1) OVER (PARTITION BY item_id ORDER BY pos) "
     "AS w2 FROM bt UNION ALL SELECT 'skip', item_id, pos, w, lead(w, 2) OVER (PARTITION BY item_id ORDER BY pos) FROM bt)",
     "bp AS (SELECT benchmark, w1, w2, max_by(((item_id + pos) % 11)::DOUBLE, (item_id, pos)) AS score FROM bp0 "
@@ -890,8 +929,8 @@ BENCH_SQL = S.with_(
 
 
 def _bench_pairs(spark, sf):
-    b = load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lower(F.col("text")).alias("text"))
-    t = C.split_simple(b).withColumnRenamed("doc_id", "item_id")
+    words = F.filter(F.split(F.lower(F.col("text")), "[ \t\n\r\x0B\x0C]+"), lambda x: x != "")
+    t = load(spark, sf, "benchmark").select("item_id", F.posexplode(words).alias("pos", "word"))
     w = Window.partitionBy("item_id").orderBy("pos")
     p = t.select("item_id", "pos", F.col("word").alias("w1"), F.lead("word", 1).over(w).alias("a"),
                  F.lead("word", 2).over(w).alias("s"))
@@ -1139,6 +1178,38 @@ def q_s5(spark, sf):
                                                                           r6("x").alias("x"))
 
 
+@register(
+    "s14_read_pretrained",
+    VEC + "SELECT x.role, v.word AS key, unnest(range(len(vec)))::BIGINT AS j, "
+    "round(CAST(printf('%.6f', unnest(vec)::DOUBLE) AS DOUBLE), 6) AS x FROM vecs x JOIN vocab v ON x.id = v.idx "
+    "WHERE x.role IN ('u', 'v')",
+)
+def q_s14(spark, sf):
+    """Both word tables written as a pretrained pair and read back."""
+    prefix = scratch_path(spark, "pretrained")
+    for role, suffix in (("u", "_w.txt"), ("v", "_v.txt")):
+        write_ordered_lines(_emb_lines(spark, sf, role), "line_no", prefix + suffix)
+    u, v = EI.read_pretrained(spark, prefix, DIM)
+    e = u.withColumn("role", F.lit("u")).unionByName(v.withColumn("role", F.lit("v")))
+    return e.select("role", "key", F.posexplode("vec").alias("j", "x")).select(
+        "role", "key", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register(
+    "s13_append_metrics",
+    "SELECT CAST(lang AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) || ',' || CAST(sum(n_chars)::BIGINT AS VARCHAR) "
+    "AS value FROM documents GROUP BY lang",
+)
+def q_s13(spark, sf):
+    """One metrics line per language, appended run by run and read back."""
+    path = scratch_path(spark, "metrics")
+    d = load(spark, sf, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("bigint").alias("c"))
+    LI.append_metrics(d.filter("lang <= 'en'"), path)
+    LI.append_metrics(d.filter("lang > 'en'"), path)
+    return spark.read.text(path)
+
+
 @register(
     "s9_read_labels",
     "SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_id, quality::INT AS label FROM labels",
@@ -1153,21 +1224,21 @@ def q_s9(spark, sf):
 
 
 def _pair_lines(spark, sf, fmt: str):
-    clean = "^[^ \t\n\r\x0B\x0C,]+$"
-    p = _bench_pairs(spark, sf).filter(
-        (F.col("benchmark") == "adjacent") & F.col("w1").rlike(clean) & F.col("w2").rlike(clean))
-    p = p.withColumn("o", F.lit(1))
+    """All pairs of both kinds as a file; a pair of both kinds is listed twice
+    and its later line, of the skip kind, counts."""
+    p = _bench_pairs(spark, sf).withColumn("o", F.when(F.col("benchmark") == "adjacent", 1).otherwise(2))
     s = F.format_string("%.2f", "score")
     if fmt == "csv":
-        body = p.select("o", "w1", "w2", F.concat_ws(",", "w1", "w2", s).alias("value"))
-        head = "Word 1,Word 2,Human (mean)"
+        quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("w1", "w2")]
+        body = p.select("o", "w1", "w2", F.concat_ws(",", *quoted, s).alias("value"))
+        head = "first,second,score"
     elif fmt == "men":
         body = p.select("o", "w1", "w2", F.concat_ws(" ", "w1", "w2", s).alias("value"))
         head = None
     else:
         body = p.select("o", "w1", "w2",
                         F.concat_ws("\t", "w1", "w2", F.lit("N"), s, *[F.lit("1") for _ in range(6)]).alias("value"))
-        head = "word1\tword2\tPOS\tSimLex999\tconc(w1)\tconc(w2)\tconcQ\tAssoc(USF)\tSimAssoc333\tSD(SimLex)"
+        head = "\t".join(["first", "second", "pos", "score", *[f"x{i}" for i in range(6)]])
     if head is not None:
         body = body.unionByName(spark.createDataFrame([(0, "", "", head)], "o int, w1 string, w2 string, value string"))
     path = scratch_path(spark, f"pairs-{fmt}")
@@ -1176,8 +1247,7 @@ def _pair_lines(spark, sf, fmt: str):
 
 
 PAIRS_SQL = BENCH_SQL + (
-    ", ap AS (SELECT w1, w2, round(score, 2) AS score FROM bp WHERE benchmark = 'adjacent' "
-    "AND regexp_full_match(w1, '[^ \\t\\n\\r\\x0B\\x0C,]+') AND regexp_full_match(w2, '[^ \\t\\n\\r\\x0B\\x0C,]+')) "
+    ", ap AS (SELECT w1, w2, round(max_by(score, benchmark), 2) AS score FROM bp GROUP BY w1, w2) "
 )
 
 

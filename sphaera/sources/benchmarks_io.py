@@ -22,12 +22,11 @@ def _clean(col: str = "value"):
 
 
 def parse_wordsim_lines(lines: DataFrame) -> DataFrame:
-    """CSV with a header; columns word 1, word 2, score."""
-    parts = F.split(_clean(), ",")
-    p = lines.filter(F.col("line_no") > 0).select(
-        "line_no", F.lower(parts[0]).alias("w1"), F.lower(parts[1]).alias("w2"), parts[2].cast("double").alias("score")
-    )
-    return _last_wins(p)
+    """CSV with a header; columns word 1, word 2, score; fields may be
+    quoted, with a quote doubled inside."""
+    row = F.from_csv(_clean(), "w1 string, w2 string, score double", {"escape": '"'})
+    p = lines.filter(F.col("line_no") > 0).select("line_no", row.alias("r"))
+    return _last_wins(p.select("line_no", F.lower("r.w1").alias("w1"), F.lower("r.w2").alias("w2"), "r.score"))
 
 
 def parse_men_lines(lines: DataFrame) -> DataFrame:
