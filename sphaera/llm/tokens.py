@@ -2,30 +2,42 @@
 
 The tokenizer lower-cases, drops white space and encodes runs of letters,
 single digits and runs of signs each for itself. Texts of ASCII and Latin
-letters are cut into these parts here and the parts looked up: in a small table
-of the parts met first, which stays in the processor's cache, then in a large
-bounded one; unknown letter runs are encoded many at a time as one text and cut
-apart after the tokens that end a word. All other texts go through the
+letters are cut into these parts here, all texts of a batch as one array of
+bytes; equal parts are found by a 64-bit hash, and each distinct letter run is
+encoded once: all runs of one length are a matrix in which every step merges
+each run's best pair. All other parts, and all other texts, go through the
 tokenizer as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-MAX_CACHED = 1_000_000
-HOT = 16_384
-ENCODE_PARTS = 5000
+LONGEST = 24  # bytes; longer letter runs go through the tokenizer
+NONE = np.int64(1 << 40)
+BATCH_BYTES = 2_000_000
 
 # letters that normalisation leaves alone or lower-cases one for one
-_LETTERS = "a-zß-öø-ÿĀ-įĲ-ſ"
-_PLAIN = re.compile(rf"[\t-\r -~À-ÖØ-öø-ÿ{_LETTERS}]*")
-# the tokenizer's parts, in its order, over these characters
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
-_RUN = re.compile(rf"[{_LETTERS}]+")
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įĲ-ſ]*")
+_BLANK = re.compile(r"[\t-\r ]")
+BLANK, LETTER, DIGIT, SIGN = range(4)
+
+
+def _byte_classes() -> np.ndarray:
+    t = np.full(256, LETTER, np.uint8)  # the bytes of Latin letters beyond ASCII
+    t[:0x80] = SIGN
+    t[list(b"\t\n\x0b\x0c\r ")] = BLANK
+    t[ord("a") : ord("z") + 1] = LETTER
+    t[ord("0") : ord("9") + 1] = DIGIT
+    return t
+
+
+_CLASS = _byte_classes()
 
 
 def default_tokenizer() -> str:
@@ -34,97 +46,194 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _byte_symbols() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible
+    Latin-1 characters for themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-class _Parts:
-    """Ids of texts by one tokenizer; the large table is emptied at its bound."""
+class _Merges:
+    """BPE merges of many words at once."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        self.inner = np.array([vocab[c] for c in _byte_symbols()], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in _byte_symbols()], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.bits = 2 * max(1, len(pairs)).bit_length() // 2 + 2
+        size = 1 << self.bits
+        self.key = np.full(size, -1, np.int64)
+        self.value = np.zeros(size, np.int64)  # rank and merged symbol
+        for rank, (a, b) in enumerate(pairs):
+            k = vocab[a] << 20 | vocab[b]
+            at = int(self._slot(np.array([k]))[0])
+            while self.key[at] >= 0:
+                at = (at + 1) % size
+            self.key[at], self.value[at] = k, rank << 20 | vocab[a + b]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged symbol of pairs, NONE for pairs that do not merge."""
+        key = (left << 20 | right).ravel()
+        at = self._slot(key)
+        seen = self.key[at]
+        out = np.where(seen == key, self.value[at], NONE)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.key)
+            seen = self.key[at[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.value[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out.reshape(left.shape)
+
+    def __call__(self, raw: np.ndarray):
+        """Words of one length (word, byte): yields rows and their ids."""
+        rows = np.arange(len(raw))
+        sym = np.concatenate((self.inner[raw[:, :-1]], self.last[raw[:, -1:]]), 1)
+        best = self.find(sym[:, :-1], sym[:, 1:])
+        while len(rows):
+            n = sym.shape[1]
+            if n == 1:
+                yield rows, sym
+                return
+            j = best.argmin(1)
+            top = best[np.arange(len(rows)), j]
+            live = top != NONE
+            if not live.all():
+                yield rows[~live], sym[~live]
+                rows, sym, best, j, top = rows[live], sym[live], best[live], j[live], top[live]
+            at = np.arange(len(rows))
+            left = np.arange(n - 1) < j[:, None]
+            sym = np.where(left, sym[:, :-1], sym[:, 1:])
+            sym[at, j] = top & 0xFFFFF
+            best = np.where(left[:, 1:], best[:, :-1], best[:, 1:])
+            r = np.flatnonzero(j < n - 2)
+            best[r, j[r]] = self.find(sym[r, j[r]], sym[r, j[r] + 1])
+            r = np.flatnonzero(j > 0)
+            best[r, j[r] - 1] = self.find(sym[r, j[r] - 1], sym[r, j[r]])
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    odd = 0x9E3779B97F4A7C15
+    out = []
+    for x in (odd, pow(odd, -1, 1 << 64)):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def _cut(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and class of every part of lower-cased bytes that end in
+    three blanks. A contraction is a sign part with its letters."""
+    cls = _CLASS[flat]
+    start = (cls != BLANK) & ((cls == DIGIT) | np.concatenate(([True], cls[1:] != cls[:-1])))
+    quote = np.flatnonzero(start & (flat == ord("'")))
+    a, b = flat[quote + 1], flat[quote + 2]
+    one = np.isin(a, list(b"stmd"))
+    two = np.isin(a, list(b"rv")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    start[quote[one | two] + 1] = False
+    rest = np.concatenate((quote[one] + 2, quote[two & ~one] + 3))
+    start[rest] |= cls[rest] == LETTER
+    edge = start | (cls == BLANK)
+    s = np.flatnonzero(start)
+    return s, np.flatnonzero(edge)[np.cumsum(edge)[s]], cls[s]
+
+
+def _pieces(t: str) -> Iterator[str]:
+    """A long text in pieces, cut at blanks."""
+    lo = 0
+    while len(t) - lo > BATCH_BYTES and (m := _BLANK.search(t, lo + BATCH_BYTES)):
+        yield t[lo : m.start()]
+        lo = m.start()
+    yield t[lo:] if lo else t
+
+
+class _Encoder:
+    """Ids of texts by one tokenizer."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        # for lower-case letter runs with a blank between them, all of the
-        # normalisation and nearly all of the splitting is done
-        self.runs = Tokenizer.from_file(path)
-        self.runs.normalizer = normalizers.Sequence([])
-        self.runs.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.merges = _Merges(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.hot: dict[str, bytes] = {}
-        self.all: dict[str, bytes] = {}
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, runs: list[str]) -> list[bytes]:
-        ids = np.array(self.runs.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-        cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(cut) != len(runs):  # a vocabulary without word ends
-            return self._each(runs)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cut], cut)]
 
-    def _learn(self, parts: list[str]) -> None:
-        letters = [p for p in parts if _RUN.fullmatch(p)]
-        other = [p for p in parts if not _RUN.fullmatch(p)]
-        got = dict(zip(letters, self._letters(letters))) if letters else {}
-        if other:
-            got.update(zip(other, self._each(other)))
-        self.all.update(got)
-        if len(self.hot) < HOT:
-            self.hot.update(got)
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased plain texts."""
+        flat = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
+        s, e, cls = _cut(flat)
+        up, down = _powers(1 << (len(flat) - 1).bit_length())
+        total = np.concatenate(([np.uint64(0)], np.cumsum((flat + np.uint64(1)) * up[: len(flat)])))
+        _, first, which = np.unique((total[e] - total[s]) * down[s], return_index=True, return_inverse=True)
+        s1, size, kind = s[first], (e - s)[first], cls[first]
+        n_ids = np.zeros(len(first), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        runs = np.flatnonzero((kind == LETTER) & (size <= LONGEST))
+        order = runs[np.argsort(size[runs], kind="stable")]
+        for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
+            for r, ids in self.merges(flat[s1[rows][:, None] + np.arange(size[rows[0]])]):
+                found.append((rows[r], ids))
+        other = np.flatnonzero((kind != LETTER) | (size > LONGEST))
+        for i, ids in zip(other, self._each([flat[s1[i] : s1[i] + size[i]].tobytes().decode() for i in other])):
+            found.append((np.array([i]), ids[None, :]))
+        for rows, ids in found:
+            n_ids[rows] = ids.shape[1]
+        at = np.cumsum(n_ids) - n_ids
+        table = np.zeros(int(n_ids.sum()), "<u4")
+        for rows, ids in found:
+            table[at[rows][:, None] + np.arange(ids.shape[1])] = ids
+        n = n_ids[which]
+        before = np.concatenate(([0], np.cumsum(n)))
+        raw = table[np.repeat(at[which] - before[:-1], n) + np.arange(before[-1])].tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = (4 * before[np.searchsorted(s, ends)]).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        hot, every = self.hot.get, self.all.get
-        open_, missing, slow = [], {}, []
+        plain, slow, batch, size = [], [], [], 0
         for i, t in enumerate(texts):
             if not t:
                 continue
             if not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
                 slow.append(i)
                 continue
-            parts = _PARTS.findall(t.lower())
-            ids = list(map(hot, parts))
-            gaps = [j for j, x in enumerate(ids) if x is None]
-            lack = False
-            for j in gaps:
-                x = ids[j] = every(parts[j])
-                if x is None:
-                    missing[parts[j]] = None
-                    lack = True
-            if lack:
-                open_.append((i, ids, [(j, parts[j]) for j in gaps if ids[j] is None]))
-            else:
-                out[i] = b"".join(ids)
-        missing = list(missing)
-        if len(self.all) + len(missing) > MAX_CACHED:
-            self.all.clear()
-        for k in range(0, len(missing), ENCODE_PARTS):
-            self._learn(missing[k : k + ENCODE_PARTS])
-        known = self.all
-        for i, ids, gaps in open_:
-            for j, p in gaps:
-                ids[j] = known[p]
-            out[i] = b"".join(ids)
+            for piece in _pieces(t):
+                plain.append(i)
+                batch.append(piece.lower().encode())
+                size += len(batch[-1])
+                if size > BATCH_BYTES:
+                    for k, ids in zip(plain, self._plain(batch)):
+                        out[k] += ids
+                    plain, batch, size = [], [], 0
+        for k, ids in zip(plain, self._plain(batch) if batch else ()):
+            out[k] += ids
         for i, ids in zip(slow, self._each([texts[i] for i in slow])):
-            out[i] = ids
+            out[i] = ids.astype("<u4").tobytes()
         return out
 
 
-_parts = lru_cache(maxsize=2)(_Parts)
+_encoder = lru_cache(maxsize=2)(_Encoder)
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers. A null
     text is empty."""
-    return _parts(path)(texts)
+    return _encoder(path)(texts)

@@ -92,6 +92,15 @@ def test_words_give_the_ids_of_the_text(edge_rows, small_docs):
         assert got == np.array(want[:-1], "<u4").tobytes()
 
 
+def test_long_texts_are_cut_at_blanks(monkeypatch, small_docs):
+    from sphaera.llm import tokens
+
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 50)
+    texts = [r.text for r in small_docs.limit(20).collect()] + ["x" * 200 + " y " + "z" * 70, "a\n\n b " * 40]
+    for got, want in zip(token_bytes(texts, default_tokenizer()), direct_ids(texts)):
+        assert got == np.array(want[:-1], "<u4").tobytes()
+
+
 def check_placed(got, rows, capacity):
     ids = {}
     for r, x in zip(rows, direct_ids([r[1] for r in rows])):
