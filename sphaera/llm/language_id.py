@@ -42,8 +42,8 @@ EPOCHS = 6
 BATCH = 64
 RATE = 0.3
 L2 = 1e-5
-MAX_CACHED_WORDS = 300_000
-BATCH_BYTES = 4_000_000
+MAX_CACHED_WORDS = 200_000
+BATCH_BYTES = 2_000_000
 
 _runs = re.compile(r"[^\W\d_]+")
 
@@ -248,31 +248,33 @@ def label(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np
     return _passes(tm, n_at, model.trans, model.start)[spot], lengths
 
 
-def _slices(text: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``BATCH_BYTES`` bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(text):
+def _slices(text: pa.Array) -> Iterator[np.ndarray]:
+    """The texts in runs of about ``BATCH_BYTES`` bytes, longest first: the
+    passes take a step for every word of a run's longest text."""
+    size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(-size, kind="stable")
+    size, lo = np.cumsum(size[order]), 0
+    while lo < len(order):
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH_BYTES)))
-        yield lo, hi
+        yield order[lo:hi]
         lo = hi
 
 
-def _best(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(text: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the best language (the number of languages for none), score
     and number of switches of every text."""
-    n, k = len(texts), len(model.langs)
-    best, score, switches = np.full(n, k), np.zeros(n), np.zeros(n, np.int64)
-    if k:
-        post, lengths = label(texts, model)
-        doc = np.repeat(np.arange(n), lengths)
-        total = np.stack([np.bincount(doc, post[:, j], n) for j in range(k)], 1)
+    k = len(model.langs)
+    best, score, switches = np.full(len(text), k), np.zeros(len(text)), np.zeros(len(text), np.int64)
+    for at in _slices(text) if k else ():
+        post, lengths = label(text.take(pa.array(at)).to_pylist(), model)
+        doc = np.repeat(np.arange(len(at)), lengths)
+        total = np.stack([np.bincount(doc, post[:, j], len(at)) for j in range(k)], 1)
         some = lengths > 0
-        best[some] = total[some].argmax(1)
-        score[some] = np.minimum(total[some].max(1) / lengths[some], 1.0)
+        best[at[some]] = total[some].argmax(1)
+        score[at[some]] = np.minimum(total[some].max(1) / lengths[some], 1.0)
         top = post.argmax(1)
         turn = (top[1:] != top[:-1]) & (doc[1:] == doc[:-1])
-        switches = np.bincount(doc[1:][turn], minlength=n)
+        switches[at] = np.bincount(doc[1:][turn], minlength=len(at))
     return best, score, switches
 
 
@@ -283,14 +285,11 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column("t")
-            for lo, hi in _slices(text):
-                n = hi - lo
-                best, score, switches = _best(text.slice(lo, n).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, n), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches, pa.int64())],
-                    names=["id", "lang_pred", "score", "n_switches"],
-                )
+            best, score, switches = _best(b.column("t"), model)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(switches, pa.int64())],
+                names=["id", "lang_pred", "score", "n_switches"],
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t"))
@@ -307,11 +306,8 @@ def keep_identified(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(at)
-            for lo, hi in _slices(text):
-                best, score, _ = _best(text.slice(lo, hi - lo).to_pylist(), model)
-                keep = (best < len(model.langs)) & (score >= least_score)
-                yield b.slice(lo, hi - lo).filter(pa.array(keep))
+            best, score, _ = _best(b.column(at), model)
+            yield b.filter(pa.array((best < len(model.langs)) & (score >= least_score)))
 
     return df.mapInArrow(run, df.schema)
 
@@ -322,14 +318,14 @@ def label_words(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("t")
-            for lo, hi in _slices(text):
-                got: list[list[str]] = [[] for _ in range(hi - lo)]
+            for at in _slices(text):
+                got: list[list[str]] = [[] for _ in at]
                 if model.langs:
-                    post, lengths = label(text.slice(lo, hi - lo).to_pylist(), model)
+                    post, lengths = label(text.take(pa.array(at)).to_pylist(), model)
                     top = np.array(model.langs, dtype=object)[post.argmax(1)]
                     got = [x.tolist() for x in np.split(top, np.cumsum(lengths)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, hi - lo), pa.array(got, pa.list_(pa.string()))], names=["id", "langs"]
+                    [b.column("id").take(pa.array(at)), pa.array(got, pa.list_(pa.string()))], names=["id", "langs"]
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
