@@ -19,19 +19,27 @@ from sphaera.operators.sampling import CorpusScalars, draw_negatives
 BLOCK = 8192
 
 
-def skipgram_pairs(
+def neighbours(
     kept: DataFrame, window: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), block: int = BLOCK
 ) -> DataFrame:
-    """G1: for every kept position (context ``ctx`` = its word) each other
-    position of the same segment within ``radius``: ``center`` = that word,
-    ``off`` = signed distance. ``carry`` columns are passed through."""
+    """Every kept position with ``near``: the positions and words of its
+    segment within ``window``, in order, itself included."""
     b = lambda at: F.floor(at / F.lit(block)).cast("bigint")
     first, last = b(F.greatest(F.col("kpos") - window, F.lit(0))), b(F.col("kpos") + window)
     kept = kept.withColumn("_b", F.explode(F.sequence(first, last)))
     frame = Window.partitionBy(*by, "doc_id", "seg", "_b").orderBy("kpos").rowsBetween(-window, window)
     near = F.collect_list(F.struct(F.col("kpos").alias("p"), F.col("idx").alias("i"))).over(frame)
     w = kept.select("doc_id", "seg", "kpos", "idx", "radius", *carry, "_b", near.alias("near"))
-    w = w.filter(F.col("_b") == b(F.col("kpos"))).drop("_b")  # the block that owns the position
+    return w.filter(F.col("_b") == b(F.col("kpos"))).drop("_b")  # the block that owns the position
+
+
+def skipgram_pairs(
+    kept: DataFrame, window: int, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), block: int = BLOCK
+) -> DataFrame:
+    """G1: for every kept position (context ``ctx`` = its word) each other
+    position of the same segment within ``radius``: ``center`` = that word,
+    ``off`` = signed distance. ``carry`` columns are passed through."""
+    w = neighbours(kept, window, carry, by, block)
     e = w.select("doc_id", "seg", "kpos", F.col("idx").alias("ctx"), "radius", *carry, F.explode("near").alias("n"))
     off = F.col("n.p") - F.col("kpos")
     return e.filter((off != 0) & (F.abs(off) <= F.col("radius"))).select(
@@ -55,6 +63,33 @@ def _with_draws(df: DataFrame, negative: int, seed: int, op: str, epoch: int, ke
     return d.withColumn("u1", F.expr(u1)).withColumn("u2", F.expr(u2)).drop("_dgs")
 
 
+def position_rows(
+    kept: DataFrame, window: int, negative: int, seed: int, epoch: int, carry: tuple[str, ...] = (),
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """G1 to G4 as one row per kept position: its word ``idx``, the pairs'
+    ``off`` and ``center`` as arrays in order of distance, and the digests of
+    the pairs' (``wdraw``) and the document's (``ddraw``) draws, 16 bytes each.
+    :func:`sphaera.operators.trainer.noise_ids` reads the draws of
+    :func:`word_triples` and :func:`doc_triples` off them."""
+    groups = (negative + 1) // 2
+    w = neighbours(kept, window, carry, by).withColumn(
+        "_p",
+        F.expr(
+            "filter(transform(near, n -> struct(cast(n.p - kpos as bigint) as off, n.i as center)), "
+            "x -> x.off <> 0 and abs(x.off) <= radius)"
+        ),
+    )
+    word = digest_array_sql(seed, "wneg", [str(epoch), "doc_id", "kpos", "x.off"], groups)
+    doc = digest_array_sql(seed, "dneg", [str(epoch), "doc_id", "kpos"], groups)
+    return w.select(
+        "doc_id", F.col("kpos").cast("bigint").alias("kpos"), "idx", *carry,
+        F.expr("transform(_p, x -> x.off)").alias("off"), F.expr("transform(_p, x -> x.center)").alias("center"),
+        F.expr(f"unhex(array_join(flatten(transform(_p, x -> {word})), ''))").alias("wdraw"),
+        F.expr(f"unhex(array_join({doc}, ''))").alias("ddraw"),
+    )
+
+
 def word_triples(
     pairs: DataFrame, grid: DataFrame, scalars: CorpusScalars, negative: int, seed: int, epoch: int,
     broadcast_rows: int = 2_000_000,

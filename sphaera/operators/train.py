@@ -68,7 +68,7 @@ def load_pretrained(vocab: DataFrame, pretrained: DataFrame, role: str, dim: int
     checked = pre.withColumn(
         "vec",
         F.when(F.size("vec") == dim, F.col("vec")).otherwise(
-            F.raise_error(F.lit("Embedding dimension incompatible with pretrained file!"))
+            F.raise_error(F.concat(F.lit(f"expected vectors of {dim} numbers, found "), F.size("vec").cast("string")))
         ),
     )
     j = vocab.select("idx", "word").join(checked, "word", "left")

@@ -24,10 +24,11 @@ class Params:
     min_count: int = 5
     seed: int = 1
     # Distributed trainer: whole documents are grouped into shards of about
-    # ``shard_tokens`` in-vocabulary tokens; ``wave`` shards train from one
-    # snapshot before their deltas are merged (0 = all shards in one wave).
+    # ``shard_tokens`` in-vocabulary tokens. An epoch has ``merges`` steps; the
+    # shards of a step train side by side from one snapshot, so a step grows
+    # with the corpus and their number does not.
     shard_tokens: int = 100_000
-    wave: int = 8
+    merges: int = 4
     batch_size: int = 4096
     # Off by default: nothing is cut. ``max_token_bytes`` shortens tokens at a
     # character border, ``max_segment`` ends windows after so many kept tokens.

@@ -21,10 +21,15 @@ def test_separators_and_carriage_return(spark):
 
 def test_long_tokens_cut_to_98_bytes(spark):
     d = docs(spark, ["a" * 120, "é" * 60, "b" * 98])
-    w = {r["doc_id"]: r["word"] for r in C.tokenize(d).collect()}
+    w = {r["doc_id"]: r["word"] for r in C.tokenize(d, max_bytes=98).collect()}
     assert w[0] == "a" * 98
     assert len(w[1].encode("utf-8")) == 98 and w[1] == "é" * 49
     assert w[2] == "b" * 98
+    # a cut never falls inside a character, and nothing is cut unasked
+    d = docs(spark, ["a" + "é" * 60, "ab" + "中" * 40, "abc" + "🙂" * 30, "x" * 500])
+    w = {r["doc_id"]: r["word"] for r in C.tokenize(d, max_bytes=98).collect()}
+    assert w == {0: "a" + "é" * 48, 1: "ab" + "中" * 32, 2: "abc" + "🙂" * 23, 3: "x" * 98}
+    assert {r["word"] for r in C.tokenize(d).collect()} >= {"x" * 500, "a" + "é" * 60}
 
 
 def test_literal_eos_splits_documents(spark):
@@ -75,7 +80,8 @@ def test_encode_renumbers_over_dropped_words(spark):
 def test_segments_of_1000(spark):
     rows = [(0, i, 1, 10) for i in range(2500)]
     kept = spark.createDataFrame(rows, "doc_id long, pos long, idx long, cn long")
-    seg = C.segment(kept).groupBy("seg").count().orderBy("seg").collect()
+    assert C.segment(kept).select("seg").distinct().count() == 1
+    seg = C.segment(kept, 1000).groupBy("seg").count().orderBy("seg").collect()
     assert [(r["seg"], r["count"]) for r in seg] == [(0, 1000), (1, 1000), (2, 500)]
 
 
@@ -108,3 +114,19 @@ def test_skipgram_pairs_match_brute_force(spark):
                 want.append((d, p, p2 - p, i, i2))
     assert got == sorted(want)
     assert F is not None
+
+
+def test_skipgram_pairs_cross_block_edges(spark):
+    import random
+
+    random.seed(4)
+    rows = [(7, 0, k, random.randint(1, 50), random.randint(1, 5)) for k in range(5000)]
+    kept = spark.createDataFrame(rows, "doc_id long, seg int, kpos long, idx long, radius long")
+    from sphaera.operators.pairs import skipgram_pairs
+
+    for block in (64, 999):
+        got = skipgram_pairs(kept, 5, block=block).select("kpos", "off", "ctx", "center").collect()
+        want = [
+            (k, o, i, rows[k + o][3]) for _, _, k, i, r in rows for o in range(-r, r + 1) if o and 0 <= k + o < len(rows)
+        ]
+        assert sorted(tuple(r) for r in got) == sorted(want)
