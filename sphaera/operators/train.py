@@ -163,6 +163,25 @@ def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha:
     return apply_deltas(vectors, sum_deltas(deltas, dim))
 
 
+def position_deltas(positions: DataFrame, vectors: DataFrame, alpha: float, margin: float, dim: int, negative: int, noise,
+                    kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """T4 (kind 0), T5 (kind 1) or both over position rows: every group of
+    documents gets the vectors its triples touch, once each, and sums its steps
+    per row before they are shuffled: ``(role, id, delta)``."""
+    from sphaera.operators.trainer import DELTA_SCHEMA, make_delta_fn, working_ids
+
+    n = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pos = positions.withColumn("pkey", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("alpha", F.lit(float(alpha)))
+    pos = pos.repartition(n, "pkey").cache()
+    need = pos.mapInArrow(working_ids(negative, noise), "wpkey int, role string, ids array<long>")
+    need = need.select("wpkey", "role", F.explode("ids").alias("id"))
+    ws = need.join(vectors, ["role", "id"])
+    out = pos.groupBy("pkey").cogroup(ws.groupBy("wpkey")).applyInArrow(
+        make_delta_fn(margin, negative, noise, dim, kinds), DELTA_SCHEMA
+    )
+    return sum_deltas(out, dim)
+
+
 def alpha_expr(alpha0: float, done, iters: int, train_words: int):
     """``alpha0 * max(1 - done / (iter * N + 1), 1e-4)``."""
     done = done if not isinstance(done, (int, float)) else F.lit(done)

@@ -538,8 +538,17 @@ def q_t3(spark, sf):
                      r6("loss").alias("loss"), F.col("active").cast("bigint").alias("active"))
 
 
-def _delta_long(d):
-    s = T.sum_deltas(d, DIM)
+def _position_deltas(spark, sf, kinds):
+    from sphaera.operators.trainer import Noise
+
+    _, hist, sc = sampling_state(spark, sf)
+    h = hist.select("first_idx", "n_words", "w", "cum_before").orderBy("first_idx").toPandas()  # distinct counts
+    noise = Noise(*(h[c].to_numpy() for c in h), sc.noise_total, sc.vocab_size)
+    pos = G.position_rows(kept(spark, sf, sc), WINDOW, NEGATIVE, SEED, EPOCH)
+    return T.position_deltas(pos, _vectors(spark, sf), ALPHA, MARGIN, DIM, NEGATIVE, noise, kinds)
+
+
+def _delta_long(s):
     return s.select("role", "id", F.posexplode("delta").alias("j", "x")).select(
         "role", "id", F.col("j").cast("bigint"), r6("x").alias("x"))
 
@@ -550,9 +559,7 @@ def _delta_long(d):
     + "\nSELECT role, id, j::BIGINT AS j, round(x, 6) AS x FROM ws",
 )
 def q_t4(spark, sf):
-    wt, _ = _triples(spark, sf)
-    fw = T.margin_forward(wt, _vectors(spark, sf), "v", "ctx", "center", MARGIN, DIM)
-    return _delta_long(T.triple_deltas(fw, "v", "ctx", "center", ALPHA, DIM))
+    return _delta_long(_position_deltas(spark, sf, (0,)))
 
 
 @register(
@@ -561,9 +568,7 @@ def q_t4(spark, sf):
     + "\nSELECT role, id, j::BIGINT AS j, round(x, 6) AS x FROM ds",
 )
 def q_t5(spark, sf):
-    _, dt = _triples(spark, sf)
-    fw = T.margin_forward(dt, _vectors(spark, sf), "d", "doc_id", "word", MARGIN, DIM)
-    return _delta_long(T.triple_deltas(fw, "d", "doc_id", "word", ALPHA, DIM))
+    return _delta_long(_position_deltas(spark, sf, (1,)))
 
 
 @register(
@@ -582,8 +587,7 @@ def q_t5(spark, sf):
     "(SELECT role, id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM fin)",
 )
 def q_t6(spark, sf):
-    wt, dt = _triples(spark, sf)
-    return _long(T.batch_step(_vectors(spark, sf), wt, dt, ALPHA, MARGIN, DIM))
+    return _long(T.apply_deltas(_vectors(spark, sf), _position_deltas(spark, sf, (0, 1))))
 
 
 def _shards(spark, sf):
