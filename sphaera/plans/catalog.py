@@ -1083,6 +1083,65 @@ def q_t9_fit(spark, sf):
     return fit(load(spark, sf, "documents"), FIT_PARAMS).objective
 
 
+ONE_EPOCH = Params(dim=DIM, iter=1, window=WINDOW, negative=NEGATIVE, min_count=MIN_COUNT, sample=SAMPLE, seed=SEED,
+                   margin=MARGIN, alpha=ALPHA, shard_tokens=20_000, merges=1, batch_size=1_000_000_000)
+
+
+def _one_epoch_sql() -> str:
+    """One step of all shards, one batch per shard: T6 inside every shard with
+    the schedule's rate, then the shards' changes added up over sqrt(shards)."""
+    step = f"range({DIM})"
+    parts = {
+        "pos": f"list_transform({step}, lambda j: alpha * (1.0 - f) * (a_vec[j + 1] - f * u_vec[j + 1]))",
+        "neg": f"list_transform({step}, lambda j: alpha * 2.0 * h * (h * n_vec[j + 1] - a_vec[j + 1]))",
+        "anchor": f"list_transform({step}, lambda j: alpha * (1.0 - (f - h)) * (u_vec[j + 1] - (f - h) * a_vec[j + 1] - n_vec[j + 1]))",
+    }
+    cols = "f, h, a_vec, u_vec, n_vec, run, alpha"
+    norm = "sqrt(list_sum(list_transform(vec, lambda y: y * y)))"
+    return (
+        TRI.rstrip() + ",\n"
+        "pl0 AS (SELECT d.doc_id, coalesce(e.n, 0) + 1 AS n_words FROM documents d LEFT JOIN "
+        "(SELECT doc_id, count(*) AS n FROM enc GROUP BY doc_id) e ON d.doc_id = e.doc_id),\n"
+        "pl1 AS (SELECT doc_id, coalesce(sum(n_words) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        "AS cum FROM pl0),\n"
+        f"pl2 AS (SELECT doc_id, cum, cum // {ONE_EPOCH.shard_tokens} AS run FROM pl1),\n"
+        "al AS (SELECT doc_id, run, "
+        f"{ALPHA}::DOUBLE * greatest(1.0 - ((SELECT count(DISTINCT run) FROM pl2) * (cum - min(cum) OVER (PARTITION BY run)))::DOUBLE "
+        "/ (n_train::DOUBLE + 1.0), 1e-4) AS alpha FROM pl2, nstat),\n"
+        f"tri AS (SELECT 'v' AS arole, ctx AS anchor, center AS pos, neg, {cols} FROM wf JOIN al USING (doc_id) WHERE active "
+        f"UNION ALL SELECT 'd', doc_id, word, neg, {cols} FROM df JOIN al USING (doc_id) WHERE active),\n"
+        f"st AS (SELECT run, 'u' AS role, pos AS id, {parts['pos']} AS delta FROM tri UNION ALL "
+        f"SELECT run, 'u', neg, {parts['neg']} FROM tri UNION ALL SELECT run, arole, anchor, {parts['anchor']} FROM tri),\n"
+        "sl AS (SELECT run, role, id, j, sum(x) AS x FROM (SELECT run, role, id, unnest(range(len(delta))) AS j, unnest(delta) AS x "
+        "FROM st) GROUP BY ALL),\n"
+        "sh AS (SELECT run, role, id, list(x ORDER BY j) AS delta FROM sl GROUP BY ALL),\n"
+        f"nw AS (SELECT s.role, s.id, v.vec AS old, list_transform({step}, lambda j: v.vec[j + 1] + s.delta[j + 1]) AS vec "
+        "FROM sh s JOIN vecs v ON v.role = s.role AND v.id = s.id),\n"
+        f"nn AS (SELECT role, id, old, list_transform(vec, lambda y: y / {norm}) AS vec FROM nw),\n"
+        f"ch AS (SELECT role, id, list_transform({step}, lambda j: CAST(vec[j + 1] - old[j + 1] AS FLOAT)) AS delta FROM nn "
+        "WHERE role <> 'd'),\n"
+        "ms AS (SELECT role, id, j, sum(x::DOUBLE) / sqrt(count(*)::DOUBLE) AS x FROM (SELECT role, id, "
+        "unnest(range(len(delta))) AS j, unnest(delta) AS x FROM ch) GROUP BY ALL),\n"
+        "ml AS (SELECT role, id, list(x ORDER BY j) AS delta FROM ms GROUP BY ALL),\n"
+        f"mw AS (SELECT v.role, v.id, list_transform({step}, lambda j: v.vec[j + 1] + m.delta[j + 1]) AS vec FROM ml m "
+        "JOIN vecs v ON v.role = m.role AND v.id = m.id),\n"
+        f"fin AS (SELECT role, id, list_transform(vec, lambda y: CAST(y / {norm} AS FLOAT)) AS vec FROM mw UNION ALL "
+        "SELECT role, id, list_transform(vec, lambda y: CAST(y AS FLOAT)) FROM nn WHERE role = 'd' UNION ALL "
+        "SELECT role, id, vec FROM vecs WHERE (role, id) NOT IN (SELECT (role, id) FROM sh))\n"
+        "SELECT role, id, j::BIGINT AS j, round(x::DOUBLE, 6) AS x FROM "
+        "(SELECT role, id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM fin)"
+    )
+
+
+@register("t8_fit_one_epoch", _one_epoch_sql())
+def q_t8_epoch(spark, sf):
+    """The production trainer over one epoch of one step and one batch per
+    shard: every vector of the three tables."""
+    from sphaera.plans.fit import fit
+
+    return _long(fit(load(spark, sf, "documents"), ONE_EPOCH).vectors())
+
+
 # ------------------------------------------------------------------- sources / sinks
 
 from sphaera.session import scratch_path  # noqa: E402
