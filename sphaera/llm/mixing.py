@@ -215,13 +215,13 @@ def mix_documents(
         F.col("id").alias("mx_id"), F.col("th").alias("mx_th"), F.col("size").alias("mx_size"), "mx_cuts", "mx_words"
     )
     whole = df.select(
-        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("mx_row"), df[text_col].cast("string").alias("mx_text"),
-        df[id_col].alias("mx_did"), F.xxhash64(df[text_col]).alias("mx_dth"),
+        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("mx_row"), df[id_col].alias("mx_did"), F.xxhash64(df[text_col]).alias("mx_dth"),
     ).dropDuplicates(["mx_did", "mx_dth"])
     j = rows.join(whole, rows["mx_id"].eqNullSafe(whole["mx_did"]) & (rows["mx_th"] == whole["mx_dth"]))
-    words = F.regexp_extract_all(F.col("mx_text"), F.lit(WORD_AND_SPACE), F.lit(0))
+    text = F.col("mx_row").getField(text_col).cast("string")
+    words = F.regexp_extract_all(text, F.lit(WORD_AND_SPACE), F.lit(0))
     j = j.withColumn("mx_cuts", F.transform("mx_cuts", lambda c: F.struct((c["start"] + 1).cast("int").alias("a"), c["took"].cast("int").alias("n"))))
-    part = F.when(F.col("mx_words") == F.col("mx_size"), F.col("mx_text")).otherwise(
+    part = F.when(F.col("mx_words") == F.col("mx_size"), text).otherwise(
         F.array_join(F.flatten(F.transform("mx_cuts", lambda c: F.slice(words, c["a"], c["n"]))), "")
     )
     j = j.withColumn("mx_part", part)
