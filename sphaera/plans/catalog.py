@@ -1142,6 +1142,36 @@ def q_t8_epoch(spark, sf):
     return _long(fit(load(spark, sf, "documents"), ONE_EPOCH).vectors())
 
 
+@register("e5_trained_similarity")
+def q_e5(spark, sf):
+    """The similarity report of trained word vectors, one row per benchmark."""
+    from sphaera.plans.fit import fit
+
+    emb = fit(load(spark, sf, "documents"), FIT_PARAMS).word_embeddings("u").select("key", "vec")
+    r = E.similarity_report(_bench_pairs(spark, sf), emb)
+    return r.select("benchmark", "n_pairs", "n_covered", r6("spearman").alias("spearman"))
+
+
+@register("k12_trained_clustering")
+def q_k12(spark, sf):
+    """Both K-means variants on trained document vectors against the
+    documents' language, one row per method."""
+    from sphaera.plans.fit import fit
+    from sphaera.plans.flagship import label_codes
+
+    d = load(spark, sf, "documents")
+    vec = fit(d, FIT_PARAMS).docs.select("id", "src_id", "vec")
+    codes = label_codes(d, "lang")
+    truth = vec.join(d.select(F.col("doc_id").alias("src_id"), "lang").join(codes, "lang"), "src_id").select("id", "label")
+    out = None
+    for method in ("kmeans", "spherical"):
+        pred = K.kmeans(vec.select("id", "vec"), codes.count(), seed=SEED, spherical=method == "spherical")
+        r = K.cluster_report(K.contingency(truth, pred).cache())
+        r = r.select(F.lit(method).alias("method"), *[r6(c).alias(c) for c in ("mi", "nmi", "ari", "purity")])
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # ------------------------------------------------------------------- sources / sinks
 
 from sphaera.session import scratch_path  # noqa: E402
