@@ -25,8 +25,7 @@ def _key(seed: int, op: str, keys: list[str], dialect: str) -> str:
 def uniform_sql(seed: int, op: str, keys: list[str], lane: int = 0, dialect: str = "spark") -> str:
     """SQL text for u in [0, 1) keyed by ``keys`` (SQL expressions).
 
-    ``lane`` 0..3 picks one of the four 32-bit words of the digest, so two or
-    more independent uniforms can share one hash.
+    ``lane`` 0..3 picks one of the four 32-bit words of the digest.
     """
     if not 0 <= lane <= 3:
         raise ValueError("lane must be 0..3")
@@ -44,28 +43,31 @@ def uniform(seed: int, op: str, *keys: str, lane: int = 0) -> Column:
     return F.expr(uniform_sql(seed, op, list(keys), lane, "spark"))
 
 
-def digest_array_sql(seed: int, op: str, keys: list[str], groups: int, dialect: str = "spark") -> str:
-    """SQL for an array of ``groups`` digests of one key: digest ``g`` hashes
-    the key with ``g`` appended, and each digest yields four 32-bit lanes, so
-    two draws of two uniforms each share one hash."""
-    items = [f"md5({_key(seed, op, keys + [str(g)], dialect)})" for g in range(groups)]
-    return ("array(" if dialect == "spark" else "[") + ", ".join(items) + (")" if dialect == "spark" else "]")
+def lanes_sql(seed: int, op: str, keys: list[str], dialect: str = "spark") -> str:
+    """SQL for the four 32-bit words of one digest, as an array of BIGINT."""
+    digest = f"md5({_key(seed, op, keys, dialect)})"
+    parts = [f"substr({digest}, {i * 8 + 1}, 8)" for i in range(4)]
+    if dialect == "spark":
+        return "array(" + ", ".join(f"CAST(conv({p}, 16, 10) AS BIGINT)" for p in parts) + ")"
+    return "[" + ", ".join(f"CAST('0x' || {p} AS BIGINT)" for p in parts) + "]"
 
 
-def lane_uniform_sql(digest: str, lane: str, dialect: str = "spark") -> str:
-    """u in [0, 1) from the 32-bit lane ``lane`` (0..3, an SQL expression)
-    of the hex digest expression ``digest``."""
-    hexpart = f"substr({digest}, CAST(({lane}) * 8 + 1 AS INT), 8)"
-    if dialect == "spark":
-        return f"(CAST(conv({hexpart}, 16, 10) AS BIGINT) / {TWO_32})"
-    return f"(CAST('0x' || {hexpart} AS BIGINT) / {TWO_32})"
+# Fixed values of the draws: a prime below 2^32, and the second word's share.
+PRIME = 4294967291
+LOW = 1 << 20
+
+
+def draw_pair_sql(negative: int, off: str, k: str, lanes: str = "_l", dialect: str = "spark") -> tuple[str, str]:
+    """(u1, u2) SQL of draw ``k`` (1-based) at signed distance ``off`` from one
+    digest per position: quadratics of the draw's number in the digest's words,
+    modulo a prime, so that a pair costs no digest of its own. ``u1`` has 52
+    bits, ``u2`` 32. The same integers come out in Spark, DuckDB and NumPy
+    (:func:`sphaera.operators.trainer.noise_ids`)."""
+    j = f"(2 * (abs({off}) * {negative} + ({k})) + CASE WHEN {off} < 0 THEN 1 ELSE 0 END)"
+    a, b, c, d = (f"element_at({lanes}, {i})" if dialect == "spark" else f"{lanes}[{i}]" for i in range(1, 5))
 
+    def quadratic(x, y, z):
+        return f"(({x} + {y} * {j} + {z} * {j} * {j}) % {PRIME})"
 
-def draw_pair_sql(negative: int, k_col: str = "k", digests: str = "_dgs", dialect: str = "spark"):
-    """(u1, u2) SQL for draw ``k`` (1-based) from the digest array: draw k
-    uses digest ``(k-1) div 2`` and lanes ``2((k-1) mod 2)`` and the next."""
-    div = "div" if dialect == "spark" else "//"
-    g = f"((({k_col}) - 1) {div} 2)"
-    dg = f"element_at({digests}, CAST({g} + 1 AS INT))" if dialect == "spark" else f"{digests}[{g} + 1]"
-    lane = f"(((({k_col}) - 1) % 2) * 2)"
-    return lane_uniform_sql(dg, lane, dialect), lane_uniform_sql(dg, f"{lane} + 1", dialect)
+    u1 = f"(CAST({quadratic(a, b, c)} * {LOW} + {quadratic(d, a, b)} % {LOW} AS DOUBLE) / {float(PRIME * LOW):.1f})"
+    return u1, f"(CAST({quadratic(c, d, a)} AS DOUBLE) / {float(PRIME):.1f})"

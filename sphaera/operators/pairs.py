@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sphaera.functions.keyed import digest_array_sql, draw_pair_sql
+from sphaera.functions.keyed import draw_pair_sql, lanes_sql
 from sphaera.operators.sampling import CorpusScalars, draw_negatives
 
 
@@ -52,15 +52,18 @@ def doc_word_pairs(kept: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return kept.select("doc_id", "kpos", F.col("idx").alias("word"), *carry)
 
 
+def with_lanes(kept: DataFrame, seed: int, op: str, epoch: int, out: str = "_l") -> DataFrame:
+    """Add the digest words that all draws of a position come from."""
+    return kept.withColumn(out, F.expr(lanes_sql(seed, op, [str(epoch), "doc_id", "kpos"])))
+
+
 def _with_draws(df: DataFrame, negative: int, seed: int, op: str, epoch: int, keys: list[str]) -> DataFrame:
-    """Rows times ``k = 1..negative`` with two uniforms each. One md5 per
-    source row and pair of draws (four 32-bit lanes), computed before the
-    explode."""
-    groups = (negative + 1) // 2
-    d = df.withColumn("_dgs", F.expr(digest_array_sql(seed, op, [str(epoch)] + keys, groups)))
+    """Rows times ``k = 1..negative`` with two uniforms each. The digest words
+    are computed here unless the rows carry them from their position."""
+    d = df if "_l" in df.columns else with_lanes(df, seed, op, epoch)
     d = d.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(negative).cast("bigint"))))
-    u1, u2 = draw_pair_sql(negative)
-    return d.withColumn("u1", F.expr(u1)).withColumn("u2", F.expr(u2)).drop("_dgs")
+    u1, u2 = draw_pair_sql(negative, "off" if "off" in keys else "0", "k")
+    return d.withColumn("u1", F.expr(u1)).withColumn("u2", F.expr(u2)).drop("_l")
 
 
 def position_rows(
@@ -68,11 +71,10 @@ def position_rows(
     by: tuple[str, ...] = (),
 ) -> DataFrame:
     """G1 to G4 as one row per kept position: its word ``idx``, the pairs'
-    ``off`` and ``center`` as arrays in order of distance, and the digests of
-    the pairs' (``wdraw``) and the document's (``ddraw``) draws, 16 bytes each.
+    ``off`` and ``center`` as arrays in order of distance, and the digest words
+    of the pairs' (``wdraw``) and the document's (``ddraw``) draws.
     :func:`sphaera.operators.trainer.noise_ids` reads the draws of
     :func:`word_triples` and :func:`doc_triples` off them."""
-    groups = (negative + 1) // 2
     w = neighbours(kept, window, carry, by).withColumn(
         "_p",
         F.expr(
@@ -80,13 +82,11 @@ def position_rows(
             "x -> x.off <> 0 and abs(x.off) <= radius)"
         ),
     )
-    word = digest_array_sql(seed, "wneg", [str(epoch), "doc_id", "kpos", "x.off"], groups)
-    doc = digest_array_sql(seed, "dneg", [str(epoch), "doc_id", "kpos"], groups)
+    w = with_lanes(with_lanes(w, seed, "wneg", epoch, "wdraw"), seed, "dneg", epoch, "ddraw")
     return w.select(
         "doc_id", F.col("kpos").cast("bigint").alias("kpos"), "idx", *carry,
         F.expr("transform(_p, x -> x.off)").alias("off"), F.expr("transform(_p, x -> x.center)").alias("center"),
-        F.expr(f"unhex(array_join(flatten(transform(_p, x -> {word})), ''))").alias("wdraw"),
-        F.expr(f"unhex(array_join({doc}, ''))").alias("ddraw"),
+        "wdraw", "ddraw",
     )
 
 

@@ -412,7 +412,8 @@ def q_p6(spark, sf):
 def _pairs(spark, sf):
     grid, sc = _grid(spark, sf)
     k = kept(spark, sf, sc)
-    return G.skipgram_pairs(k, WINDOW), k, grid, sc
+    # one digest per position serves all draws of its pairs
+    return G.skipgram_pairs(G.with_lanes(k, SEED, "wneg", EPOCH), WINDOW, ("_l",)), k, grid, sc
 
 
 @register("g1_skipgram_pairs", _kept_sql(S.pairs(WINDOW)) + "SELECT doc_id, kpos, off, ctx, center FROM pairs")

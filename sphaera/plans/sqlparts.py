@@ -9,7 +9,7 @@ joins are fine there; the Spark forms avoid them.
 from __future__ import annotations
 
 from sphaera.functions.initgen import init_value_sql
-from sphaera.functions.keyed import digest_array_sql, draw_pair_sql, uniform_sql
+from sphaera.functions.keyed import draw_pair_sql, lanes_sql, uniform_sql
 from sphaera.params import EOS, MAX_TOKEN_BYTES, NOISE_POWER
 
 
@@ -109,11 +109,11 @@ def hist() -> str:
 def draws(name: str, src: str, seed: int, op: str, epoch: int, keys: list[str], negative: int) -> str:
     """Rows of ``src`` times k = 1..negative with the two keyed uniforms and
     the drawn noise id ``neg`` (P4 with the P6 fallback), via ASOF join."""
-    dgs = digest_array_sql(seed, op, [str(epoch)] + keys, (negative + 1) // 2, "duckdb")
-    u1, u2 = draw_pair_sql(negative, "kk.k", "g._dgs", "duckdb")
+    lanes = lanes_sql(seed, op, [str(epoch), "doc_id", "kpos"], "duckdb")
+    u1, u2 = draw_pair_sql(negative, "g.off" if "off" in keys else "0", "kk.k", "g._l", "duckdb")
     return (
-        f"{name}_g AS (SELECT s.*, {dgs} AS _dgs FROM {src} s),\n"
-        f"{name}_u AS (SELECT g.* EXCLUDE (_dgs), kk.k::BIGINT AS k, {u1} AS u1, {u2} AS u2 FROM {name}_g g, "
+        f"{name}_g AS (SELECT s.*, {lanes} AS _l FROM {src} s),\n"
+        f"{name}_u AS (SELECT g.* EXCLUDE (_l), kk.k::BIGINT AS k, {u1} AS u1, {u2} AS u2 FROM {name}_g g, "
         f"(SELECT unnest(range(1, {negative + 1})) AS k) kk),\n"
         f"{name}_t AS (SELECT x.*, x.u1 * hz.z AS t FROM {name}_u x, hz),\n"
         f"{name} AS (SELECT x.* EXCLUDE (t), CASE WHEN h.first_idx + least(h.n_words - 1, "
