@@ -50,7 +50,10 @@ _runs = re.compile(r"[^\W\d_]+")
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    return [w for w in _runs.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    ws = _runs.findall((text or "").lower())
+    if "".join(ws).isalpha():
+        return ws
+    return [w for w in ws if any(map(str.isalpha, w))]  # numbers such as one half are no words
 
 
 def features(w: str) -> list[str]:
@@ -194,6 +197,41 @@ def _expected_pairs(tm, spot, post, inner, n_at, trans, start) -> np.ndarray:
     return pair.sum(0).reshape(k, k)
 
 
+# odd numbers that hash a feature's characters and kind
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+PREFIX, SUFFIX, NGRAM, WORD = (np.uint64(x) for x in range(1, 5))
+
+
+def _keys(kind: np.uint64, chars: np.ndarray) -> np.ndarray:
+    """64-bit keys of equally long character sequences (sequence, character)."""
+    h = np.full(chars.shape[:-1], kind, np.uint64) * _MIX[2] + np.uint64(chars.shape[-1])
+    for j in range(chars.shape[-1]):
+        h = (h + chars[..., j].astype(np.uint64)) * _MIX[j % 2]
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _points(ws: list[str]) -> np.ndarray:
+    """Code points of equally long words (word, character)."""
+    return np.frombuffer("".join(ws).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(ws), -1)
+
+
+def feature_keys(ws: list[str]) -> np.ndarray:
+    """Keys of :func:`features` for equally long words (word, feature)."""
+    c = _points(ws)
+    n = c.shape[1]
+    m = np.concatenate((np.full((len(ws), 1), ord("^")), c, np.full((len(ws), 1), ord("$"))), 1)
+    cols = [_keys(PREFIX, c[:, :i])[:, None] for i in range(1, min(3, n) + 1)]
+    cols += [_keys(SUFFIX, c[:, n - i :])[:, None] for i in range(1, min(3, n) + 1)]
+    cols += [_keys(NGRAM, np.lib.stride_tricks.sliding_window_view(m, k, axis=1)) for k in (2, 3)]
+    return np.concatenate([*cols, _keys(WORD, c)[:, None]], 1)
+
+
+def _key_of(feature: str) -> int:
+    kind = {"<": PREFIX, ">": SUFFIX, "=": WORD}.get(feature[0], NGRAM)
+    return int(_keys(kind, _points([feature if kind == NGRAM else feature[1:]]))[0])
+
+
 class _Scores:
     """Word scores of one model, kept over the tasks of a worker; emptied when
     the number of words reaches its bound."""
@@ -201,6 +239,27 @@ class _Scores:
     def __init__(self, model: LanguageModel):
         self.model, self.place = model, {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
+        keys = np.array([_key_of(f) for f in model.index], np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        rows = np.fromiter(model.index.values(), np.int64, len(model.index))[order]
+        none = np.zeros((1, len(model.langs)), np.float32)
+        self.weight = np.concatenate((model.weight[rows], none))
+
+    def score(self, ws: list[str]) -> np.ndarray:
+        """Scores of distinct words, all words of one length at a time."""
+        out = np.zeros((len(ws), len(self.model.langs)), np.float32)
+        if not len(self.keys):
+            return out
+        size = np.array([len(w) for w in ws])
+        order = np.argsort(size, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            for part in np.array_split(rows, -(-len(rows) * int(size[rows[0]] + 4) // 200_000)):
+                want = feature_keys([ws[i] for i in part])
+                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+                at[self.keys[at] != want] = len(self.keys)
+                out[part] = self.weight[at].sum(1)
+        return out
 
     def __call__(self, ws: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(ws) if w not in self.place]
@@ -208,18 +267,7 @@ class _Scores:
             self.place.clear()
             new = list(dict.fromkeys(ws))
         if new:
-            index = self.model.index
-            at, n = [], []
-            for w in new:
-                known = [index[f] for f in features(w) if f in index]
-                at += known
-                n.append(len(known))
-            n, base = np.array(n), len(self.place)
-            got = np.zeros((len(new), len(self.model.langs)), np.float32)
-            if at:
-                filled = np.flatnonzero(n)
-                first = (np.cumsum(n) - n)[filled]
-                got[filled] = np.add.reduceat(self.model.weight[at], first, axis=0)
+            base, got = len(self.place), self.score(new)
             while len(self.table) < base + len(new):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             self.table[base : base + len(new)] = got

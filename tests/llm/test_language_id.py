@@ -83,3 +83,12 @@ def test_words_and_features():
     assert lid.words(None) == [] and lid.words("12 _ ½ --") == []
     assert lid.words("Über-all x2y") == ["über", "all", "x", "y"]
     assert {"<ab", ">bc", "^a", "abc", "c$", "=abc"} <= set(lid.features("abc"))
+
+
+def test_scores_of_words_are_sums_of_their_features(model):
+    words = ["a", "ab", "the", "über", "straßenbahn", "ñandú", "x" * 80, "中文", "queque"] + lid.words("thanedble éauxment enchpf")
+    got = lid._Scores(model)(words)
+    for w, row in zip(words, got):
+        want = sum((model.weight[model.index[f]] for f in lid.features(w) if f in model.index), np.zeros(len(model.langs)))
+        assert np.allclose(row, want, atol=1e-4)
+    assert len(np.unique(lid._Scores(model).keys)) == len(model.index)
