@@ -153,21 +153,30 @@ def split_simple(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(stripped, " ")).alias("pos", "word"))
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def lookup_side(vocab: DataFrame, broadcast_rows: int | None = 2_000_000) -> DataFrame:
+    """The vocabulary as the small side of a word lookup: broadcast when both
+    its rows and its bytes are within bounds, which are counted first."""
+    if broadcast_rows is None:
+        return vocab
+    size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 40).alias("b")).first()
+    small = size["n"] <= broadcast_rows and (size["b"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(vocab) if small else vocab
+
+
 def encode_tokens(
-    tokens: DataFrame, vocab: DataFrame, broadcast_rows: int | None = 2_000_000, vocab_rows: int | None = None
+    tokens: DataFrame, vocab: DataFrame, broadcast_rows: int | None = 2_000_000
 ) -> DataFrame:
     """In-vocabulary tokens ``(doc_id, pos, idx, cn)``; ``pos`` renumbered
     0-based over the kept tokens of the document, so windows close over the
     dropped ones. ``</s>`` (id 0) never occurs inside a document.
 
-    The vocabulary is broadcast only when its row count is within
-    ``broadcast_rows``; otherwise a shuffle join (AQE splits skewed words).
+    Beyond the bounds of :func:`lookup_side` a shuffle join (AQE splits skewed
+    words).
     """
-    v = vocab.filter(F.col("idx") > 0).select("word", "idx", "cn")
-    if vocab_rows is None and broadcast_rows is not None:
-        vocab_rows = v.count()
-    if broadcast_rows is not None and vocab_rows is not None and vocab_rows <= broadcast_rows:
-        v = F.broadcast(v)
+    v = lookup_side(vocab.filter(F.col("idx") > 0).select("word", "idx", "cn"), broadcast_rows)
     j = tokens.join(v, "word")
     w = Window.partitionBy("doc_id").orderBy("pos")
     return j.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), "idx", "cn")

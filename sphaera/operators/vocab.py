@@ -69,10 +69,11 @@ def vocab_cap(counts: DataFrame, max_words: int) -> DataFrame:
     return counts.crossJoin(F.broadcast(thr)).filter((F.col("cn") > F.col("t")) | (F.col("word") == EOS)).drop("t")
 
 
-def vocab_lookup(tokens: DataFrame, vocab: DataFrame, broadcast: bool = False) -> DataFrame:
-    """V6: word -> id, -1 when absent."""
-    v = vocab.select("word", "idx")
-    v = F.broadcast(v) if broadcast else v
+def vocab_lookup(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """V6: word -> id, -1 when absent; a vocabulary of checked size is broadcast."""
+    from sphaera.operators.corpus import lookup_side
+
+    v = lookup_side(vocab.select("word", "idx"))
     return tokens.join(v, "word", "left").withColumn("idx", F.coalesce(F.col("idx"), F.lit(-1).cast("bigint")))
 
 
