@@ -3,7 +3,9 @@
 Base spans come from three fixed patterns. Further spans come from two
 character Markov models, one of random strings and one of ordinary identifiers:
 a run of key characters outside all base spans is a secret when the
-log-likelihood ratio of the models, in total and for each character, is high.
+log-likelihood ratio of the models is high, in total over its distinct pairs
+and for each character over all its pairs. Few distinct pairs, over and over,
+are repetition and no evidence.
 Both models are bigram tables trained from a bounded labelled sample: the
 values inside base spans are the random strings, all other runs are ordinary.
 A uniform table stands behind the random strings, so that a few hexadecimal
@@ -40,6 +42,7 @@ MIN_RUN = 16
 TRAIN_ROWS = 8000
 PER_CHARACTER = 1.0
 IN_TOTAL = 20.0
+LEAST_PAIRS = 16  # distinct pairs of a run whose repeated pairs count
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -115,18 +118,46 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     return model
 
 
-def _ratio(value: Column, model: dict[str, float]) -> Column:
-    """Log-likelihood ratio of a run of characters of the alphabet; a pair of
-    characters counts once, so that repetition is no evidence."""
+def _scores(model: dict[str, float]) -> Column:
+    """The model as an array, one number for each pair of characters."""
     table = ",".join(f"{model[a + b]:.6f}" for a in START + ALPHABET for b in ALPHABET)
-    scores = F.split(F.lit(table), ",").cast("array<double>")  # folded to one constant
+    return F.split(F.lit(table), ",").cast("array<double>")  # folded to one constant
+
+
+def _pairs(value: Column) -> Column:
+    """The numbers of the pairs of a run of characters of the alphabet."""
     symbols = F.lit(START + ALPHABET)
     place = F.concat(F.array(F.lit(1)), F.transform(F.split(value, ""), lambda c: F.position(c, symbols)))
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(place, F.lit(1), F.length(value)), F.slice(place, F.lit(2), F.length(value)),
         lambda a, b: (a - 1) * len(ALPHABET) + b - 2,
     )
-    return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda s, i: s + F.get(scores, i))
+
+
+def _sum(pairs: Column, scores: Column) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda s, i: s + F.get(scores, i))
+
+
+def _ratio(value: Column, model: dict[str, float]) -> Column:
+    """Log-likelihood ratio of a run of characters of the alphabet; a pair of
+    characters counts once, so that repetition is no evidence."""
+    return _sum(F.array_distinct(_pairs(value)), _scores(model))
+
+
+def _secret(value: Column, model: dict[str, float]) -> Column:
+    """Whether a run is a secret. The distinct pairs are bounded by the alphabet
+    while the bar for each character grows with the run, so a run with enough
+    of them is held against that bar with all its pairs."""
+    scores, bar = _scores(model), PER_CHARACTER * F.length(value)
+
+    def decide(every: Column, once: Column, total: Column) -> Column:
+        return (total >= IN_TOTAL) & ((total >= bar) | ((F.size(once) >= LEAST_PAIRS) & (_sum(every, scores) >= bar)))
+
+    # arrays of one value: each is computed once
+    return F.exists(F.array(_pairs(value)), lambda every: F.exists(
+        F.array(F.array_distinct(every)),
+        lambda once: F.exists(F.array(_sum(once, scores)), lambda total: decide(every, once, total)),
+    ))
 
 
 def find_secrets(
@@ -136,11 +167,8 @@ def find_secrets(
     exclusive, sorted; ``kind`` counts through ``KINDS``."""
     d = _with_base(df, id_col, text_col)
 
-    def secret(v: Column) -> Column:
-        r = _ratio(v, model)
-        return (r >= IN_TOTAL) & (r >= PER_CHARACTER * F.length(v))
-
-    d = d.withColumn(f"b{len(BASE)}", F.filter(_found(F.col("t"), RUN % min_run, 0, secret), _outside(d)))
+    secrets = _found(F.col("t"), RUN % min_run, 0, lambda v: _secret(v, model))
+    d = d.withColumn(f"b{len(BASE)}", F.filter(secrets, _outside(d)))
 
     def of_kind(i: int) -> Column:
         return F.transform(

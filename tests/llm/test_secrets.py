@@ -83,3 +83,19 @@ def test_scores_equal_the_model(spark):
     got = {r.w: r.s for r in df.select("w", secrets._ratio(F.col("w"), m).alias("s")).collect()}
     for w in words:
         assert abs(got[w] - sum(m[p] for p in {a + b for a, b in zip("^" + w, w)})) < 1e-4
+
+
+def test_long_runs_are_found_and_repetition_is_not(spark):
+    import random
+
+    m = secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = random.Random(6)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", secrets.ALPHABET[:64]]
+    keys = ["".join(rng.choices(a, k=n)) for a in alphabets for n in (64, 512, 4096, 20000)]
+    words = ["the", "document", "counter", "reader", "station", "under", "letter"]
+    plain = ["_".join(rng.choices(words, k=n)) for n in (8, 80, 800)] + ["".join(w.capitalize() for w in rng.choices(words, k=800))]
+    plain += ["Zq7X" * n for n in (16, 128, 5000)] + ["x" * 20000]
+    df = spark.createDataFrame(list(enumerate("é " + w + " ." for w in keys + plain)), "doc_id long, text string")
+    got = {r.id: [(s.start, secrets.KINDS[s.kind], s.end) for s in r.spans] for r in secrets.find_secrets(df, m).collect()}
+    for i, w in enumerate(keys + plain):
+        assert got[i] == ([(2, "model", 2 + len(w))] if i < len(keys) else []), (i, len(w))
