@@ -242,11 +242,9 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5
-) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (the
-    least identifier that links reach, its own included) and ``kept``."""
+def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, th, n, cls, ...) and the classes (cls, min_id, rep, rows)
+    with their group ``grp``."""
     text = df[text_col].cast("string")
     docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     feats = write_cut(
@@ -256,7 +254,7 @@ def near_dedup(
     rep = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     classes = write_cut(
         feats.filter("cls is not null").groupBy("cls").agg(
-            F.min("id").alias("min_id"), F.min(rep).alias("rep"), F.first("n").alias("n"),
+            F.min("id").alias("min_id"), F.min(rep).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"),
             F.first("bands").alias("bands"), F.first("mini").alias("mini"),
         ),
         "classes",
@@ -282,8 +280,16 @@ def near_dedup(
     roots = connected_components(texts.mapInArrow(_confirm(k, percent), "u binary, v binary"))
 
     group = F.coalesce("root", "cls")
-    labelled = classes.select("cls", "min_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    labelled = labelled.select("cls", "min_id", group.alias("grp"))
+    labelled = classes.select("cls", "min_id", "rep", "rows").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    return feats, labelled.select("cls", "min_id", "rep", "rows", group.alias("grp"))
+
+
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5
+) -> DataFrame:
+    """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (the
+    least identifier that links reach, its own included) and ``kept``."""
+    feats, labelled = _labelled(df, id_col, text_col, percent, k)
     least_id = labelled.groupBy("grp").agg(F.min("min_id").alias("component"))
     labels = labelled.join(least_id, "grp").select(F.col("cls").alias("l_cls"), "component")
     out = feats.select("id", "n", "cls").join(labels, F.col("cls") == F.col("l_cls"), "left")
@@ -297,7 +303,23 @@ def near_dedup(
 def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5
 ) -> DataFrame:
-    """The rows of ``df`` that are kept, all columns as they were."""
-    got = near_dedup(df, id_col, text_col, percent, k)
-    kept = got.filter("kept").select(F.col(id_col).alias("nd_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["nd_id"]), "left_semi")
+    """The rows of ``df`` that are kept, all columns as they were: one row of
+    every group, the first by identifier (nulls last) and hash of the text, and
+    every row without words. Rows are told apart by identifier and hash."""
+    feats, labelled = _labelled(df, id_col, text_col, percent, k)
+    best = labelled.groupBy("grp").agg(F.min(F.struct("rep", "rows")).alias("b")).select(
+        F.col("b.rep.id").alias("k_id"), F.col("b.rep.th").alias("k_th"), (F.col("b.rows") > 1).alias("many")
+    )
+    wordless = feats.filter("n = 0").select("id", "th").distinct()
+    text = df[text_col].cast("string")
+    rows = df.select(
+        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th")
+    )
+
+    def kept(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, rows["id"].eqNullSafe(keys["k_id"]) & (rows["th"] == keys["k_th"]), "left_semi")
+
+    every = best.filter("not many").drop("many").unionByName(wordless.toDF("k_id", "k_th"))
+    # only a class of several rows can hold the chosen identifier and text again
+    once = kept(best.filter("many").drop("many")).dropDuplicates(["id", "th"])
+    return kept(every).unionByName(once).select(*[F.col("row").getField(c).alias(c) for c in df.columns])

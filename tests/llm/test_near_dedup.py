@@ -81,6 +81,23 @@ def test_clashing_names_empty_table_and_rows_kept(clashing_docs, edge_rows, no_d
     assert nd.near_dedup(no_docs).count() == 0
 
 
+def test_one_row_of_every_group_is_kept(spark):
+    rng = random.Random(9)
+    base, lone, twin, other = (sentence(rng, 100) for _ in range(4))
+    near = lambda t: " ".join(t.split()[:-1])
+    rows = [
+        (None, base, 0), (27, base, 1), (30, near(base), 2), (None, "no identifier", 3), (None, lone, 4), (None, near(lone), 5),
+        (None, lone, 6), (5, twin, 7), (5, near(twin), 8), (5, other, 9), (8, "one", 10), (8, "one", 10), (7, "", 11), (7, "", 12), (None, None, 13),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th long").repartition(3)
+    kept = [tuple(r) for r in nd.drop_near_copies(df).collect()]
+    tag = [r[2] for r in kept]
+    assert set(kept) <= set(rows)
+    for group in [{0, 1, 2}, {3}, {4, 5, 6}, {7, 8}, {9}, {10}]:
+        assert sum(x in group for x in tag) == 1, group
+    assert 1 in tag and {11, 12, 13} <= set(tag) and len(kept) == 9
+
+
 def test_documents_table(spark, small_docs):
     assert got(small_docs, 85) == brute([(r.doc_id, r.text) for r in small_docs.collect()], 85)
 
