@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,6 @@ from .tokens import default_tokenizer, token_bytes
 CAPACITY = 4096
 END_ID = 1
 PARTITION_PIECES = 8192
-MAX_ROUNDS = 8
 BATCH_BYTES = 4_000_000
 
 
@@ -171,7 +171,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
 
     first, bins = deal(items, int(hist["n"].sum()), 0)
     stand, rules = [first], ["loose", "room"]  # in the end every bin with room is tried
-    for round_ in range(1, MAX_ROUNDS):
+    for round_ in count(1):  # ends: a round that stays saves a bin at least
         if bins <= bound:
             break
         out = [s.filter(rules[0]).select("row", "h", "length", "offset") for s in stand]
@@ -187,7 +187,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
             rules = rules[1:]
     out = reduce(DataFrame.unionByName, stand)
     # rounds, partitions and bins are numbered; a sequence is one of each
-    seq = F.col("round").cast("long") * F.lit(2**59) + F.col("part") * F.lit(2**20) + F.col("bin")
+    seq = F.col("round").cast("long") * F.lit(2**44) + F.col("part") * F.lit(2**20) + F.col("bin")
     return out.select("row", seq.alias("sequence_id"), "offset")
 
 

@@ -185,3 +185,25 @@ def test_token_matrix(edge_docs, edge_rows, clashing_docs, no_docs, tmp_path, sp
 def test_piece_lengths_are_whole(edge_docs):
     p = packing.pieces(edge_docs, capacity=50).groupBy("doc_id").agg(F.max("piece"), F.sum("length")).toPandas()
     assert isinstance(p, pd.DataFrame) and (p["sum(length)"] >= 1).all()
+
+
+def test_rounds_go_on_while_they_save(spark, monkeypatch):
+    """Stand-in partitions: every round saves one bin more, ten in a row."""
+    monkeypatch.setattr(packing, "lower_bound", lambda *_: 1)
+
+    def saves_one(capacity, round_):
+        def run(key, items):
+            out = items[["row", "h", "length"]].copy()
+            n = max(1, 12 - round_)
+            out["round"], out["part"] = round_, key[0]
+            out["bin"] = np.arange(len(out)) % n
+            out["offset"] = out.groupby("bin")["length"].cumsum() - out["length"]
+            out["loose"], out["room"], out["bound"] = True, True, 1
+            return out
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_part", saves_one)
+    df = spark.createDataFrame([(i, 1) for i in range(24)], "row long, length long")
+    got = packing.pack(df, 100).collect()
+    assert len(got) == 24 and len({r.sequence_id for r in got}) == 1
