@@ -1299,6 +1299,7 @@ def q_s13(spark, sf):
     path = scratch_path(spark, "metrics")
     d = load(spark, sf, "documents").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("bigint").alias("c"))
+    d = d.withColumn("lang", F.coalesce("lang", F.lit("")))  # a null language is an empty label
     LI.append_metrics(d.filter("lang <= 'en'"), path)
     LI.append_metrics(d.filter("lang > 'en'"), path)
     return spark.read.text(path)

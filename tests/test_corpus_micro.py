@@ -130,3 +130,11 @@ def test_skipgram_pairs_cross_block_edges(spark):
             (k, o, i, rows[k + o][3]) for _, _, k, i, r in rows for o in range(-r, r + 1) if o and 0 <= k + o < len(rows)
         ]
         assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_metrics_keep_the_null_language(spark, tmp_dir):
+    from sphaera.plans.catalog import q_s13
+
+    rows = [(0, "en", 5), (1, None, 7), (2, None, 1), (3, "fr", 2)]
+    spark.createDataFrame(rows, "doc_id long, lang string, n_chars long").write.parquet(tmp_dir + "/documents.parquet")
+    assert sorted(r.value for r in q_s13(spark, tmp_dir).collect()) == [",2,8", "en,1,5", "fr,1,2"]
