@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_global_index
+
 TRAINED = "assistant"
 
 
@@ -113,14 +115,19 @@ def pairs_from_conversations(conversations: DataFrame, id_col: str = "conv_id")
     """Preference pairs from single conversations: up to its last assistant
     turn a conversation is chosen; rejected is the same with that turn's text
     replaced by the last assistant text of the conversation with the next
-    identifier (empty if there is none). Conversations without an assistant
-    turn make no pair."""
+    identifier that the table has (empty if there is none, or if that one has
+    no assistant turn). Conversations without an assistant turn make no pair.
+    Turns without a number have no place before or after the last answer and
+    go, as do those without an identifier."""
     c = conversations.select(
         F.col(id_col).cast("long").alias("pair"), F.col("turn").cast("long").alias("turn"), "role", "text"
     )
     answers = c.filter((F.col("role") == TRAINED) & F.col("turn").isNotNull() & F.col("pair").isNotNull())
     last = answers.groupBy("pair").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    other = last.select((F.col("pair") - 1).alias("o_pair"), F.col("last.text").alias("o_text"))
+    numbers = with_global_index(c.select("pair").filter("pair is not null").distinct(), ["pair"], "at")
+    before = numbers.select(F.col("pair").alias("o_pair"), (F.col("at") + 1).alias("o_at"))
+    following = numbers.join(last, "pair").select("at", F.col("last.text").alias("o_text"))
+    other = before.join(following, before["o_at"] == following["at"]).select("o_pair", "o_text")
     ends = last.join(other, last["pair"] == other["o_pair"], "left").select(
         F.col("pair").alias("e_pair"), F.col("last.turn").alias("e_turn"), F.coalesce("o_text", F.lit("")).alias("e_text")
     )

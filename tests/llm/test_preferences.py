@@ -56,3 +56,12 @@ def test_pairs_from_conversations(spark):
     assert got[0].prompt == render([("user", "q")])
     assert got[0].chosen == render([("assistant", "a0")]) and got[0].rejected == render([("assistant", "a1")])
     assert got[1].rejected == render([("assistant", "")])
+
+
+def test_next_conversation_across_gaps(spark):
+    data = [(i, j, r, f"{r} {i}") for i in (10, 30, 31, 100, 2000) for j, r in enumerate(("user", "assistant"))]
+    data += [(500, 0, "user", "no answer"), (30, None, "user", "no number")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.pair: r.rejected for r in pf.preference_examples(pf.pairs_from_conversations(df)).collect()}
+    follows = {10: "assistant 30", 30: "assistant 31", 31: "assistant 100", 100: "", 2000: ""}
+    assert got == {i: render([("assistant", t)]) for i, t in follows.items()}
