@@ -171,15 +171,20 @@ def mix(
     block_words: int = 256, shard_slots: int = 1024, seed: int = 17,
 ) -> DataFrame:
     """One row per document: ``id_col``, ``size`` (its words), ``source_size``,
-    ``target`` (both of its source) and ``taken`` (its words in the mix)."""
+    ``target`` (both of its source), ``taken`` (its words in the mix) and
+    ``shards``: its words in every output shard that draws some of them, as
+    text (shard:words, comma-joined, by shard)."""
     docs, taken = _mix(df, id_col, text_col, source_col, weights, share, most, block_words, shard_slots, seed)
-    per_doc = taken.groupBy("src", "off").agg(F.sum("took").alias("taken"))
+    per_shard = taken.groupBy("src", "off", "shard").agg(F.sum("took").alias("words"))
+    shards = F.transform(F.sort_array(F.collect_list(F.struct("shard", "words"))), lambda s: F.concat_ws(":", s["shard"], s["words"]))
+    per_doc = per_shard.groupBy("src", "off").agg(F.sum("words").alias("taken"), F.array_join(shards, ",").alias("shards"))
     # documents without words share their offset with the next one
     d = docs.withColumn("key", F.when(F.col("size") > 0, F.col("off")))
-    per_doc = per_doc.select(F.col("src").alias("t_src"), F.col("off").alias("t_off"), "taken")
+    per_doc = per_doc.select(F.col("src").alias("t_src"), F.col("off").alias("t_off"), "taken", "shards")
     out = d.join(per_doc, (d["src"] == per_doc["t_src"]) & (d["key"] == per_doc["t_off"]), "left")
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("shards", F.lit("")).alias("shards"),
     )
 
 

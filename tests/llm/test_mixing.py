@@ -106,3 +106,16 @@ def test_empty_and_clashing(no_docs, clashing_docs, edge_docs):
     assert mixing.mix(no_docs).count() == 0
     assert mixing.mix_documents(no_docs).count() == 0
     assert sorted(map(repr, mixing.mix(clashing_docs).collect())) == sorted(map(repr, mixing.mix(edge_docs).collect()))
+
+
+def test_mix_holds_the_drawn_shards(edge_docs):
+    options = dict(block_words=16, shard_slots=8)
+    want, got = Counter(), Counter()
+    for r in mixing.mixed_blocks(edge_docs, **options).collect():
+        want[(r.doc_id, r.shard)] += r.words
+    for r in mixing.mix(edge_docs, **options).collect():
+        parts = [tuple(map(int, x.split(":"))) for x in r.shards.split(",") if x]
+        assert parts == sorted(parts) and sum(n for _, n in parts) == r.taken
+        for shard, n in parts:
+            got[(r.doc_id, shard)] += n
+    assert got == want and len({s for _, s in got}) > 1
