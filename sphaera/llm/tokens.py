@@ -3,7 +3,7 @@
 The tokenizer lower-cases, drops white space and encodes runs of letters,
 single digits and runs of signs each for itself. Texts of ASCII and Latin
 letters are cut into these parts here, all texts of a batch as one array of
-bytes; equal parts are found by a 64-bit hash, and each distinct letter run is
+bytes; equal parts are found by comparing them, and each distinct letter run is
 encoded once: all runs of one length are a matrix in which every step merges
 each run's best pair. All other parts, and all other texts, go through the
 tokenizer as they are.
@@ -20,7 +20,7 @@ import numpy as np
 
 LONGEST = 24  # bytes; longer letter runs go through the tokenizer
 NONE = np.int64(1 << 40)
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 250_000
 
 # letters that normalisation leaves alone or lower-cases one for one
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įĲ-ſ]*")
@@ -121,16 +121,30 @@ class _Merges:
             best[r, j[r] - 1] = self.find(sym[r, j[r] - 1], sym[r, j[r]])
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    odd = 0x9E3779B97F4A7C15
-    out = []
-    for x in (odd, pow(odd, -1, 1 << 64)):
-        p = np.full(n, x, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def distinct_parts(flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal parts: each group's first part, and every part's group.
+    Parts of at most LONGEST bytes are compared whole, as three words of eight
+    bytes; a hash only sorts them. A longer part is a group of its own.
+    ``flat`` ends in at least LONGEST bytes beyond the parts."""
+    size = e - s
+    windows = np.ndarray((len(flat) - 7,), "<u8", flat.tobytes(), 0, (1,))  # the eight bytes from every place
+    mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    words = [windows[s + 8 * k] & mask[np.clip(size - 8 * k, 0, 8)] for k in range(LONGEST // 8)]
+    h = size.astype(np.uint64) * _ODD[3]
+    for w, odd in zip(words, _ODD):
+        h = (h ^ w) * odd
+        h ^= h >> np.uint64(29)
+    own = size > LONGEST
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    same = ~own & (size == size[first][which])
+    for w in words:
+        same &= w == w[first][which]
+    alone = np.flatnonzero(~same)
+    which[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate((first, alone)), which
 
 
 def _cut(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,11 +191,9 @@ class _Encoder:
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         """Ids of lower-cased plain texts."""
-        flat = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
+        flat = np.frombuffer(b"\n".join(texts) + b"\n" * 32, np.uint8)
         s, e, cls = _cut(flat)
-        up, down = _powers(1 << (len(flat) - 1).bit_length())
-        total = np.concatenate(([np.uint64(0)], np.cumsum((flat + np.uint64(1)) * up[: len(flat)])))
-        _, first, which = np.unique((total[e] - total[s]) * down[s], return_index=True, return_inverse=True)
+        first, which = distinct_parts(flat, s, e)
         s1, size, kind = s[first], (e - s)[first], cls[first]
         n_ids = np.zeros(len(first), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
