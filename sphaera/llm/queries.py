@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import load
+from .bpe_stream import token_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
 from .language_id import identify
@@ -58,6 +59,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_token_matrix": op8_token_matrix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op12_bpe_stream": op12_bpe_stream,
 }
 
 ORACLES = {
