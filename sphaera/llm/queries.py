@@ -4,11 +4,13 @@ production parameters, and the DuckDB text of those that SQL can express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import load
 from .bpe_stream import token_digests
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_edits
+from .hard_negatives import hard_negatives
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -63,6 +65,12 @@ def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(load(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -75,6 +83,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op12_bpe_stream": op12_bpe_stream,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -106,5 +115,25 @@ FROM parts
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_hard_negatives": """
+WITH e AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row, a.vec_id AS anchor_id, r.row AS other, r.vec_id, r.label = a.label AS same,
+         CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id % 50 = 0 AND a.row <> r.row),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) AS nth
+  FROM s WHERE same QUALIFY nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.row, p.nth ORDER BY s.score DESC, s.vec_id NULLS LAST, s.other) AS INTEGER) AS rank
+  FROM p JOIN s ON s.row = p.row AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
 }
