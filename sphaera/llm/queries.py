@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .preferences import pairs_from_conversations, preference_turns
+from .prefix_trie import prefix_trie
 from .private_data import private_report
 from .secrets import secret_report
 from .token_output import token_matrix
@@ -61,6 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(load(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_token_matrix": op8_token_matrix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_bpe_stream": op12_bpe_stream,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -115,6 +121,38 @@ FROM parts
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_prefix_trie": """
+WITH o AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, t, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda c, d: list_reduce(list_concat([xor(c, d)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM o),
+r AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(o.t, []), 1, h.h), list_slice(h.t, h.h + 1, len(h.t))) AS t
+  FROM h LEFT JOIN o ON o.conv_id = h.base),
+p AS (
+  SELECT r.conv_id, u.depth, list_slice(t, 1, u.depth) AS key, u.depth = len(t) AS last FROM r, unnest(range(0, len(t) + 1)) AS u(depth)),
+n AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM p GROUP BY key, depth),
+c AS (
+  SELECT list_slice(key, 1, depth - 1) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE
+         (n_convs - 1) * len(regexp_extract_all(n.key[n.depth].text, '[^\x20\x09-\x0D]+')) END AS saves
+  FROM n LEFT JOIN c ON c.key = n.key),
+s AS (
+  SELECT list_slice(key, 1, u.d) AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saves) AS saved_tokens
+  FROM m, unnest(range(0, m.depth + 1)) AS u(d) GROUP BY 1)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.key = m.key LEFT JOIN n up ON m.depth > 0 AND up.key = list_slice(m.key, 1, m.depth - 1)
 """,
     "op13_hard_negatives": """
 WITH e AS (
