@@ -32,6 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+from .task_memory import bounded
+
 UNDETERMINED = "und"
 TRAIN_DOCS = 1600
 TRAIN_CHARS = 2000
@@ -278,6 +281,11 @@ class _Scores:
 _scores: dict[str, _Scores] = {}
 
 
+def forget() -> None:
+    """Drop the model and the words that a task has met."""
+    _scores.clear()
+
+
 def label(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """Distributions of all words, text after text, and the number of words of
     each text."""
@@ -341,7 +349,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t"))
-    out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, n_switches long")
+    out = rows.mapInArrow(bounded(run, forget), f"id {kind}, lang_pred string, score double, n_switches long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -357,7 +365,7 @@ def keep_identified(
             best, score, _ = _best(b.column(at), model)
             yield b.filter(pa.array((best < len(model.langs)) & (score >= least_score)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(bounded(run, forget), df.schema)
 
 
 def label_words(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,7 +386,7 @@ def label_words(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, langs array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(bounded(run, forget), f"id {kind}, langs array<string>").withColumnRenamed("id", id_col)
 
 
 def held_out(ident: Column) -> Column:

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from ..session import write_cut
 from .components import connected_components
-from .shingles import shingles
+from .shingles import forget, shingles
+from .task_memory import bounded
 
 BANDS, ROWS = 32, 4
 N_HASHES = BANDS * ROWS
@@ -248,7 +249,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, k: int) -
     text = df[text_col].cast("string")
     docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     feats = write_cut(
-        docs.mapInArrow(_features(k), "id long, th long, n long, cls binary, bands array<long>, mini binary"), "minima"
+        docs.mapInArrow(bounded(_features(k), forget), "id long, th long, n long, cls binary, bands array<long>, mini binary"), "minima"
     )
     # the class's row whose text is read again; identifiers before nulls
     rep = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
@@ -277,7 +278,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, k: int) -
     texts = _blocks(
         texts.select("family", "cls", "text", "total"), "family", "cls", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long")
     ).drop("total")
-    roots = connected_components(texts.mapInArrow(_confirm(k, percent), "u binary, v binary"))
+    roots = connected_components(texts.mapInArrow(bounded(_confirm(k, percent), forget), "u binary, v binary"))
 
     group = F.coalesce("root", "cls")
     labelled = classes.select("cls", "min_id", "rep", "rows").join(roots.withColumnRenamed("node", "cls"), "cls", "left")

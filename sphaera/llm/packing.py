@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_cut
-from .tokens import default_tokenizer, token_bytes
+from .task_memory import bounded
+from .tokens import default_tokenizer, forget, token_bytes
 
 CAPACITY = 4096
 END_ID = 1
 PARTITION_PIECES = 8192
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 500_000
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -126,7 +127,7 @@ def pieces(
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(bounded(run, forget), schema + (", ids array<int>" if with_ids else ""))
 
 
 def _pack_part(capacity: int, round_: int):

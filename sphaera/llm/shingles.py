@@ -25,6 +25,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget() -> None:
+    """Drop the words that a task has met."""
+    _hashes.clear()
+
+
 def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 

@@ -3,7 +3,8 @@ resets.
 
 Documents become token ids plus an end id; overlong ones are split into pieces
 of the sequence length and lose nothing. Pieces are dealt into shards by a hash
-and every shard is packed by best-fit decreasing: a segment tree over the room
+of their row and number, so that neither a long document nor equal rows fill
+one; there are as many shards as rows and bytes ask for, and every shard is packed by best-fit decreasing: a segment tree over the room
 left counts the open bins, and the tightest bin that fits is found by one
 descent. A row of the result is one row of a shard's id matrix, as
 little-endian unsigned 16- or 32-bit numbers padded to the sequence length.
@@ -23,13 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import default_tokenizer, token_bytes
+from .task_memory import bounded
+from .tokens import default_tokenizer, forget, token_bytes
 
 SEQUENCE = 4096
 END_ID = 1
 PAD_ID = 0
 SHARD_DOCS = 4096
-BATCH_BYTES = 4_000_000
+SHARD_BYTES = 8 << 20  # of text, on average; a piece has a sequence at most
+BATCH_BYTES = 500_000
 
 
 class RoomTree:
@@ -78,7 +81,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pieces(sequence: int, end_id: int, path: str, width: str):
-    schema = [("shard", pa.int64()), ("doc_id", None), ("piece", pa.int32()), ("ids", pa.binary())]
+    schema = [("source_row", pa.int64()), ("doc_id", None), ("piece", pa.int32()), ("ids", pa.binary())]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def _pieces(sequence: int, end_id: int, path: str, width: str):
                         piece.append(p)
                         ids.append(x[s : s + sequence].tobytes())
                 at = pa.array(doc)
-                cols = [b.column("shard").take(at), b.column("id").take(at), pa.array(piece, pa.int32()), pa.array(ids, pa.binary())]
+                cols = [b.column("source_row").take(at), b.column("id").take(at), pa.array(piece, pa.int32()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in schema])
                 lo = hi
 
@@ -133,20 +136,21 @@ def _matrix(sequence: int, pad_id: int, width: str):
 def token_matrix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID,
     pad_id: int = PAD_ID, tokenizer: str | None = None, width: str = "<u2", shard_docs: int = SHARD_DOCS,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row per packed sequence: ``shard``, ``row``, ``ids`` (binary, padded
     to ``sequence`` numbers of ``width``), ``cu_seqlens`` (0 and the end of each
     segment), ``position_resets`` (where positions start again at 0),
     ``doc_ids`` and ``pieces`` of the segments."""
-    shards = max(1, -(-df.count() // shard_docs))
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.select(
-        F.pmod(F.xxhash64(df[id_col], text), F.lit(shards)).alias("shard"), df[id_col].alias("id"), text.alias("t")
-    )
+    rows = df.select(F.monotonically_increasing_id().alias("source_row"), df[id_col].alias("id"), text.alias("t"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    shards = max(1, -(-size["n"] // shard_docs), -(-size["b"] // shard_bytes))
     pieces = rows.mapInArrow(
-        _pieces(sequence, end_id, tokenizer or default_tokenizer(), width), f"shard long, doc_id {kind}, piece int, ids binary"
+        bounded(_pieces(sequence, end_id, tokenizer or default_tokenizer(), width), forget), f"source_row long, doc_id {kind}, piece int, ids binary"
     )
+    pieces = pieces.select(F.pmod(F.xxhash64("source_row", "piece"), F.lit(shards)).alias("shard"), "doc_id", "piece", "ids")
     schema = (
         f"shard long, row int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, pieces array<int>"
     )

@@ -245,6 +245,11 @@ class _Encoder:
 _encoder = lru_cache(maxsize=2)(_Encoder)
 
 
+def forget() -> None:
+    """Drop the tokenizers that a task has loaded."""
+    _encoder.cache_clear()
+
+
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers. A null
     text is empty."""

@@ -207,3 +207,28 @@ def test_rounds_go_on_while_they_save(spark, monkeypatch):
     df = spark.createDataFrame([(i, 1) for i in range(24)], "row long, length long")
     got = packing.pack(df, 100).collect()
     assert len(got) == 24 and len({r.sequence_id for r in got}) == 1
+
+
+def test_equal_rows_fill_no_shard(spark):
+    df = spark.range(50_000).selectExpr("cast(7 as long) as doc_id", "'one two three' as text")
+    n = token_output.token_matrix(df, sequence=64).groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert n[1] == 50_000 and n[0] < 5_500
+
+
+def test_caches_are_empty_after_a_task(spark):
+    from sphaera.llm import shingles, task_memory, tokens
+
+    def used(batches):
+        for b in batches:
+            tokens.token_bytes(["some words"], tokens.default_tokenizer())
+            shingles.shingles("some words")
+            assert tokens._encoder.cache_info().currsize == 1 and shingles._hashes
+            yield b
+
+    for run in (used, lambda b: (x for x in used(b)).throw(ValueError)):
+        task = task_memory.bounded(run, tokens.forget, shingles.forget)
+        try:
+            assert list(task(iter([1]))) == [1]
+        except ValueError:
+            pass
+        assert tokens._encoder.cache_info().currsize == 0 and not shingles._hashes
