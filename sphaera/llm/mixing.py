@@ -12,8 +12,10 @@ reached. Reruns draw the same mix, since every draw is a hash of its key.
 
 Defined cases: a null text has no words; a null source is a source of its own,
 ordered last; a source without words has target 0; rows that share an
-identifier are documents of their own; an empty table gives an empty result.
-Only the named columns are read, whatever others there are.
+identifier are documents of their own, and rows that are equal in every column
+lie in the stream one after another; an empty table gives an empty result. Only
+the named columns are read, whatever others there are; :func:`mix_documents`
+reads all columns and keeps rows apart that differ in any of them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from ..session import write_cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-CHUNK_ROWS = 2000
+CHUNK_ROWS = 8192
 SLOT_ROWS = 4096
 FEISTEL_ROUNDS = 4
 WALK = 64
@@ -56,21 +58,29 @@ def source_targets(
     return s.select("source", "src", "source_size", target.alias("target"))
 
 
-def _layout(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+def _row_key(df: DataFrame, columns: list[str]) -> Column:
+    """128 bits over the given columns, for telling rows apart."""
+    text = F.to_json(F.struct(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def _layout(df: DataFrame, id_col: str, text_col: str, source_col: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents with their place in their source's stream (``off``), and the
-    sources' sizes. Long sources are cut into chunks of about ``CHUNK_ROWS``
-    rows: offsets are summed inside chunks and over chunk totals."""
-    docs = write_cut(
-        df.select(
-            df[id_col].alias("id"), df[source_col].cast("string").alias("source"),
-            F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(df[id_col]).alias("h"), F.xxhash64(df[text_col]).alias("th"),
-        ),
-        "mix-sizes",
+    sources' sizes. Equal rows (in ``columns``) are one entry with their number
+    until their places are known. Long sources are cut into chunks of about
+    ``CHUNK_ROWS`` entries: offsets are summed inside chunks and over chunk
+    totals."""
+    docs = df.select(
+        df[id_col].alias("id"), df[source_col].cast("string").alias("source"),
+        F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _row_key(df, columns or [id_col, text_col, source_col]).alias("th"),
     )
+    docs = docs.groupBy("id", "source", "size", "th").agg(F.count(F.lit(1)).alias("copies"))
+    docs = write_cut(docs.withColumn("h", F.xxhash64("id", "th")), "mix-sizes")
     n = docs.count()
     docs = docs.withColumn("chunk", F.pmod("h", F.lit(max(1, -(-n // CHUNK_ROWS)))))
-    totals = docs.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
+    docs = docs.withColumn("words", F.col("size") * F.col("copies"))
+    totals = docs.groupBy("source", "chunk").agg(F.sum("words").alias("words"))
     sizes = totals.groupBy("source").agg(F.sum("words").alias("source_size"))
     before = F.sum("words").over(
         Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,9 +89,11 @@ def _layout(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple
         F.col("source").alias("c_source"), F.col("chunk").alias("c_chunk"), F.coalesce(before, F.lit(0)).alias("chunk_off")
     )
     inside = Window.partitionBy("source", "chunk").orderBy("h", "id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("in_chunk", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    docs = docs.withColumn("in_chunk", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     docs = docs.join(starts, docs["source"].eqNullSafe(starts["c_source"]) & (docs["chunk"] == starts["c_chunk"]))
-    return docs.select("id", "source", "size", "th", (F.col("chunk_off") + F.col("in_chunk")).alias("off")), sizes
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    off = F.col("chunk_off") + F.col("in_chunk") + F.col("copy") * F.col("size")
+    return docs.select("id", "source", "size", "th", off.alias("off")), sizes
 
 
 def _permute(k: Column, n: Column, *key: Column) -> Column:
@@ -151,8 +163,8 @@ def _pieces(docs: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def _mix(df, id_col, text_col, source_col, weights, share, most, block_words, shard_slots, seed):
-    docs, sizes = _layout(df, id_col, text_col, source_col)
+def _mix(df, id_col, text_col, source_col, weights, share, most, block_words, shard_slots, seed, columns=None):
+    docs, sizes = _layout(df, id_col, text_col, source_col, columns)
     sources = write_cut(source_targets(sizes, weights, share, most), "mix-sources")
     s = sources.withColumnRenamed("source", "s_source")
     docs = docs.join(s, docs["source"].eqNullSafe(s["s_source"])).drop("s_source")
@@ -211,18 +223,21 @@ def mix_documents(
 ) -> DataFrame:
     """The mix as documents with the columns of ``df``: one row for each pass
     in which a document is taken; its text holds the words taken in that pass.
-    Documents of which no word is taken are not in the mix."""
-    docs, taken = _mix(df, id_col, text_col, source_col, weights, share, most, block_words, shard_slots, seed)
+    Documents of which no word is taken are not in the mix. A row is dealt to
+    the output shard that draws its first word in the pass; every partition
+    holds its rows in the order of the shards."""
+    docs, taken = _mix(df, id_col, text_col, source_col, weights, share, most, block_words, shard_slots, seed, df.columns)
     cuts = taken.groupBy("src", "off", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("start", "took"))).alias("mx_cuts"), F.sum("took").alias("mx_words")
+        F.sort_array(F.collect_list(F.struct("start", "took"))).alias("mx_cuts"), F.sum("took").alias("mx_words"),
+        F.min(F.struct("start", "shard"))["shard"].alias("mx_shard"),
     )
     rows = cuts.join(docs.filter("size > 0"), ["src", "off"]).select(
-        F.col("id").alias("mx_id"), F.col("th").alias("mx_th"), F.col("size").alias("mx_size"), "mx_cuts", "mx_words"
+        F.col("th").alias("mx_th"), F.col("size").alias("mx_size"), "mx_cuts", "mx_words", "mx_shard"
     )
     whole = df.select(
-        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("mx_row"), df[id_col].alias("mx_did"), F.xxhash64(df[text_col]).alias("mx_dth"),
-    ).dropDuplicates(["mx_did", "mx_dth"])
-    j = rows.join(whole, rows["mx_id"].eqNullSafe(whole["mx_did"]) & (rows["mx_th"] == whole["mx_dth"]))
+        F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("mx_row"), _row_key(df, df.columns).alias("mx_dth")
+    ).dropDuplicates(["mx_dth"])  # rows that are equal in every column
+    j = rows.join(whole, rows["mx_th"] == whole["mx_dth"]).sortWithinPartitions("mx_shard", "mx_dth")
     text = F.col("mx_row").getField(text_col).cast("string")
     words = F.regexp_extract_all(text, F.lit(WORD_AND_SPACE), F.lit(0))
     j = j.withColumn("mx_cuts", F.transform("mx_cuts", lambda c: F.struct((c["start"] + 1).cast("int").alias("a"), c["took"].cast("int").alias("n"))))

@@ -119,3 +119,29 @@ def test_mix_holds_the_drawn_shards(edge_docs):
         for shard, n in parts:
             got[(r.doc_id, shard)] += n
     assert got == want and len({s for _, s in got}) > 1
+
+
+def test_rows_that_differ_in_any_column_stay_apart(spark):
+    """Same identifier and text under two sources, and a row three times."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "s0"), (1, text, "s1"), (2, "a b c d", "s0"), (3, "x y z", None)] + [(4, "p q r s t u", "s1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    options = dict(block_words=4, shard_slots=3)
+    taken = Counter()
+    for r in mixing.mix(df, **options).collect():
+        taken[r.doc_id, r.target] += r.taken
+    got = Counter()
+    targets_ = {s: t for s, t in targets({"s0": 44, "s1": 58, None: 3}).items()}
+    for r in mixing.mix_documents(df, **options).collect():
+        assert (r.doc_id, r.source) in {(i, s) for i, _, s in rows}
+        got[r.doc_id, targets_[r.source]] += n_words(r.text)
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
+    assert {s for (i, s) in {(r.doc_id, r.source) for r in mixing.mix_documents(df, **options).collect()} if i == 1} == {"s0", "s1"}
+    again = sorted(map(repr, mixing.mix(df.repartition(5), **options).collect()))
+    assert again == sorted(map(repr, mixing.mix(df, **options).collect()))
+
+
+def test_copies_of_one_row_are_spread(spark):
+    df = spark.range(30000).selectExpr("null as doc_id", "'a b c' as text", "'s' as source")
+    rows = mixing.mix(df.withColumn("doc_id", F.lit(None).cast("long"))).agg(F.count(F.lit(1)), F.sum("taken"), F.max("taken")).first()
+    assert tuple(rows) == (30000, 135000, 6)
