@@ -102,10 +102,12 @@ last AS (
   SELECT pair, max(turn) AS turn FROM c WHERE role = 'assistant' GROUP BY pair),
 answer AS (
   SELECT c.pair, max(c.text) AS text FROM c JOIN last USING (pair, turn) WHERE role = 'assistant' GROUP BY c.pair),
+following AS (
+  SELECT pair, lead(pair) OVER (ORDER BY pair) AS next FROM (SELECT DISTINCT pair FROM c WHERE pair IS NOT NULL)),
 t AS (
   SELECT c.pair, c.turn, c.role, c.text, c.nth,
          CASE WHEN c.turn = last.turn AND c.role = 'assistant' THEN coalesce(o.text, '') ELSE c.text END AS other
-  FROM c JOIN last ON c.pair = last.pair AND c.turn <= last.turn LEFT JOIN answer o ON o.pair = c.pair + 1),
+  FROM c JOIN last ON c.pair = last.pair AND c.turn <= last.turn LEFT JOIN following f ON f.pair = c.pair LEFT JOIN answer o ON o.pair = f.next),
 first AS (
   SELECT pair, min(turn) AS first FROM t WHERE text <> other GROUP BY pair),
 parts AS (

@@ -102,9 +102,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     both = F.array(*[F.struct(F.lit(k).alias("rand"), v.alias("v")) for k, v in ((1, rand), (0, plain))])
     texts = d.select(F.explode(both).alias("x"))
     texts = texts.select("x.rand", F.explode("x.v").alias("v"))
-    pairs = texts.filter("length(v) > 0").select(
-        "rand", F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.substr(F.concat(F.lit(START), "v"), i, F.lit(2)))).alias("p")
-    )
+    # each character with the one before it, cut once: a long run costs its length
+    chars = F.split(F.col("v"), "")
+    before = F.concat(F.array(F.lit(START)), F.slice(chars, F.lit(1), F.size(chars) - 1))
+    pairs = texts.filter("length(v) > 0").select("rand", F.explode(F.zip_with(before, chars, lambda a, b: F.concat(a, b))).alias("p"))
     counts: dict = defaultdict(lambda: [0.0, 0.0])
     for r in pairs.groupBy("rand", "p").count().collect():
         counts[r["p"]][r["rand"]] = float(r["count"])

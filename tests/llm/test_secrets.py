@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from sphaera.llm import secrets
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -99,3 +101,15 @@ def test_long_runs_are_found_and_repetition_is_not(spark):
     got = {r.id: [(s.start, secrets.KINDS[s.kind], s.end) for s in r.spans] for r in secrets.find_secrets(df, m).collect()}
     for i, w in enumerate(keys + plain):
         assert got[i] == ([(2, "model", 2 + len(w))] if i < len(keys) else []), (i, len(w))
+
+
+def test_training_is_linear_in_a_run(spark):
+    """A run of ten million key characters."""
+    import time
+
+    df = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    df = df.withColumn("text", F.concat(F.lit("id "), F.repeat(F.lit("aB3dE5gH"), 1_250_000)))
+    start = time.time()
+    model = secrets.train(df)
+    assert time.time() - start < 60
+    assert model["aB"] < 0 < model["ab"]
