@@ -27,7 +27,7 @@ from ..session import write_cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_SPACE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 2000
 SLOT_ROWS = 4096
 FEISTEL_ROUNDS = 4
 WALK = 64
