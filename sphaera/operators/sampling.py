@@ -75,6 +75,25 @@ def corpus_scalars(vocab: DataFrame, hist: DataFrame) -> CorpusScalars:
     return CorpusScalars(int(v["n"] or 0), int(v["v"]), float(h["z"] or 0.0), int(h["h"]))
 
 
+NOISE_BYTES = 64 << 20
+
+
+def noise_table(hist: DataFrame, scalars: CorpusScalars):
+    """The histogram as arrays for tasks, 32 bytes a bucket. Its size is
+    checked before anything is collected: distinct counts are at most about
+    sqrt(2N), which meets the bound at some 2e12 tokens."""
+    import numpy as np
+
+    from sphaera.operators.trainer import Noise
+
+    if 32 * scalars.n_buckets > NOISE_BYTES:
+        raise ValueError(f"{scalars.n_buckets} distinct counts exceed the noise table's {NOISE_BYTES} bytes; raise min_count")
+    names = ("first_idx", "n_words", "w", "cum_before")
+    h = hist.select(*names).orderBy("first_idx").toPandas()
+    arrays = [h[c].to_numpy(np.float64 if c in ("w", "cum_before") else np.int64) for c in names]
+    return Noise(*arrays, scalars.noise_total, scalars.vocab_size)
+
+
 def noise_grid(hist: DataFrame, scalars: CorpusScalars, cells: int = GRID_CELLS) -> DataFrame:
     """Buckets exploded into the grid cells of ``[0, Z)`` they overlap:
     at most ``cells + buckets`` rows."""

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from sphaera.functions import vectors as M
 from sphaera.functions.initgen import init_value_sql
+from sphaera.operators.ordering import with_prefix_sum
 from sphaera.params import ALPHA_FLOOR, EOS
+from sphaera.session import write_cut
 
 
 def init_rows(ids: DataFrame, role: str, dim: int, row_offset, pos_col: str = "id", id_col: str = "id") -> DataFrame:
@@ -135,14 +137,15 @@ def sum_deltas(deltas: DataFrame, dim: int) -> DataFrame:
     return g.select("role", "id", M.element_array(dim).alias("delta"), "n")
 
 
-def apply_deltas(vectors: DataFrame, summed: DataFrame, scale: str | None = None, dim: int | None = None) -> DataFrame:
-    """Add summed deltas (optionally divided by ``sqrt(s)``, ``s`` = rows
-    merged) and retract to the sphere; untouched rows pass through."""
-    j = vectors.join(summed.select("role", "id", "delta", *( [scale] if scale else [])), ["role", "id"], "left")
-    if scale:
-        d = F.transform("delta", lambda x: x / F.sqrt(F.col(scale).cast("double")))
-    else:
-        d = F.col("delta")
+def apply_deltas(vectors: DataFrame, summed: DataFrame, reach: float | None = None) -> DataFrame:
+    """Add summed deltas (with ``reach`` shortened to that length where they
+    are longer) and retract to the sphere; untouched rows pass through."""
+    if reach is not None:
+        size = F.sqrt(F.aggregate("delta", F.lit(0.0), lambda s, x: s + x * x))
+        summed = summed.withColumn("_f", F.when(size > reach, F.lit(reach) / size).otherwise(F.lit(1.0)))
+        summed = summed.withColumn("delta", F.transform("delta", lambda x: x * F.col("_f")))
+    j = vectors.join(summed.select("role", "id", "delta"), ["role", "id"], "left")
+    d = F.col("delta")
     new = F.when(F.col("delta").isNull(), F.col("vec")).otherwise(M.add(F.col("vec").cast("array<double>"), d))
     out = j.select("role", "id", new.alias("vec"), F.col("delta").isNotNull().alias("_t"))
     touched = M.l2_normalize(out.filter("_t"), "vec").drop("_t")
@@ -164,15 +167,15 @@ def batch_step(vectors: DataFrame, word_tr: DataFrame, doc_tr: DataFrame, alpha:
 
 
 def position_deltas(positions: DataFrame, vectors: DataFrame, alpha: float, margin: float, dim: int, negative: int, noise,
-                    kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
+                    kinds: tuple[int, ...] = (0, 1), shard_tokens: int = 100_000) -> DataFrame:
     """T4 (kind 0), T5 (kind 1) or both over position rows: every group of
-    documents gets the vectors its triples touch, once each, and sums its steps
-    per row before they are shuffled: ``(role, id, delta)``."""
+    about ``shard_tokens`` positions gets the vectors its triples touch, once
+    each, and sums its steps per row before they are shuffled: ``(role, id,
+    delta)``. A document's positions need not be in one group."""
     from sphaera.operators.trainer import DELTA_SCHEMA, make_delta_fn, working_ids
 
-    n = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pos = positions.withColumn("pkey", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("alpha", F.lit(float(alpha)))
-    pos = pos.repartition(n, "pkey").cache()
+    pos, n = dense_groups(positions, shard_tokens)
+    pos = write_cut(pos.withColumn("alpha", F.lit(float(alpha))), "positions")
     need = pos.mapInArrow(working_ids(negative, noise), "wpkey int, role string, ids array<long>")
     need = need.select("wpkey", "role", F.explode("ids").alias("id"))
     ws = need.join(vectors, ["role", "id"])
@@ -182,6 +185,44 @@ def position_deltas(positions: DataFrame, vectors: DataFrame, alpha: float, marg
     return sum_deltas(out, dim)
 
 
+def position_objective(positions: DataFrame, vectors: DataFrame, margin: float, dim: int, negative: int, noise,
+                       shard_tokens: int = 100_000) -> DataFrame:
+    """T9 as a forward pass over position rows: ``(kind, mean_loss,
+    active_share, n_triples)`` of the given vectors, which nothing changes.
+    Groups as in :func:`position_deltas`; each returns its counters."""
+    from sphaera.operators.trainer import make_loss_fn, working_ids
+
+    pos, n = dense_groups(positions, shard_tokens)
+    pos = write_cut(pos.withColumn("alpha", F.lit(0.0)), "positions")
+    need = pos.mapInArrow(working_ids(negative, noise), "wpkey int, role string, ids array<long>")
+    ws = need.select("wpkey", "role", F.explode("ids").alias("id")).join(vectors.select("role", "id", "vec"), ["role", "id"])
+    out = pos.groupBy("pkey").cogroup(ws.groupBy("wpkey")).applyInArrow(make_loss_fn(margin, negative, noise, dim), "stats array<double>")
+    return loss_table(out.groupBy().agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(6)]))
+
+
+def loss_table(sums: DataFrame, *keys: str) -> DataFrame:
+    """Summed counters ``s0`` to ``s5`` as one row per kind of triple."""
+    kinds = [
+        F.struct(F.lit(kind).alias("kind"), (F.col(f"s{i}") / F.col(f"s{i + 2}")).alias("mean_loss"),
+                 (F.col(f"s{i + 1}") / F.col(f"s{i + 2}")).alias("active_share"), F.col(f"s{i + 2}").cast("bigint").alias("n_triples"))
+        for i, kind in ((0, "word"), (3, "doc"))
+    ]
+    return sums.select(*keys, F.explode(F.array(*kinds)).alias("o")).select(*keys, "o.*")
+
+
+def dense_groups(positions: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
+    """Positions with the number ``pkey`` of their group, and the number of
+    groups: blocks of a document's positions in document order, dealt so that
+    no group holds more than two times ``shard_tokens``."""
+    block = F.floor(F.col("kpos") / F.lit(shard_tokens))
+    units = positions.groupBy("doc_id", block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    units = with_prefix_sum(units, ["doc_id", "_b"], "_n", "_before", inclusive=False)
+    units = units.select("doc_id", "_b", F.floor(F.col("_before") / F.lit(shard_tokens)).cast("int").alias("pkey"))
+    units = write_cut(units, "groups")
+    n = (units.agg(F.max("pkey")).first()[0] or 0) + 1
+    return positions.withColumn("_b", block).join(units, ["doc_id", "_b"]).drop("_b"), n
+
+
 def alpha_expr(alpha0: float, done, iters: int, train_words: int):
     """``alpha0 * max(1 - done / (iter * N + 1), 1e-4)``."""
     done = done if not isinstance(done, (int, float)) else F.lit(done)

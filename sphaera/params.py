@@ -23,12 +23,15 @@ class Params:
     iter: int = 10
     min_count: int = 5
     seed: int = 1
-    # Distributed trainer: whole documents are grouped into shards of about
-    # ``shard_tokens`` in-vocabulary tokens. An epoch has ``merges`` steps; the
-    # shards of a step train side by side from one snapshot, so a step grows
-    # with the corpus and their number does not.
+    # Distributed trainer: documents are grouped into shards of about
+    # ``shard_tokens`` in-vocabulary tokens, longer ones are split. An epoch has
+    # ``merges`` steps; the shards of a step train side by side from one
+    # snapshot, so a step grows with the corpus and their number does not. A
+    # step moves a vector by the sum of its shards' changes, but by no more
+    # than ``reach``, however many shards there are.
     shard_tokens: int = 100_000
-    merges: int = 4
+    merges: int = 8
+    reach: float = 0.4
     batch_size: int = 4096
     # Off by default: nothing is cut. ``max_token_bytes`` shortens tokens at a
     # character border, ``max_segment`` ends windows after so many kept tokens.

@@ -540,13 +540,9 @@ def q_t3(spark, sf):
 
 
 def _position_deltas(spark, sf, kinds):
-    from sphaera.operators.trainer import Noise
-
     _, hist, sc = sampling_state(spark, sf)
-    h = hist.select("first_idx", "n_words", "w", "cum_before").orderBy("first_idx").toPandas()  # distinct counts
-    noise = Noise(*(h[c].to_numpy() for c in h), sc.noise_total, sc.vocab_size)
     pos = G.position_rows(kept(spark, sf, sc), WINDOW, NEGATIVE, SEED, EPOCH)
-    return T.position_deltas(pos, _vectors(spark, sf), ALPHA, MARGIN, DIM, NEGATIVE, noise, kinds)
+    return T.position_deltas(pos, _vectors(spark, sf), ALPHA, MARGIN, DIM, NEGATIVE, P.noise_table(hist, sc), kinds)
 
 
 def _delta_long(s):
@@ -632,6 +628,16 @@ def q_t9(spark, sf):
     return o.select("kind", r6("mean_loss").alias("mean_loss"), r6("active_share").alias("active_share"), "n_triples")
 
 
+@register("t9_forward_pass", ORACLES["t9_epoch_objective"])
+def q_t9_forward(spark, sf):
+    """The same objective as the trainer computes it: a forward pass over
+    position rows with the vectors of each group, none of them changed."""
+    _, hist, sc = sampling_state(spark, sf)
+    pos = G.position_rows(kept(spark, sf, sc), WINDOW, NEGATIVE, SEED, EPOCH)
+    o = T.position_objective(pos, _vectors(spark, sf), MARGIN, DIM, NEGATIVE, P.noise_table(hist, sc), shard_tokens=20_000)
+    return o.select("kind", r6("mean_loss").alias("mean_loss"), r6("active_share").alias("active_share"), "n_triples")
+
+
 @register(
     "t10_epoch_quota",
     QUOTA_SQL.rstrip() + ",\n" + S.kept(SEED, SAMPLE, EPOCH, WINDOW)
@@ -1088,10 +1094,21 @@ ONE_EPOCH = Params(dim=DIM, iter=1, window=WINDOW, negative=NEGATIVE, min_count=
                    margin=MARGIN, alpha=ALPHA, shard_tokens=20_000, merges=1, batch_size=1_000_000_000)
 
 
-def _one_epoch_sql() -> str:
+def _one_epoch_sql(shard_tokens: int, reach: float) -> str:
     """One step of all shards, one batch per shard: T6 inside every shard with
-    the schedule's rate, then the shards' changes added up over sqrt(shards)."""
-    step = f"range({DIM})"
+    the schedule's rate, then the shards' changes of a row added up, at most
+    ``reach`` long. A document over ``shard_tokens`` is cut into parts, which
+    are segments of their own."""
+    step, part = f"range({DIM})", f"pos // {shard_tokens}"
+    triples = TRI.rstrip()
+    for old, new in (
+        ("(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS kpos FROM sub",
+         f"(row_number() OVER (PARTITION BY doc_id, {part} ORDER BY pos) - 1 + {part} * {shard_tokens})::BIGINT AS kpos FROM sub"),
+        ("(0)::BIGINT AS seg", f"({part})::BIGINT AS seg"),
+    ):
+        if old not in triples:
+            raise ValueError(old)
+        triples = triples.replace(old, new)
     parts = {
         "pos": f"list_transform({step}, lambda j: alpha * (1.0 - f) * (a_vec[j + 1] - f * u_vec[j + 1]))",
         "neg": f"list_transform({step}, lambda j: alpha * 2.0 * h * (h * n_vec[j + 1] - a_vec[j + 1]))",
@@ -1100,41 +1117,47 @@ def _one_epoch_sql() -> str:
     cols = "f, h, a_vec, u_vec, n_vec, run, alpha"
     norm = "sqrt(list_sum(list_transform(vec, lambda y: y * y)))"
     return (
-        TRI.rstrip() + ",\n"
-        "pl0 AS (SELECT d.doc_id, coalesce(e.n, 0) + 1 AS n_words FROM documents d LEFT JOIN "
+        triples + ",\n"
+        "pld AS (SELECT d.doc_id, coalesce(e.n, 0) + 1 AS n FROM documents d LEFT JOIN "
         "(SELECT doc_id, count(*) AS n FROM enc GROUP BY doc_id) e ON d.doc_id = e.doc_id),\n"
-        "pl1 AS (SELECT doc_id, coalesce(sum(n_words) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
-        "AS cum FROM pl0),\n"
-        f"pl2 AS (SELECT doc_id, cum, cum // {ONE_EPOCH.shard_tokens} AS run FROM pl1),\n"
-        "al AS (SELECT doc_id, run, "
+        f"pl0 AS (SELECT doc_id, p.part, n > {shard_tokens} AS wide, least({shard_tokens}, n - p.part * {shard_tokens}) AS n_words "
+        f"FROM pld, unnest(range(0, (n - 1) // {shard_tokens} + 1)) AS p(part)),\n"
+        "pl1 AS (SELECT doc_id, part, coalesce(sum(n_words) OVER (ORDER BY doc_id, part ROWS BETWEEN UNBOUNDED PRECEDING AND "
+        "1 PRECEDING), 0)::BIGINT AS cum FROM pl0),\n"
+        f"pl2 AS (SELECT doc_id, part, cum, cum // {shard_tokens} AS run FROM pl1),\n"
+        "al AS (SELECT doc_id, part, run, "
         f"{ALPHA}::DOUBLE * greatest(1.0 - ((SELECT count(DISTINCT run) FROM pl2) * (cum - min(cum) OVER (PARTITION BY run)))::DOUBLE "
         "/ (n_train::DOUBLE + 1.0), 1e-4) AS alpha FROM pl2, nstat),\n"
-        f"tri AS (SELECT 'v' AS arole, ctx AS anchor, center AS pos, neg, {cols} FROM wf JOIN al USING (doc_id) WHERE active "
-        f"UNION ALL SELECT 'd', doc_id, word, neg, {cols} FROM df JOIN al USING (doc_id) WHERE active),\n"
+        f"tri AS MATERIALIZED (SELECT 'v' AS arole, ctx AS anchor, center AS pos, neg, {cols} FROM wf JOIN al ON al.doc_id = "
+        f"wf.doc_id AND al.part = wf.kpos // {shard_tokens} WHERE active UNION ALL SELECT 'd', df.doc_id, word, neg, {cols} FROM df "
+        f"JOIN al ON al.doc_id = df.doc_id AND al.part = df.kpos // {shard_tokens} WHERE active),\n"
         f"st AS (SELECT run, 'u' AS role, pos AS id, {parts['pos']} AS delta FROM tri UNION ALL "
         f"SELECT run, 'u', neg, {parts['neg']} FROM tri UNION ALL SELECT run, arole, anchor, {parts['anchor']} FROM tri),\n"
         "sl AS (SELECT run, role, id, j, sum(x) AS x FROM (SELECT run, role, id, unnest(range(len(delta))) AS j, unnest(delta) AS x "
         "FROM st) GROUP BY ALL),\n"
-        "sh AS (SELECT run, role, id, list(x ORDER BY j) AS delta FROM sl GROUP BY ALL),\n"
+        "sh AS MATERIALIZED (SELECT run, role, id, list(x ORDER BY j) AS delta FROM sl GROUP BY ALL),\n"
         f"nw AS (SELECT s.role, s.id, v.vec AS old, list_transform({step}, lambda j: v.vec[j + 1] + s.delta[j + 1]) AS vec "
         "FROM sh s JOIN vecs v ON v.role = s.role AND v.id = s.id),\n"
-        f"nn AS (SELECT role, id, old, list_transform(vec, lambda y: y / {norm}) AS vec FROM nw),\n"
+        f"nn AS MATERIALIZED (SELECT role, id, old, list_transform(vec, lambda y: y / {norm}) AS vec FROM nw),\n"
         f"ch AS (SELECT role, id, list_transform({step}, lambda j: CAST(vec[j + 1] - old[j + 1] AS FLOAT)) AS delta FROM nn "
-        "WHERE role <> 'd'),\n"
-        "ms AS (SELECT role, id, j, sum(x::DOUBLE) / sqrt(count(*)::DOUBLE) AS x FROM (SELECT role, id, "
+        "WHERE role <> 'd' OR id IN (SELECT doc_id FROM pl0 WHERE wide)),\n"
+        "ms AS (SELECT role, id, j, sum(x::DOUBLE) AS x FROM (SELECT role, id, "
         "unnest(range(len(delta))) AS j, unnest(delta) AS x FROM ch) GROUP BY ALL),\n"
-        "ml AS (SELECT role, id, list(x ORDER BY j) AS delta FROM ms GROUP BY ALL),\n"
+        "mn AS (SELECT role, id, list(x ORDER BY j) AS delta, sqrt(sum(x * x)) AS size FROM ms GROUP BY role, id),\n"
+        f"ml AS (SELECT role, id, list_transform(delta, lambda y: y * CASE WHEN size > {reach} THEN {reach} / size ELSE 1.0 END) "
+        "AS delta FROM mn),\n"
         f"mw AS (SELECT v.role, v.id, list_transform({step}, lambda j: v.vec[j + 1] + m.delta[j + 1]) AS vec FROM ml m "
         "JOIN vecs v ON v.role = m.role AND v.id = m.id),\n"
         f"fin AS (SELECT role, id, list_transform(vec, lambda y: CAST(y / {norm} AS FLOAT)) AS vec FROM mw UNION ALL "
-        "SELECT role, id, list_transform(vec, lambda y: CAST(y AS FLOAT)) FROM nn WHERE role = 'd' UNION ALL "
+        "SELECT role, id, list_transform(vec, lambda y: CAST(y AS FLOAT)) FROM nn WHERE role = 'd' "
+        "AND id NOT IN (SELECT doc_id FROM pl0 WHERE wide) UNION ALL "
         "SELECT role, id, vec FROM vecs WHERE (role, id) NOT IN (SELECT (role, id) FROM sh))\n"
         "SELECT role, id, j::BIGINT AS j, round(x::DOUBLE, 6) AS x FROM "
         "(SELECT role, id, unnest(range(len(vec))) AS j, unnest(vec) AS x FROM fin)"
     )
 
 
-@register("t8_fit_one_epoch", _one_epoch_sql())
+@register("t8_fit_one_epoch", _one_epoch_sql(ONE_EPOCH.shard_tokens, ONE_EPOCH.reach))
 def q_t8_epoch(spark, sf):
     """The production trainer over one epoch of one step and one batch per
     shard: every vector of the three tables."""
@@ -1143,6 +1166,17 @@ def q_t8_epoch(spark, sf):
     return _long(fit(load(spark, sf, "documents"), ONE_EPOCH).vectors())
 
 
+PARTS = ONE_EPOCH.with_(shard_tokens=1_500)
+
+
+@register("t8_fit_split_documents", _one_epoch_sql(PARTS.shard_tokens, PARTS.reach))
+def q_t8_parts(spark, sf):
+    """The same with shards that longer documents are split over."""
+    from sphaera.plans.fit import fit
+
+    return _long(fit(load(spark, sf, "documents"), PARTS).vectors())
+
+
 @register("e5_trained_similarity")
 def q_e5(spark, sf):
     """The similarity report of trained word vectors, one row per benchmark."""

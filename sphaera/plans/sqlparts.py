@@ -71,9 +71,9 @@ def kept(seed: int, sample: float, epoch: int, window: int, max_segment: int | N
     filt = f"WHERE {uu} <= {keep_p(sample)}" if sample > 0 else ""
     rad = f"{window} - CAST(floor({u(seed, 'win', [str(epoch), 'doc_id', 'kpos'])} * {window}) AS BIGINT)"
     return (
-        f"sub AS (SELECT enc.* FROM enc, nstat {filt}),\n"
+        f"sub AS MATERIALIZED (SELECT enc.* FROM enc, nstat {filt}),\n"
         "kp AS (SELECT doc_id, pos, idx, cn, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS kpos FROM sub),\n"
-        f"kept AS (SELECT doc_id, pos, idx, cn, kpos, ({seg})::BIGINT AS seg, ({rad})::BIGINT AS radius FROM kp)"
+        f"kept AS MATERIALIZED (SELECT doc_id, pos, idx, cn, kpos, ({seg})::BIGINT AS seg, ({rad})::BIGINT AS radius FROM kp)"
     )
 
 
