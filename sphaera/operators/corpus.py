@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sphaera.functions.text import PY_STRIP_CLASS
 from sphaera.operators.ordering import with_prefix_sum
 from sphaera.params import EOS, MAX_TOKEN_BYTES
+from sphaera.session import write_cut
 
 SEPARATORS = "[ \t\n]+"
 
@@ -166,20 +167,45 @@ def lookup_side(vocab: DataFrame, broadcast_rows: int | None = 2_000_000) -> Dat
     return F.broadcast(vocab) if small else vocab
 
 
+NUMBER_BLOCK = 1 << 16
+
+
+def most_tokens(docs: DataFrame, text_col: str = "text") -> int:
+    """No document has more tokens than this: each but the last needs a
+    separator."""
+    return (docs.agg(F.max(F.octet_length(text_col))).first()[0] or 0) // 2 + 1
+
+
+def numbered(rows: DataFrame, out: str, by: tuple[str, ...] = (), longest: int | None = None, block: int = NUMBER_BLOCK) -> DataFrame:
+    """``out``: the 0-based place of a row in its document by ``pos``. A window
+    holds a block of positions; a document over a block (``longest`` bounds the
+    tokens of all, None: unknown) adds the rows of its earlier blocks, so that
+    one long document is spread over many tasks."""
+    if longest is not None and longest <= block:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by, "doc_id").orderBy("pos")) - 1)
+    rows = write_cut(rows.withColumn("_b", F.floor(F.col("pos") / F.lit(block)).cast("int")), "token-blocks")
+    w = Window.partitionBy(*by, "doc_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by, "doc_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(w)).filter("_before > 0").drop("_n")  # long documents only
+    inside = F.row_number().over(Window.partitionBy(*by, "doc_id", "_b").orderBy("pos")) - 1
+    rows = rows.withColumn("_in", inside).join(before, [*by, "doc_id", "_b"], "left")
+    return rows.withColumn(out, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_b", "_in", "_before")
+
+
 def encode_tokens(
-    tokens: DataFrame, vocab: DataFrame, broadcast_rows: int | None = 2_000_000
+    tokens: DataFrame, vocab: DataFrame, broadcast_rows: int | None = 2_000_000, longest: int | None = None
 ) -> DataFrame:
     """In-vocabulary tokens ``(doc_id, pos, idx, cn)``; ``pos`` renumbered
     0-based over the kept tokens of the document, so windows close over the
     dropped ones. ``</s>`` (id 0) never occurs inside a document.
 
     Beyond the bounds of :func:`lookup_side` a shuffle join (AQE splits skewed
-    words).
+    words). ``longest`` as in :func:`numbered`.
     """
     v = lookup_side(vocab.filter(F.col("idx") > 0).select("word", "idx", "cn"), broadcast_rows)
     j = tokens.join(v, "word")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return j.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), "idx", "cn")
+    j = numbered(j.select("doc_id", "pos", "idx", "cn"), "_pos", longest=longest)
+    return j.select("doc_id", F.col("_pos").alias("pos"), "idx", "cn")
 
 
 def doc_lengths(encoded: DataFrame) -> DataFrame:
@@ -187,12 +213,11 @@ def doc_lengths(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
-def segment(kept: DataFrame, max_len: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def segment(kept: DataFrame, max_len: int | None = None, by: tuple[str, ...] = (), longest: int | None = None) -> DataFrame:
     """Kept tokens renumbered ``kpos`` (0-based) and, with ``max_len``, cut
     into runs of that length: ``seg = kpos div max_len``; windows never cross a
     run. Without it a document is one segment.
     ``by``: coarser keys the data is already partitioned on (kept in the
     window keys so no shuffle is added)."""
-    w = Window.partitionBy(*by, "doc_id").orderBy("pos")
-    k = kept.withColumn("kpos", F.row_number().over(w) - 1)
+    k = numbered(kept, "kpos", by, longest)
     return k.withColumn("seg", F.lit(0) if max_len is None else F.floor(F.col("kpos") / F.lit(max_len)).cast("int"))

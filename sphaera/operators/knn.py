@@ -1,22 +1,31 @@
 """k-nearest-neighbour classification and its metrics, L1-L7.
 
-Exact kNN is quadratic, so it is blocked: test rows are cut into ``T``
-blocks and train rows into ``R`` blocks, every (test block, train block)
-pair is one group of a co-grouped ``applyInPandas`` that keeps only the
-``k`` best train rows per test row, and a window over the ``R * k``
-candidates of each test row picks the final ``k``. No group holds more than
-one block of each side and nothing passes through the driver.
+Exact kNN is quadratic at worst. A small train table is one block that every
+block of test rows meets. A larger one is cut into cells around pivots, and a
+cell into blocks by distance to its pivot, each block one packed row that
+covers an interval of such distances. A test row first meets the block that
+promises the nearest rows; its k-th distance there bounds the search, and by
+the triangle inequality every block whose interval lies farther from the row's
+own distance to that pivot is left out. Only the others get the row. Every
+(block, part of its test rows) is one group that keeps the ``k`` best, and a
+window over a test row's candidates picks the final ``k``. No group holds more
+than one block and ``block_rows`` test rows; pivots and block intervals are
+bounded by parameters and checked.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sphaera.operators.ordering import with_global_index
+from sphaera.session import write_cut
+
 EXACT_ROWS = 200_000  # exact differences held at a time
 
 
@@ -64,11 +73,8 @@ def _block_topk(k: int):
     return run
 
 
-def knn(train: DataFrame, test: DataFrame, k: int = 3, block_rows: int = 4096) -> DataFrame:
-    """L2: exact ``k`` nearest train rows (Euclidean) per test row, ties by
-    train id: ``(test_id, rank, train_id, dist, label)``."""
-    n_train = train.count()
-    n_test = test.count()
+def _all_blocks(train: DataFrame, test: DataFrame, k: int, block_rows: int, n_train: int, n_test: int) -> DataFrame:
+    """Candidates of every test row from every block of train rows."""
     rb = max(1, math.ceil(n_train / block_rows))
     tb = max(1, math.ceil(n_test / block_rows))
     te = test.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(tb)).alias("tb"))
@@ -80,15 +86,160 @@ def knn(train: DataFrame, test: DataFrame, k: int = 3, block_rows: int = 4096) -
         F.pmod(F.xxhash64("id"), F.lit(rb)).alias("wrb"),
     )
     tr = tr.withColumn("wtb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))))
-    cand = (
+    return (
         te.groupBy("tb", "rb")
         .cogroup(tr.groupBy("wtb", "wrb"))
-        .applyInPandas(_block_topk(k), "test_id long, train_id long, dist double, label long")
+        .applyInPandas(_block_topk(k), CANDIDATE)
     )
+
+
+CANDIDATE = "test_id long, train_id long, dist double, label long"
+PIVOTS = 256
+META_BYTES = 64 << 20
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        d = x - p
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and the blocks of train rows around them."""
+
+    pivots: np.ndarray
+    cell: np.ndarray  # pivot of each block
+    low: np.ndarray  # smallest and largest distance of its rows to the pivot
+    high: np.ndarray
+    rows: np.ndarray
+
+    def reach(self, x: np.ndarray) -> np.ndarray:
+        """A lower bound of the distance from rows to any row of each block."""
+        d = _distances(x, self.pivots)[:, self.cell]
+        # rounding of the distances must never close a block
+        slack = 1e-9 * (1.0 + d + self.high)
+        return np.maximum(np.maximum(d - self.high, self.low - d) - slack, 0.0)
+
+
+def _pack(block: pd.DataFrame) -> pd.DataFrame:
+    v = np.stack(block["vec"].to_numpy()).astype(np.float64)
+    return pd.DataFrame({"block": [int(block["block"].iloc[0])], "n": [len(v)], "ids": [block["id"].to_numpy(np.int64).tobytes()],
+                         "labels": [block["label"].to_numpy(np.int64).tobytes()], "vecs": [v.tobytes()]})
+
+
+def cells(train: DataFrame, block_rows: int, n_pivots: int = PIVOTS) -> tuple[DataFrame, Cells]:
+    """Packed blocks ``(block, n, ids, labels, vecs)`` of ``train(id, vec,
+    label)`` and what is known of them. Pivots are the rows with the smallest
+    hashes."""
+    pivots = train.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(n_pivots).collect()
+    pivots = np.array([np.asarray(r["vec"], np.float64) for r in pivots])
+    if pivots.nbytes > META_BYTES:
+        raise ValueError(f"pivots of {pivots.nbytes} bytes: lower their number")
+
+    def near(batches):
+        for b in batches:
+            if len(b):
+                d = _distances(np.stack(b["vec"].to_numpy()).astype(np.float64), pivots)
+                c = d.argmin(1)
+                yield b.assign(cell=c.astype(np.int32), r=d[np.arange(len(c)), c])
+
+    rows = train.select("id", "vec", F.col("label").cast("long").alias("label"))
+    rows = rows.mapInPandas(near, "id long, vec array<double>, label long, cell int, r double")
+    rows = with_global_index(rows, ["cell", "r", "id"], "at")
+    first = rows.groupBy("cell").agg(F.min("at").alias("first"))  # one row a pivot
+    rows = rows.join(F.broadcast(first), "cell")
+    block = F.col("cell").cast("long") * F.lit(1 << 32) + F.floor((F.col("at") - F.col("first")) / F.lit(block_rows))
+    rows = rows.withColumn("block", block)
+    meta = rows.groupBy("block", "cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("n"))
+    meta = write_cut(meta, "knn-blocks")
+    if 40 * meta.count() > META_BYTES:
+        raise ValueError("too many blocks of train rows: raise block_rows")
+    m = meta.orderBy("block").toPandas()  # n / block_rows + pivots rows
+    order = {int(b): i for i, b in enumerate(m["block"])}
+    packed = rows.groupBy("block").applyInPandas(_pack, "block long, n long, ids binary, labels binary, vecs binary")
+    numbers = train.sparkSession.createDataFrame([(b, i) for b, i in order.items()], "b long, i int")
+    packed = packed.join(F.broadcast(numbers), F.col("block") == F.col("b")).select(F.col("i").alias("block"), "n", "ids", "labels", "vecs")
+    packed = write_cut(packed, "knn-packed")
+    return packed, Cells(pivots, *(m[c].to_numpy() for c in ("cell", "low", "high", "n")))
+
+
+def _send(test: DataFrame, c: Cells, k: int, first: bool) -> DataFrame:
+    """``(id, vec, block)``: to which blocks a test row goes. At first the
+    nearest by its bound, among those of ``k`` rows where there are such; then,
+    given the distance ``most`` found there, all others that may hold a nearer
+    row."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo : lo + 1024]
+                reach = c.reach(np.stack(part["vec"].to_numpy()).astype(np.float64))
+                home = np.where((c.rows >= k)[None, :] | (c.rows < k).all(), reach, np.inf).argmin(1)
+                if first:
+                    i, j = np.arange(len(part)), home
+                else:
+                    most = part["most"].fillna(np.inf).to_numpy(np.float64)
+                    open_ = reach <= most[:, None]
+                    open_[np.arange(len(part)), home] = False
+                    i, j = np.nonzero(open_)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "vec": part["vec"].to_numpy()[i], "block": j.astype(np.int32)})
+
+    return test.mapInPandas(run, "id long, vec array<double>, block int")
+
+
+def _meet(sent: DataFrame, packed: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Candidates of sent rows from their blocks; a block that many rows are
+    sent to meets them in parts."""
+    parts = sent.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("parts"))
+    parts = write_cut(parts, "knn-parts")
+    te = sent.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    tr = packed.join(parts, "block").withColumn("w_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tr = tr.select(F.col("block").alias("w_block"), "w_part", "n", "ids", "labels", "vecs")
+    topk = _block_topk(k)
+
+    def run(test: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(test) or not len(block):
+            return topk(test.iloc[:0], block.iloc[:0])
+        r = block.iloc[0]
+        vec = np.frombuffer(r["vecs"], np.float64).reshape(int(r["n"]), -1)
+        train = pd.DataFrame({"r_id": np.frombuffer(r["ids"], np.int64), "r_vec": list(vec), "r_label": np.frombuffer(r["labels"], np.int64)})
+        return topk(test, train)
+
+    return te.groupBy("block", "part").cogroup(tr.groupBy("w_block", "w_part")).applyInPandas(run, CANDIDATE)
+
+
+def _open_blocks(train: DataFrame, test: DataFrame, k: int, block_rows: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates from the blocks that the triangle inequality leaves open, and
+    the rows sent after the first one."""
+    packed, c = cells(train, block_rows, n_pivots)
+    te = test.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    home = write_cut(_meet(_send(te, c, k, True), packed, k, block_rows), "knn-home")
+    most = home.groupBy(F.col("test_id").alias("id")).agg(F.max("dist").alias("m"), F.count(F.lit(1)).alias("c"))
+    most = most.select("id", F.when(F.col("c") >= k, F.col("m")).alias("most"))
+    sent = write_cut(_send(te.join(most, "id", "left"), c, k, False), "knn-sent")
+    return home.unionByName(_meet(sent, packed, k, block_rows)), sent
+
+
+def knn(train: DataFrame, test: DataFrame, k: int = 3, block_rows: int = 4096, n_pivots: int = PIVOTS) -> DataFrame:
+    """L2: exact ``k`` nearest train rows (Euclidean) per test row, ties by
+    train id: ``(test_id, rank, train_id, dist, label)``. With more blocks of
+    train rows than ``FEW_BLOCKS`` most of them are left out by their distance
+    to a pivot; the result is the same."""
+    n_train = train.count()
+    if n_train > FEW_BLOCKS * block_rows:
+        cand, _ = _open_blocks(train, test, k, block_rows, n_pivots)
+    else:
+        cand = _all_blocks(train, test, k, block_rows, n_train, test.count())
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+FEW_BLOCKS = 8
+
+
 def majority_vote(neighbours: DataFrame) -> DataFrame:
     """L3: most frequent label among the neighbours; ties to the smallest."""
     c = neighbours.groupBy("test_id", "label").agg(F.count(F.lit(1)).alias("n"))

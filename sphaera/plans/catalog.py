@@ -88,12 +88,17 @@ def vocab(spark, sf, min_count=MIN_COUNT):
     return V.build_vocab(tokens(spark, sf), docs(spark, sf), min_count).cache()
 
 
+@once
+def longest(spark, sf):
+    return C.most_tokens(docs(spark, sf))
+
+
 @once
 def encoded(spark, sf):
     """Documents are dealt by id before they are cut into tokens, so that the
     windows over a document's tokens need no further shuffle."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return C.encode_tokens(C.tokenize(docs(spark, sf).repartition(n, "doc_id")), vocab(spark, sf))
+    return C.encode_tokens(C.tokenize(docs(spark, sf).repartition(n, "doc_id")), vocab(spark, sf), longest=longest(spark, sf))
 
 
 @once
@@ -106,7 +111,7 @@ def sampling_state(spark, sf):
 
 def kept(spark, sf, sc, max_segment=None):
     k = P.subsample(encoded(spark, sf), sc, SAMPLE, SEED, EPOCH)
-    k = C.segment(k, max_segment)
+    k = C.segment(k, max_segment, longest=longest(spark, sf))
     return P.dynamic_window(k, WINDOW, SEED, EPOCH)
 
 
@@ -823,14 +828,65 @@ def q_k10(spark, sf):
     return r.select(*[r6(c).alias(c) for c in ("mi", "nmi", "ari", "purity")])
 
 
-@register("k1_kmeans")
+def _dist_sql(metric: str, a: str, b: str) -> str:
+    if metric == "euclidean":
+        return EUC.format(a=a, b=b)
+    return f"1 - {_dsql(a, b)} / (sqrt({_dsql(a, a)}) * sqrt({_dsql(b, b)}))"
+
+
+KM_K, KM_SAMPLES, KM_FACTOR, KM_ROUNDS = 10, 3, 2.0, 40
+
+
+def _kmeans_sql(metric: str) -> str:
+    """Seeding by oversampling, then Lloyd rounds until long after they have
+    converged, unrolled."""
+    cost = f"greatest({_dist_sql(metric, 'e.vec', 'c.vec')}, 0.0)"
+    cost = cost if metric == "cosine" else f"pow({cost}, 2)"
+    ctes = [EV, f"s0 AS MATERIALIZED (SELECT id, vec FROM ev ORDER BY {S.u(SEED, 'kmeans', ['0', 'id'])}, id LIMIT 1)"]
+    for r in range(1, KM_SAMPLES + 1):
+        ctes.append(f"d{r} AS MATERIALIZED (SELECT e.id, min({cost}) AS cost FROM ev e, s{r - 1} c GROUP BY e.id)")
+        ctes.append(
+            f"s{r} AS MATERIALIZED (SELECT id, vec FROM s{r - 1} UNION SELECT e.id, e.vec FROM ev e JOIN d{r} d ON d.id = e.id WHERE "
+            f"{S.u(SEED, 'kmeans', [str(r), 'e.id'])} < {KM_FACTOR * KM_K} * d.cost / (SELECT sum(cost) FROM d{r}))"
+        )
+    ctes.append(
+        f"w AS MATERIALIZED (SELECT c.id, c.vec, count(n.id) AS w FROM s{KM_SAMPLES} c LEFT JOIN (SELECT e.id, c.id AS near FROM ev e, "
+        f"s{KM_SAMPLES} c QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY {_dist_sql(metric, 'e.vec', 'c.vec')}, c.id) = 1) n "
+        "ON n.near = c.id GROUP BY c.id, c.vec)"
+    )
+    ctes.append("p0 AS MATERIALIZED (SELECT 0 AS cid, id, vec FROM w ORDER BY w DESC, id LIMIT 1)")
+    for i in range(1, KM_K):
+        ctes.append(
+            f"p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL (SELECT {i}, e.id, e.vec FROM w e, p{i - 1} c WHERE e.id NOT IN "
+            f"(SELECT id FROM p{i - 1}) GROUP BY e.id, e.vec, e.w ORDER BY e.w * min({cost}) DESC, e.id LIMIT 1))"
+        )
+    ctes.append(f"c0 AS MATERIALIZED (SELECT cid, CAST(vec AS DOUBLE[]) AS vec FROM p{KM_K - 1})")
+    for i in range(KM_ROUNDS + 1):
+        ctes.append(
+            f"a{i} AS MATERIALIZED (SELECT id, cid, vec FROM (SELECT e.id, e.vec, c.cid, {_dist_sql(metric, 'e.vec', 'c.vec')} AS d "
+            f"FROM ev e, c{i} c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1)"
+        )
+        mean = (
+            "SELECT cid, list(x ORDER BY j) AS vec FROM (SELECT cid, j, avg(x::DOUBLE) AS x FROM (SELECT cid, "
+            f"unnest(range(len(vec))) AS j, unnest(vec) AS x FROM a{i}) GROUP BY cid, j) GROUP BY cid"
+        )
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cid, coalesce(m.vec, c.vec) AS vec FROM c{i} c LEFT JOIN ({mean}) m ON m.cid = c.cid)")
+    return S.with_(*ctes) + f"SELECT id, cid::BIGINT AS cluster FROM a{KM_ROUNDS}"
+
+
+def _kmeans(spark, sf, spherical):
+    c = K.kmeans(_emb(spark, sf).select("id", "vec"), KM_K, seed=SEED, spherical=spherical)
+    return c.select("id", F.col("cluster").cast("bigint"))
+
+
+@register("k1_kmeans", _kmeans_sql("euclidean"))
 def q_k1(spark, sf):
-    return K.kmeans(_emb(spark, sf), 10, seed=SEED)
+    return _kmeans(spark, sf, False)
 
 
-@register("k2_spherical_kmeans")
+@register("k2_spherical_kmeans", _kmeans_sql("cosine"))
 def q_k2(spark, sf):
-    return K.kmeans(_emb(spark, sf), 10, seed=SEED, spherical=True)
+    return _kmeans(spark, sf, True)
 
 
 def _lloyd_sql(rounds: int, metric: str) -> str:
@@ -1325,7 +1381,7 @@ def q_s14(spark, sf):
 
 @register(
     "s13_append_metrics",
-    "SELECT CAST(lang AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR) || ',' || CAST(sum(n_chars)::BIGINT AS VARCHAR) "
+    "SELECT coalesce(CAST(lang AS VARCHAR), '') || ',' || CAST(count(*) AS VARCHAR) || ',' || CAST(sum(n_chars)::BIGINT AS VARCHAR) "
     "AS value FROM documents GROUP BY lang",
 )
 def q_s13(spark, sf):
