@@ -275,6 +275,19 @@ def q_v3(spark, sf):
     return vocab(spark, sf)
 
 
+@register("v3_incremental_vocab", ORACLES["v3_vocab_index"])
+def q_v3_incremental(spark, sf):
+    """The ranked vocabulary after three overlapping parts, one of them
+    delivered twice."""
+    from sphaera.session import scratch_path
+    from sphaera.streaming.vocab_state import VocabularyState
+
+    state = VocabularyState(spark, scratch_path(spark, "vocabulary"))
+    for part in (0, 1, 2, 1):
+        state.add(docs(spark, sf).filter((F.col("doc_id") % 3 == part) | (F.col("doc_id") % 7 == 0)), f"part-{part}")
+    return state.vocab(MIN_COUNT)
+
+
 @register("v4_train_words", VOC + "SELECT n_train AS train_words, n_vocab AS vocab_size FROM nstat")
 def q_v4(spark, sf):
     return V.train_words(vocab(spark, sf))
