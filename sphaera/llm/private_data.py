@@ -3,12 +3,15 @@ transitions.
 
 The patterns give the base spans (email, ip, card, phone), each kind leftmost
 and without overlap. A bidirectional LSTM over character classes, trained in
-NumPy on windows whose labels are the base spans of a bounded sample of rows,
-scores a tag for every character; learned transition scores tie the tags. Texts
-are cut into overlapping windows, the tags of a window are decoded together,
-and at each overlap the character takes the tag of the window in whose inside
-it lies deeper; spans are read off the joined tags of the whole text. Model
-spans that touch no base span are added to those.
+NumPy on windows of a bounded sample of rows that are not held out, scores a
+tag for every character; learned transition scores tie the tags. Labels are the
+base spans, as they are and rewritten in ways that the patterns miss (blanks
+around an address's signs, other separators, a phone number without its plus
+sign), so that the model adds what the patterns cannot. Texts are scored in
+overlapping windows; the scores of windows are averaged where they overlap, and
+one best path is decoded over the whole text. Model spans that touch no base
+span are added to those if they hold a digit or an at sign, are six characters
+long or more and do not begin or end inside a word.
 
 Every window is scored. Decoding is left out only for windows where it is
 certain that the best path has no span: where every character's score for "no
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -87,8 +90,10 @@ HIDDEN = 8
 TAGS = 1 + len(KINDS)
 WINDOW, OVERLAP = 512, 32
 BATCH_WINDOWS = 2048
-LEAST = 6
+DECODE_CELLS = 1 << 19  # characters that are decoded together
+LEAST = 6  # shorter model spans are dropped: no kind is that short
 TRAIN_DOCS = 2000
+TRAIN_PER_TEXT = 8  # spans of a training text, drawn at random, that become windows
 TRAIN_WINDOW = 96
 TRAIN_SPANS = 1200
 STEPS = 500
@@ -271,30 +276,19 @@ def fit(windows: np.ndarray, gold: np.ndarray, seed: int = 3, steps: int = STEPS
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _cut(size: int) -> list[tuple[int, int, int, int]]:
-    """Windows of a text: start, length, and the part of it whose tags count
-    (overlaps are halved)."""
-    out, step, half = [], WINDOW - OVERLAP, OVERLAP // 2
-    for s in range(0, max(1, size - OVERLAP), step):
-        n = min(WINDOW, size - s)
-        out.append((s, n, half if s else 0, n if s + n == size else n - half))
-    return out
+def _cut(size: int) -> list[tuple[int, int]]:
+    """Overlapping windows of a text: start and length."""
+    return [(s, min(WINDOW, size - s)) for s in range(0, max(1, size - OVERLAP), WINDOW - OVERLAP)]
 
 
-def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of the model's spans in every text."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    cls = [classes(t) for t in texts]
-    base = np.cumsum([0] + [len(c) for c in cls])
-    flat = np.concatenate(cls) if cls else np.empty(0, np.uint8)
-    cuts = [(int(base[i]) + s, n, a, b, i, s) for i, c in enumerate(cls) if len(c) for s, n, a, b in _cut(len(c))]
-    cuts.sort(key=lambda w: -w[1])
-    # "no span" leading everywhere by more than this cannot lose to any path
-    trans = p["trans"]
-    safe = 2 * max(0.0, float(trans.max() - trans[0, 0])) + 1e-3
-    marks: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for lo in range(0, len(cuts), BATCH_WINDOWS):
-        part = cuts[lo : lo + BATCH_WINDOWS]
+def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]], p: dict, safe: float):
+    """Tag scores (character, tag) of the windows that may hold a span; of all
+    others the overlaps with their neighbours."""
+    opened: dict[tuple[int, int], np.ndarray] = {}
+    edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    order = sorted(cuts, key=lambda w: -w[1])
+    for lo in range(0, len(order), BATCH_WINDOWS):
+        part = order[lo : lo + BATCH_WINDOWS]
         start = np.array([w[0] for w in part])
         size = np.array([w[1] for w in part])
         steps = int(size[0])
@@ -303,25 +297,85 @@ def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int
         e = _emit(p, _run_direction(p, "f", x, n_at), _run_direction(p, "b", x, n_at))
         lead = e[:, 0] - e[:, 1:].max(1)
         lead[np.arange(steps)[:, None] >= size] = np.inf
-        open_ = np.flatnonzero(lead.min(0) <= safe)
-        if not len(open_):
+        may = lead.min(0) <= safe
+        for k, (_, n, doc, s) in enumerate(part):
+            if may[k]:
+                opened[doc, s] = e[:n, :, k].copy()
+            else:
+                edges[doc, s] = e[:OVERLAP, :, k].copy(), e[n - OVERLAP : n, :, k].copy()
+    return opened, edges
+
+
+def _stretches(opened: dict, edges: dict) -> list[tuple[int, int, np.ndarray, bool, bool]]:
+    """Windows side by side that may hold a span, joined to one stretch of a
+    text: document, start, scores, and whether text goes on before and after.
+    Where windows overlap, scores are averaged, with those of a window that
+    holds no span too."""
+    out, step = [], WINDOW - OVERLAP
+    for doc, s in sorted(opened):
+        if (doc, s - step) in opened:
             continue
-        tags = _viterbi(e[:, :, open_], trans, size[open_])
-        for j, w in enumerate(open_):
-            _, _, a, b, doc, s = part[w]
-            if tags[a:b, j].any():
-                marks.setdefault(doc, []).append((s + a, tags[a:b, j]))
-    for doc, found in marks.items():
-        whole = np.zeros(len(cls[doc]) + 2, np.int8)
-        for s, t in found:
-            whole[1 + s : 1 + s + len(t)] = t
-        edge = np.flatnonzero(whole[1:] != whole[:-1])
-        for s, e_ in zip(edge[:-1], edge[1:]):
-            if whole[s + 1] and e_ - s >= LEAST:
-                out[doc].append((int(s), int(whole[s + 1]) - 1, int(e_)))
+        starts = [s]
+        while (doc, starts[-1] + step) in opened:
+            starts.append(starts[-1] + step)
+        end = starts[-1] + len(opened[doc, starts[-1]])
+        total = np.zeros((end - s, TAGS), np.float32)
+        seen = np.zeros((end - s, 1), np.float32)
+        for w in starts:
+            e = opened[doc, w]
+            total[w - s : w - s + len(e)] += e
+            seen[w - s : w - s + len(e)] += 1
+        before, after = edges.get((doc, s - step)), edges.get((doc, starts[-1] + step))
+        if before is not None:
+            total[: len(before[1])] += before[1]
+            seen[: len(before[1])] += 1
+        if after is not None:
+            n = min(len(after[0]), len(opened[doc, starts[-1]]), end - s)
+            at = starts[-1] + step - s
+            n = min(n, end - s - at)
+            total[at : at + n] += after[0][:n]
+            seen[at : at + n] += 1
+        out.append((doc, s, total / seen, before is not None, after is not None))
     return out
 
 
+def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of the model's spans in every text: windows are scored
+    one by one, joined by averaging where they overlap, and decoded as a whole.
+    A window in which "no span" leads everywhere by more than any path can make
+    up is not decoded; the best path is outside spans there."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    cls = [classes(t) for t in texts]
+    base = np.cumsum([0] + [len(c) for c in cls])
+    flat = np.concatenate(cls) if cls else np.empty(0, np.uint8)
+    trans = p["trans"]
+    safe = 2 * max(0.0, float(trans.max() - trans[0, 0])) + 1e-3
+    cuts = [(int(base[i]) + s, n, i, s) for i, c in enumerate(cls) if len(c) for s, n in _cut(len(c))]
+    found = sorted(_stretches(*_windows_emissions(flat, cuts, p, safe)), key=lambda x: -len(x[2]))
+    lo = 0
+    while lo < len(found):
+        hi, steps = lo + 1, len(found[lo][2])
+        while hi < len(found) and (hi + 1 - lo) * steps <= DECODE_CELLS:
+            hi += 1
+        part = found[lo:hi]
+        size = np.array([len(x[2]) for x in part])
+        e = np.zeros((steps, TAGS, len(part)), np.float32)
+        for k, (_, _, scores, before, after) in enumerate(part):
+            e[: size[k], :, k] = scores
+            e[0, :, k] += trans[0] if before else 0  # outside a span before and after
+            e[size[k] - 1, :, k] += trans[:, 0] if after else 0
+        tags = _viterbi(e, trans, size)
+        for k, (doc, s, *_rest) in enumerate(part):
+            whole = np.zeros(size[k] + 2, np.int8)
+            whole[1:-1] = tags[: size[k], k]
+            edge = np.flatnonzero(whole[1:] != whole[:-1])
+            for a, b in zip(edge[:-1], edge[1:]):
+                if whole[a + 1] and b - a >= LEAST:
+                    out[doc].append((int(s + a), int(whole[a + 1]) - 1, int(s + b)))
+        lo = hi
+    return [sorted(x) for x in out]
+
+
 def all_spans(texts: list[str], p: dict[str, np.ndarray] | None) -> list[list[tuple[int, int, int]]]:
     """Base spans and, with kinds from ``len(KINDS)`` on, model spans that
     touch none of them; sorted."""
@@ -340,12 +394,34 @@ def all_spans(texts: list[str], p: dict[str, np.ndarray] | None) -> list[list[tu
     return out
 
 
+def altered(value: str, kind: int, rng: np.random.Generator) -> str:
+    """The same personal data written so that the patterns miss it: an address
+    with blanks at its signs, numbers with other separators, a phone number
+    without its sign."""
+    way = int(rng.integers(2))
+    if kind == 0:
+        user, host = value.split("@", 1)
+        return f"{user} @ {host}" if way else f"{user} @ " + host.replace(".", " . ")
+    if kind == 1:
+        return value.replace(".", " . ") if way else value.replace(".", ". ")
+    digits = [c for c in value if c.isdigit()]
+    if kind == 2:
+        return ("." if way else "  ").join("".join(digits[i : i + 4]) for i in range(0, len(digits), 4))
+    return value[1:] if way else "00" + "/".join("".join(digits[i : i + 3]) for i in range(0, len(digits), 3))
+
+
+def held_out(ident: Column) -> Column:
+    """Rows that the model never learns from."""
+    return F.coalesce(F.crc32(ident.cast("string")) % 3 == 1, F.lit(False))
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> dict | None:
-    """Fit on windows around the base spans of a sample of rows with digits or
-    an at sign, and on as many windows from elsewhere in these rows. The sample
-    is chosen by a hash of the identifier and of the text."""
+    """Fit on windows around the base spans, as they are and altered, of a
+    sample of rows with digits or an at sign, and on as many windows from
+    elsewhere in these rows. The sample is chosen by a hash of the identifier
+    and of the text among the rows that are not held out."""
     text = df[text_col].cast("string")
-    rows = df.select(text.alias("t"), F.pmod(F.xxhash64(df[id_col], text), F.lit(1_000_000)).alias("h"))
+    rows = df.filter(~held_out(df[id_col])).select(text.alias("t"), F.pmod(F.xxhash64(df[id_col], text), F.lit(1_000_000)).alias("h"))
     rows = rows.filter(F.col("t").rlike("[0-9]{2}|@"))
     n = rows.count()
     share = 1_000_000 if n <= max_docs else -(-1_000_000 * max_docs // n)
@@ -370,10 +446,17 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     return fit(x, y)
 
 
-def _windows(t: str, seed: int, most: int = 8) -> list[tuple[bytes, bytes]]:
-    """Up to ``most`` labelled windows around spans and as many elsewhere. A
-    window with a pattern match that failed its check is left out: it says
-    neither yes nor no."""
+def _window(t: str, tags: np.ndarray, at: int) -> tuple[bytes, bytes]:
+    x, y = np.zeros(TRAIN_WINDOW, np.uint8), np.zeros(TRAIN_WINDOW, np.uint8)
+    part = t[at : at + TRAIN_WINDOW]
+    x[: len(part)], y[: len(part)] = classes(part), tags[at : at + TRAIN_WINDOW]
+    return x.tobytes(), y.tobytes()
+
+
+def _windows(t: str, seed: int, most: int = TRAIN_PER_TEXT) -> list[tuple[bytes, bytes]]:
+    """Labelled windows around up to ``most`` spans, as they are and altered,
+    and as many elsewhere. A window with a pattern match that failed its check
+    is left out: it says neither yes nor no."""
     rng = np.random.default_rng(seed)
     spans = base_spans(t)
     tags = np.zeros(len(t), np.uint8)
@@ -384,28 +467,68 @@ def _windows(t: str, seed: int, most: int = 8) -> list[tuple[bytes, bytes]]:
         for m in pattern.finditer(t):
             if m.end() - m.start() >= 9:
                 doubt[m.start() : m.end()] = tags[m.start() : m.end()] == 0
-    cls = classes(t)
     room = max(1, len(t) - TRAIN_WINDOW + 1)
-    at = [int(rng.integers(max(0, e - TRAIN_WINDOW), max(1, s + 1))) for s, _, e in spans[:most]]
-    at += rng.integers(0, room, min(most, max(2, len(at)))).tolist()
+    some = [spans[i] for i in rng.permutation(len(spans))[:most]]
     out = []
-    for s in at:
-        s = min(s, room - 1)
-        x, y = np.zeros(TRAIN_WINDOW, np.uint8), np.zeros(TRAIN_WINDOW, np.uint8)
-        n = min(TRAIN_WINDOW, len(t) - s)
-        if doubt[s : s + n].any():
-            continue
-        x[:n], y[:n] = cls[s : s + n], tags[s : s + n]
-        out.append((x.tobytes(), y.tobytes()))
+    for s, k, e in some:
+        at = min(int(rng.integers(max(0, e - TRAIN_WINDOW), max(1, s + 1))), room - 1)
+        if not doubt[at : at + TRAIN_WINDOW].any():
+            out.append(_window(t, tags, at))
+        left, right = max(0, s - TRAIN_WINDOW // 3), min(len(t), e + TRAIN_WINDOW // 3)
+        if not doubt[left:right].any():
+            other = altered(t[s:e], k, rng)
+            marks = np.concatenate((tags[left:s], np.full(len(other), k + 1, np.uint8), tags[e:right]))
+            out.append(_window(t[left:s] + other + t[e:right], marks, 0))
+    for at in rng.integers(0, room, min(most, max(2, len(some)))).tolist():
+        if not doubt[at : at + TRAIN_WINDOW].any():
+            out.append(_window(t, tags, at))
     return out
 
 
+def quality(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What the model adds on held-out rows in which every base span is
+    altered: per kind the altered spans that the patterns miss (``n``), those
+    that meet a model span (``found``), and over all kinds the model spans
+    (``added``) and those among them that meet an altered span (``right``)."""
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    rows = df.filter(held_out(df[id_col])).select(text.alias("t"), F.xxhash64(text).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(KINDS), 4), np.int64)
+        for b in batches:
+            for t, h in zip(b.column("t").to_pylist(), b.column("h").to_pylist()):
+                rng, at, out, gold = np.random.default_rng(h & 0x7FFFFFFF), 0, [], []
+                for s, k, e in base_spans(t):
+                    if s < at:
+                        continue
+                    out.append(t[at:s])
+                    begin = sum(map(len, out))
+                    out.append(altered(t[s:e], k, rng))
+                    gold.append((begin, k, begin + len(out[-1])))
+                    at = e
+                got = all_spans(["".join(out) + t[at:]], model)[0]
+                base = [x for x in got if x[1] < len(KINDS)]
+                more = [x for x in got if x[1] >= len(KINDS)]
+                meets = lambda x, many: any(s < x[2] and x[0] < e for s, _, e in many)
+                for x in gold:
+                    if not meets(x, base):
+                        count[x[1], 0] += 1
+                        count[x[1], 1] += meets(x, more)
+                for x in more:
+                    count[x[1] - len(KINDS), 2] += 1
+                    count[x[1] - len(KINDS), 3] += meets(x, gold)
+        yield pa.RecordBatch.from_arrays([pa.array(KINDS), *map(pa.array, count.T)], names=["kind", "n", "found", "added", "right"])
+
+    per = rows.mapInArrow(run, "kind string, n long, found long, added long, right long")
+    return per.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n", "found", "added", "right")])
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     """Spans as kind:start:end; a model span is named by the kind it found."""
     return ",".join(f"{KINDS[k % len(KINDS)]}:{s}:{e}" for s, k, e in spans)
 
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def private_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
