@@ -14,8 +14,8 @@ span are added to those if they hold a digit or an at sign, are six characters
 long or more and do not begin or end inside a word.
 
 Every window is scored. Decoding is left out only for windows where it is
-certain that the best path has no span: where every character's score for "no
-span" leads by more than any two transitions can give.
+certain that the best path has no span: where no run of characters gains more
+by being one than "no span" leads there, the best transitions included.
 
 Defined cases: a null text is empty and has no spans; without any labelled span
 in the table only base spans are found; rows with one identifier are searched
@@ -281,7 +281,23 @@ def _cut(size: int) -> list[tuple[int, int]]:
     return [(s, min(WINDOW, size - s)) for s in range(0, max(1, size - OVERLAP), WINDOW - OVERLAP)]
 
 
-def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]], p: dict, safe: float):
+def _may_hold_a_span(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Windows (step, tag, window) in which a path with a span can beat the one
+    without: the best a span can gain over any run of characters, with the
+    largest transitions into, inside and out of spans."""
+    inside, none = float(trans[1:, 1:].max()), float(trans[0, 0])
+    # in and out of a span, or none of them where the text begins or ends
+    around = max(0.0, float(trans[0, 1:].max()) - none) + max(0.0, float(trans[1:, 0].max()) - none) + max(0.0, none - inside)
+    gain = e[:, 1:].max(1)
+    gain -= e[:, 0]
+    gain += inside - none
+    gain[np.arange(len(gain))[:, None] >= size] = -1e3
+    total = np.cumsum(gain, axis=0, dtype=np.float32)
+    before = np.minimum.accumulate(np.concatenate((np.zeros((1, total.shape[1]), np.float32), total[:-1])), axis=0)
+    return (total - before).max(0) + around + 1e-2 > 0
+
+
+def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]], p: dict):
     """Tag scores (character, tag) of the windows that may hold a span; of all
     others the overlaps with their neighbours."""
     opened: dict[tuple[int, int], np.ndarray] = {}
@@ -295,9 +311,7 @@ def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]],
         n_at = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
         x = flat[np.minimum(start + np.arange(steps)[:, None], len(flat) - 1)].astype(np.int64)
         e = _emit(p, _run_direction(p, "f", x, n_at), _run_direction(p, "b", x, n_at))
-        lead = e[:, 0] - e[:, 1:].max(1)
-        lead[np.arange(steps)[:, None] >= size] = np.inf
-        may = lead.min(0) <= safe
+        may = _may_hold_a_span(e, size, p["trans"])
         for k, (_, n, doc, s) in enumerate(part):
             if may[k]:
                 opened[doc, s] = e[:n, :, k].copy()
@@ -342,16 +356,15 @@ def _stretches(opened: dict, edges: dict) -> list[tuple[int, int, np.ndarray, bo
 def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of the model's spans in every text: windows are scored
     one by one, joined by averaging where they overlap, and decoded as a whole.
-    A window in which "no span" leads everywhere by more than any path can make
-    up is not decoded; the best path is outside spans there."""
+    A window in which no span can pay (:func:`_may_hold_a_span`) is not decoded;
+    the best path is outside spans there."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     cls = [classes(t) for t in texts]
     base = np.cumsum([0] + [len(c) for c in cls])
     flat = np.concatenate(cls) if cls else np.empty(0, np.uint8)
     trans = p["trans"]
-    safe = 2 * max(0.0, float(trans.max() - trans[0, 0])) + 1e-3
     cuts = [(int(base[i]) + s, n, i, s) for i, c in enumerate(cls) if len(c) for s, n in _cut(len(c))]
-    found = sorted(_stretches(*_windows_emissions(flat, cuts, p, safe)), key=lambda x: -len(x[2]))
+    found = sorted(_stretches(*_windows_emissions(flat, cuts, p)), key=lambda x: -len(x[2]))
     lo = 0
     while lo < len(found):
         hi, steps = lo + 1, len(found[lo][2])
