@@ -190,9 +190,12 @@ def _viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarra
     rows = np.arange(n)
     for t in range(1, steps):
         m = int((lengths > t).sum())
-        got = score[:, None, :m] + trans[:, :, None]
-        back[t, :, :m] = got.argmax(0)
-        score[:, :m] = got.max(0) + e[t, :, :m]
+        best = score[0, :m] + trans[0][:, None]
+        for i in range(1, tags):  # of equals the first
+            got = score[i, :m] + trans[i][:, None]
+            np.copyto(back[t, :, :m], i, where=got > best)
+            np.maximum(best, got, out=best)
+        score[:, :m] = best + e[t, :, :m]
     tag = np.zeros((steps, n), np.uint8)
     cur = score.argmax(0)
     for t in range(steps - 1, -1, -1):
