@@ -13,9 +13,10 @@ one best path is decoded over the whole text. Model spans that touch no base
 span are added to those if they hold a digit or an at sign, are six characters
 long or more and do not begin or end inside a word.
 
-Every window is scored. Decoding is left out only for windows where it is
-certain that the best path has no span: where no run of characters gains more
-by being one than "no span" leads there, the best transitions included.
+Every window is scored. Decoding is left out only for characters where it is
+certain that the best path has no span: where no run of characters around them
+gains more by being one than "no span" leads there, the best transitions
+included.
 
 Defined cases: a null text is empty and has no spans; without any labelled span
 in the table only base spans are found; rows with one identifier are searched
@@ -89,7 +90,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 HIDDEN = 8
 TAGS = 1 + len(KINDS)
 WINDOW, OVERLAP = 512, 32
-BATCH_WINDOWS = 2048
+BATCH_WINDOWS = 2304  # those of a batch of texts at once
 DECODE_CELLS = 1 << 19  # characters that are decoded together
 LEAST = 6  # shorter model spans are dropped: no kind is that short
 TRAIN_DOCS = 2000
@@ -182,6 +183,37 @@ def _emit(p: dict, hf: np.ndarray, hb: np.ndarray) -> np.ndarray:
     return e
 
 
+def _scores(p: dict, cls: np.ndarray, n_at: np.ndarray) -> np.ndarray:
+    """Tag scores as of :func:`_run_direction` and :func:`_emit`, for scoring
+    alone: states are rows of a window, each gate a block of its own, and the
+    gates' lines are folded into their weights."""
+    steps, n, h = *cls.shape, HIDDEN
+    e = np.empty((steps, TAGS, n), np.float32)
+    e[:] = p["bias"][:, None]
+    for d in "fb":
+        table = np.ascontiguousarray(p[f"T{d}"].reshape(4, h, CLASSES).transpose(0, 2, 1))
+        u = np.ascontiguousarray(p[f"U{d}"].reshape(4, h, h).transpose(0, 2, 1))
+        table[:3] = table[:3] * 0.2 + 0.5
+        u[:3] *= 0.2
+        gates, part = np.empty((4, n, h), np.float32), np.empty((n, h), np.float32)
+        state, last = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            m = n_at[t]
+            z, c, out, x = gates[:, :m], state[:m], last[:m], cls[t, :m]
+            np.matmul(out, u, out=z)
+            for k in range(4):
+                z[k] += np.take(table[k], x, axis=0, mode="clip", out=part[:m])
+            np.clip(z[:3], 0, 1, out=z[:3])
+            np.tanh(z[3], out=z[3])
+            c *= z[1]
+            z[3] *= z[0]
+            c += z[3]
+            np.tanh(c, out=out)
+            out *= z[2]
+            e[t, :, :m] += p[f"W{d}"] @ out.T
+    return e
+
+
 def _viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Best tags (step, window) of windows sorted by length, longest first."""
     steps, tags, n = e.shape
@@ -284,20 +316,38 @@ def _cut(size: int) -> list[tuple[int, int]]:
     return [(s, min(WINDOW, size - s)) for s in range(0, max(1, size - OVERLAP), WINDOW - OVERLAP)]
 
 
+def _most_gain(trans: np.ndarray) -> tuple[float, float]:
+    """What a character inside a span gains by its transition at most, and what
+    a span gains by those into and out of it, over a path outside spans."""
+    inside, none = float(trans[1:, 1:].max()), float(trans[0, 0])
+    # in and out of a span, or none of them where the text begins or ends
+    around = max(0.0, float(trans[0, 1:].max()) - none) + max(0.0, float(trans[1:, 0].max()) - none) + max(0.0, none - inside)
+    return inside - none, around + 1e-2
+
+
 def _may_hold_a_span(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Windows (step, tag, window) in which a path with a span can beat the one
     without: the best a span can gain over any run of characters, with the
     largest transitions into, inside and out of spans."""
-    inside, none = float(trans[1:, 1:].max()), float(trans[0, 0])
-    # in and out of a span, or none of them where the text begins or ends
-    around = max(0.0, float(trans[0, 1:].max()) - none) + max(0.0, float(trans[1:, 0].max()) - none) + max(0.0, none - inside)
+    each, around = _most_gain(trans)
     gain = e[:, 1:].max(1)
     gain -= e[:, 0]
-    gain += inside - none
+    gain += each
     gain[np.arange(len(gain))[:, None] >= size] = -1e3
     total = np.cumsum(gain, axis=0, dtype=np.float32)
     before = np.minimum.accumulate(np.concatenate((np.zeros((1, total.shape[1]), np.float32), total[:-1])), axis=0)
-    return (total - before).max(0) + around + 1e-2 > 0
+    return (total - before).max(0) + around > 0
+
+
+def _may_be_in_a_span(scores: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
+    """Characters of stretches (character, tag) that lie in some run which can
+    gain by being a span; the best path is outside spans at all others."""
+    each, around = _most_gain(trans)
+    gain = np.concatenate([x for e in scores for x in (e[:, 1:].max(1) - e[:, 0] + each, [-1e6])])  # no run beyond a stretch
+    total = np.cumsum(gain)
+    low = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
+    may = np.maximum.accumulate(total[::-1])[::-1] - low + around > 0
+    return [x[:-1] for x in np.split(may, np.cumsum([len(e) + 1 for e in scores])[:-1])]
 
 
 def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]], p: dict):
@@ -313,7 +363,7 @@ def _windows_emissions(flat: np.ndarray, cuts: list[tuple[int, int, int, int]],
         steps = int(size[0])
         n_at = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
         x = flat[np.minimum(start + np.arange(steps)[:, None], len(flat) - 1)].astype(np.int64)
-        e = _emit(p, _run_direction(p, "f", x, n_at), _run_direction(p, "b", x, n_at))
+        e = _scores(p, x, n_at)
         may = _may_hold_a_span(e, size, p["trans"])
         for k, (_, n, doc, s) in enumerate(part):
             if may[k]:
@@ -359,7 +409,8 @@ def _stretches(opened: dict, edges: dict) -> list[tuple[int, int, np.ndarray, bo
 def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of the model's spans in every text: windows are scored
     one by one, joined by averaging where they overlap, and decoded as a whole.
-    A window in which no span can pay (:func:`_may_hold_a_span`) is not decoded;
+    A window in which no span can pay (:func:`_may_hold_a_span`) is not decoded,
+    nor is a character elsewhere in no run that can (:func:`_may_be_in_a_span`);
     the best path is outside spans there."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     cls = [classes(t) for t in texts]
@@ -367,7 +418,12 @@ def tag_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int
     flat = np.concatenate(cls) if cls else np.empty(0, np.uint8)
     trans = p["trans"]
     cuts = [(int(base[i]) + s, n, i, s) for i, c in enumerate(cls) if len(c) for s, n in _cut(len(c))]
-    found = sorted(_stretches(*_windows_emissions(flat, cuts, p)), key=lambda x: -len(x[2]))
+    stretches = _stretches(*_windows_emissions(flat, cuts, p))
+    found = []
+    for (doc, s, scores, before, after), may in zip(stretches, _may_be_in_a_span([x[2] for x in stretches], trans) if stretches else ()):
+        edge = np.flatnonzero(np.diff(may, prepend=False, append=False)).tolist()
+        found += [(doc, s + a, scores[a:b], before or a > 0, after or b < len(scores)) for a, b in zip(edge[::2], edge[1::2])]
+    found.sort(key=lambda x: -len(x[2]))
     lo = 0
     while lo < len(found):
         hi, steps = lo + 1, len(found[lo][2])

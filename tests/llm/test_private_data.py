@@ -177,3 +177,35 @@ def test_report_on_edge_rows(edge_docs, clashing_docs, no_docs, edge_rows):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:6]) for r in got)
     assert sorted(map(repr, pd_.private_report(clashing_docs).collect())) == sorted(map(repr, got))
     assert pd_.private_report(no_docs).count() == 0
+
+
+def _random_model(rng) -> dict:
+    p = {k: v.astype(np.float32) for k, v in pd_._init(rng).items()}
+    p["bias"] = rng.normal(0, 0.5, pd_.TAGS).astype(np.float32)
+    p["trans"] = rng.normal(0, 1, (pd_.TAGS, pd_.TAGS)).astype(np.float32)
+    return p
+
+
+def test_scores_equal_those_of_the_training_pass():
+    rng = np.random.default_rng(5)
+    size = np.sort(rng.integers(1, 40, 30))[::-1]
+    x = rng.integers(0, pd_.CLASSES, (int(size[0]), len(size)))
+    n_at = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
+    p = _random_model(rng)
+    want = pd_._emit(p, pd_._run_direction(p, "f", x, n_at), pd_._run_direction(p, "b", x, n_at))
+    got = pd_._scores(p, x, n_at)
+    for k, n in enumerate(size):
+        assert np.allclose(got[:n, :, k], want[:n, :, k], atol=1e-4)
+
+
+def test_no_best_path_has_a_span_where_none_may_be():
+    rng = np.random.default_rng(6)
+    left_out = 0
+    for _ in range(20):
+        trans = _random_model(rng)["trans"]
+        stretches = [rng.normal(0, 2, (int(n), pd_.TAGS)).astype(np.float32) + [3, 0, 0, 0, 0] for n in rng.integers(1, 60, 12)]
+        for e, may in zip(stretches, pd_._may_be_in_a_span(stretches, trans)):
+            tags = pd_._viterbi(e[:, :, None].astype(np.float32), trans, np.array([len(e)]))[:, 0]
+            assert not tags[~may].any()
+            left_out += int((~may).sum())
+    assert left_out > 100
