@@ -5,7 +5,7 @@ single digits and runs of signs each for itself. Texts of ASCII and Latin
 letters are cut into these parts here, all texts of a batch as one array of
 bytes; equal parts are found by comparing them, and each distinct letter run is
 encoded once: all runs of one length are a matrix in which every step merges
-each run's best pair. All other parts, and all other texts, go through the
+each run's best pair. Runs merged before are kept in a table of fixed size. All other parts, and all other texts, go through the
 tokenizer as they are.
 """
 
@@ -21,6 +21,7 @@ import numpy as np
 LONGEST = 24  # bytes; longer letter runs go through the tokenizer
 NONE = np.int64(1 << 40)
 BATCH_BYTES = 500_000
+KNOWN_BITS = 18  # slots for letter runs merged before: 19 MB with ids of 16 bits
 
 # letters that normalisation leaves alone or lower-cases one for one
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-įĲ-ſ]*")
@@ -63,6 +64,7 @@ class _Merges:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         self.inner = np.array([vocab[c] for c in _byte_symbols()], np.int64)
         self.last = np.array([vocab[c + suffix] for c in _byte_symbols()], np.int64)
+        self.largest_id = max(vocab.values())
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bits = 2 * max(1, len(pairs)).bit_length() // 2 + 2
         size = 1 << self.bits
@@ -124,21 +126,30 @@ class _Merges:
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def distinct_parts(flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of equal parts: each group's first part, and every part's group.
-    Parts of at most LONGEST bytes are compared whole, as three words of eight
-    bytes; a hash only sorts them. A longer part is a group of its own.
-    ``flat`` ends in at least LONGEST bytes beyond the parts."""
-    size = e - s
+def _words(flat: np.ndarray, s: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The first LONGEST bytes of parts as words of eight bytes, zero beyond a
+    part. ``flat`` ends in at least LONGEST bytes beyond the parts."""
     windows = np.ndarray((len(flat) - 7,), "<u8", flat.tobytes(), 0, (1,))  # the eight bytes from every place
     mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-    words = [windows[s + 8 * k] & mask[np.clip(size - 8 * k, 0, 8)] for k in range(LONGEST // 8)]
+    return [windows[s + 8 * k] & mask[np.clip(size - 8 * k, 0, 8)] for k in range(LONGEST // 8)]
+
+
+def _hash(words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     h = size.astype(np.uint64) * _ODD[3]
     for w, odd in zip(words, _ODD):
         h = (h ^ w) * odd
         h ^= h >> np.uint64(29)
+    return h
+
+
+def distinct_parts(flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal parts: each group's first part, and every part's group.
+    Parts of at most LONGEST bytes are compared whole, as three words of eight
+    bytes; a hash only sorts them. A longer part is a group of its own."""
+    size = e - s
+    words = _words(flat, s, size)
     own = size > LONGEST
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    _, first, which = np.unique(_hash(words, size), return_index=True, return_inverse=True)
     same = ~own & (size == size[first][which])
     for w in words:
         same &= w == w[first][which]
@@ -147,6 +158,33 @@ def distinct_parts(flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.n
     return np.concatenate((first, alone)), which
 
 
+class _Known:
+    """Ids of letter runs merged before, a fixed number of slots of one run
+    each. A run is compared whole; a new run takes its slot over."""
+
+    def __init__(self, largest_id: int, bits: int = KNOWN_BITS):
+        self.shift = np.uint64(64 - bits)
+        self.words = np.zeros((1 << bits, LONGEST // 8), np.uint64)  # no run is all zero
+        self.n = np.zeros(1 << bits, np.uint8)
+        self.ids = np.zeros((1 << bits, LONGEST), np.min_scalar_type(largest_id))
+
+    def slots(self, words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        return (_hash(words, size) * _ODD[0] >> self.shift).astype(np.int64)
+
+    def find(self, words: np.ndarray, slot: np.ndarray):
+        """Rows that are known, by their number of ids: rows and ids."""
+        rows = np.flatnonzero((self.words[slot] == words).all(1))
+        n = self.n[slot[rows]].astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(order) else ():
+            yield rows[at], self.ids[slot[rows[at]], : n[at[0]]]
+
+    def put(self, words: np.ndarray, slot: np.ndarray, ids: np.ndarray) -> None:
+        slot, one = np.unique(slot, return_index=True)
+        self.words[slot], self.n[slot] = words[one], ids.shape[1]
+        self.ids[slot, : ids.shape[1]] = ids[one]
+
+
 def _cut(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and class of every part of lower-cased bytes that end in
     three blanks. A contraction is a sign part with its letters."""
@@ -184,6 +222,7 @@ class _Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.merges = _Merges(path)
+        self.known = _Known(int(self.merges.largest_id))
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
@@ -198,10 +237,19 @@ class _Encoder:
         n_ids = np.zeros(len(first), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         runs = np.flatnonzero((kind == LETTER) & (size <= LONGEST))
-        order = runs[np.argsort(size[runs], kind="stable")]
-        for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else ():
-            for r, ids in self.merges(flat[s1[rows][:, None] + np.arange(size[rows[0]])]):
-                found.append((rows[r], ids))
+        parts = _words(flat, s1[runs], size[runs])
+        slot, words = self.known.slots(parts, size[runs]), np.stack(parts, 1)
+        new = np.ones(len(runs), bool)
+        for r, ids in self.known.find(words, slot):
+            found.append((runs[r], ids))
+            new[r] = False
+        new = np.flatnonzero(new)
+        order = new[np.argsort(size[runs[new]], kind="stable")]
+        length = size[runs[order]]
+        for rows in np.split(order, np.flatnonzero(np.diff(length)) + 1) if len(order) else ():
+            for r, ids in self.merges(flat[s1[runs[rows]][:, None] + np.arange(size[runs[rows[0]]])]):
+                found.append((runs[rows[r]], ids))
+                self.known.put(words[rows[r]], slot[rows[r]], ids)
         other = np.flatnonzero((kind != LETTER) | (size > LONGEST))
         for i, ids in zip(other, self._each([flat[s1[i] : s1[i] + size[i]].tobytes().decode() for i in other])):
             found.append((np.array([i]), ids[None, :]))

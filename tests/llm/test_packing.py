@@ -232,3 +232,18 @@ def test_caches_are_empty_after_a_task(spark):
         except ValueError:
             pass
         assert tokens._encoder.cache_info().currsize == 0 and not shingles._hashes
+
+
+def test_known_runs_keep_their_ids_when_slots_are_taken_over():
+    from sphaera.llm import tokens
+
+
+    path = tokens.default_tokenizer()
+    tok, enc = Tokenizer.from_file(path), tokens._Encoder(path)
+    enc.known = tokens._Known(enc.merges.largest_id, bits=3)  # eight slots
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(1, 25, 60)]
+    for _ in range(12):
+        texts = [" ".join(rng.choice(words, 20)) for _ in range(3)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc(texts)]
+        assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
