@@ -7,9 +7,10 @@ switches between languages is labelled word by word. A document's language is
 the one with the largest sum of word probabilities, its score their mean.
 
 The field is fitted in NumPy on a bounded sample of labelled rows
-(``TRAIN_DOCS`` rows, ``TRAIN_CHARS`` characters of each), as sequences of
-segments from rows of different languages; prediction covers all rows and whole
-texts, and reads nothing but the text.
+(``TRAIN_DOCS`` rows, whole texts), as sequences of segments from rows of
+different languages; prediction covers all rows and whole texts, and reads
+nothing but the text. Rows with more than ``TRAIN_LONGEST`` characters are not
+drawn for the sample, but where a language has no shorter ones its shortest are.
 
 Defined cases: a null text and a text without letters is ``und`` with score 0;
 rows without label, text or identifier are not learned from; without any
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .task_memory import bounded
 
 UNDETERMINED = "und"
-TRAIN_DOCS = 1600
-TRAIN_CHARS = 2000
+TRAIN_DOCS = 1200
+TRAIN_LONGEST = 20_000
 LEXICON = 2000
 SEGMENT = 15
 SEGMENTS = 4
@@ -400,17 +401,20 @@ def train(
     the languages by a hash of the identifier."""
     rows = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t"), df[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("t").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    # one row per language: rows that may be drawn, and up to which length
+    longest = F.greatest(F.length("t"), F.lit(TRAIN_LONGEST))
+    sizes = rows.groupBy("lang", longest.alias("top")).count().groupBy("lang").agg(
+        F.min("top").alias("top"), F.min_by("count", "top").alias("n")
+    ).collect()
     if not sizes:
         return LanguageModel([], {}, np.zeros((1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     each, cut = max(1, max_docs // len(sizes)), 1_000_000
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(cut))
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, cut if n <= each else -(-cut * each // n)).otherwise(share)
-    room = F.greatest(F.length("t") - TRAIN_CHARS, F.lit(0)) + 1
-    part = F.substr("t", (F.pmod(F.xxhash64("id"), room) + 1).cast("int"), F.lit(TRAIN_CHARS))
-    sample = rows.filter(draw < share).select("id", "lang", part.alias("t")).collect()
+    drawn = F.lit(False)
+    for r in sorted(sizes, key=lambda r: r["lang"]):
+        share = cut if r["n"] <= each else -(-cut * each // r["n"])
+        drawn = F.when(F.col("lang") == r["lang"], (F.length("t") <= r["top"]) & (draw < share)).otherwise(drawn)
+    sample = rows.filter(drawn).collect()
     sample.sort(key=lambda r: (str(r["id"]), r["lang"], r["t"]))
     return fit([(r["t"], r["lang"]) for r in sample])
 
