@@ -1283,6 +1283,7 @@ from sphaera.sources import benchmarks_io as B  # noqa: E402
 from sphaera.sources import corpus_io as CI  # noqa: E402
 from sphaera.sources import embedding_io as EI  # noqa: E402
 from sphaera.sources import labels_io as LI  # noqa: E402
+from sphaera.sources import text_source as TS  # noqa: E402
 from sphaera.sources import vocab_io as VI  # noqa: E402
 from sphaera.sources.lines import write_ordered_lines  # noqa: E402
 
@@ -1375,6 +1376,39 @@ def q_s5(spark, sf):
                                                                           r6("x").alias("x"))
 
 
+@register("s1_source_corpus", ORACLES["s1_read_corpus"])
+def q_s1_source(spark, sf):
+    """The corpus of ``s1_read_corpus`` through the registered source."""
+    lines = C.line_documents(load(spark, sf, "documents")).select("doc_id", "line_no", F.col("text").alias("value"))
+    path = scratch_path(spark, "corpus-lines")
+    TS.write_lines(lines, ["doc_id", "line_no"], path)
+    return TS.read_lines(spark, path).select(F.col("line_no").alias("doc_id"), F.col("value").alias("text"))
+
+
+@register("s2_source_vocab", ORACLES["s2_read_vocab"])
+def q_s2_source(spark, sf):
+    path = scratch_path(spark, "vocab-lines")
+    TS.write_lines(VI.vocab_lines(vocab(spark, sf)), ["idx"], path)
+    return V.import_vocab(VI.parse_vocab_lines(TS.read_lines(spark, path)), MIN_COUNT)
+
+
+@register("s4_source_word_vectors", ORACLES["s4_read_word_embeddings"])
+def q_s4_source(spark, sf):
+    path = scratch_path(spark, "word-vectors")
+    words = vocab(spark, sf).select(F.col("idx").alias("id"), "word")
+    TS.write_vectors(_vectors(spark, sf).filter("role = 'u'").join(words, "id"), "word", "id", DIM, path)
+    e = TS.read_vectors(spark, path).select("key", F.posexplode("vec").alias("j", "x"))
+    return e.select("key", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
+@register("s5_source_doc_vectors", ORACLES["s5_read_doc_embeddings"])
+def q_s5_source(spark, sf):
+    path = scratch_path(spark, "doc-vectors")
+    TS.write_vectors(_vectors(spark, sf).filter("role = 'd'"), "id", "id", DIM, path)
+    e = TS.read_doc_vectors(spark, path).select("doc_id", F.posexplode("vec").alias("j", "x"))
+    return e.select("doc_id", F.col("j").cast("bigint"), r6("x").alias("x"))
+
+
 @register(
     "s14_read_pretrained",
     VEC + "SELECT x.role, v.word AS key, unnest(range(len(vec)))::BIGINT AS j, "
