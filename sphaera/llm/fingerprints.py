@@ -153,13 +153,15 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranged = ranged.sortWithinPartitions(F.col("id").desc_nulls_last(), F.col("th"), F.col("t")).select("id", "t")
     done = write_cut(ranged.mapInArrow(_neighbours(k), f"{OWN}, {EDIT}, {EDGE}"), "fingerprints")
 
-    # two rows for each partition that has any; each tail's next is the head after it
-    edges = done.filter("edge is not null")
-    order = Window.orderBy("part", F.col("edge"))  # head before tail
-    nxt = edges.withColumn("n_text", F.lead("text").over(order)).withColumn("n_fp", F.lead("fp").over(order))
-    ends = Window.orderBy("part", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = nxt.withColumn("n_text", F.coalesce("n_text", F.first("text").over(ends)))
-    nxt = nxt.withColumn("n_fp", F.coalesce("n_fp", F.first("fp").over(ends))).filter("edge = 'tail'")
+    # two rows for each partition that has any; only the partitions' numbers are
+    # put in order in one task, the texts are joined to them
+    edges = done.filter("edge is not null").select("part", "edge", "doc_id", "n_chars", "fp", "text")
+    heads = edges.filter("edge = 'head'").select(F.col("part").alias("n_part"), F.col("fp").alias("n_fp"), F.col("text").alias("n_text"))
+    tails = edges.filter("edge = 'tail'")
+    order = Window.orderBy("part")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turn = tails.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)).alias("n_part"))
+    nxt = tails.join(turn, "part").join(heads, "n_part")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
