@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sphaera.operators import clustering as K
 from sphaera.operators import corpus as C
+from sphaera.operators import train as T
 
 WORDS = ["", "the", "of", "Räder", "x" * 300] + [f"w{i}" for i in range(60)]
 
@@ -55,3 +56,22 @@ def test_mean_of_ranked_words_equals_plain_mean(spark, monkeypatch):
         got = {r["doc_id"]: r["vec"] for r in K.doc_mean_embedding(tokens, emb, ids).collect()}
         assert got.keys() == want.keys() and got[31] is want[31] is None
         assert all(abs(a - b) < 1e-9 for d in range(30) for a, b in zip(got[d], want[d], strict=True))
+
+
+def test_forward_shuffles_only_triples_of_rare_words(spark, monkeypatch):
+    roles = [("u", i) for i in range(40)] + [("v", i) for i in range(40)] + [("d", d) for d in (-2, 5, 5, 9)]  # a document twice
+    vectors = spark.createDataFrame([(r, i, [0.1 * i, 1.0 / (abs(i) + 2), float(i % 3)]) for r, i in roles], "role string, id long, vec array<float>")
+    rows = [(k, (7 * k) % 41, (k * k) % 40, (11 * k + 3) % 40 if k % 9 else None, (-2, 5, 9, 8)[k % 4]) for k in range(200)]
+    triples = spark.createDataFrame(rows, "k long, ctx long, center long, neg long, doc_id long")  # 41, null and 8 have no vector
+    for role, anchor in (("v", "ctx"), ("d", "doc_id")):
+        plain = triples
+        for r, key, name in ((role, anchor, "a_vec"), ("u", "center", "u_vec"), ("u", "neg", "n_vec")):
+            plain = plain.join(vectors.filter(F.col("role") == r).select(F.col("id").alias(key), F.col("vec").alias(name)), key)
+        want = sorted((r["k"], r["a_vec"], r["u_vec"], r["n_vec"]) for r in plain.collect())
+        assert len(want) > 100
+        for head in (500_000, 39, 17, -1):
+            monkeypatch.setattr(T, "HEAD_ROWS", head)
+            got = T.margin_forward(triples, vectors, role, anchor, "center", 0.15, 3)
+            assert sorted((r["k"], r["a_vec"], r["u_vec"], r["n_vec"]) for r in got.collect()) == want
+            hints = got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+            assert hints == (3 if role == "v" else 2)
