@@ -1,10 +1,15 @@
 """What the training queries write and shuffle: the texts once, no rows of
 tokens, pairs or positions."""
 
+import numpy as np
 import pytest
 
 from __spark_entry__ import queries
 from sphaera.operators import corpus as C
+from sphaera.operators import pairs as G
+from sphaera.operators import train as T
+from sphaera.operators import trainer
+from test_positions import DIM, DRAWS, NOISE, _kept, _vectors
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +45,49 @@ def test_tokens_are_not_written_or_shuffled(spark, long_texts, name):
     shuffles = [x for x in plan.split("\n") if "Exchange hashpartitioning(doc_id" in x]
     assert shuffles and all("REPARTITION_BY_NUM" in x for x in shuffles)  # the texts alone
     assert "_l#" not in "".join(x for x in plan.split("\n") if "Sort [" in x or "Window [" in x)
+
+
+def _close(a, b):
+    a, b = ({(r["role"], r["id"]): np.array(r["delta"]) for r in x} for x in (a, b))
+    assert a.keys() == b.keys() and max(np.abs(a[k] - b[k]).max() for k in a) < 1e-12
+
+
+@pytest.mark.parametrize("rows", [1, 16, 1 << 15])
+def test_positions_stay_where_they_are(spark, monkeypatch, rows):
+    """T4 to T6 and the forward pass in tables of few rows, which end inside
+    windows, against groups that ask for vectors."""
+    kept, vectors = _kept(spark), _vectors(spark)
+    pos, n = G.plain_positions(kept), kept.count()
+    stream = trainer.make_stream_fn
+    for kinds in ((0, 1), (0,), (1,)):
+        args = (pos, vectors, 0.1, 0.5, DIM, 2, NOISE, kinds)
+        with monkeypatch.context() as m:
+            m.setattr(T, "TABLE_BYTES", 0)
+            want = T.position_deltas(*args, tokens=n, draws=DRAWS).collect()
+        with monkeypatch.context() as m:
+            m.setattr(T, "dealt_groups", None)  # which shuffles and keeps positions
+            m.setattr(T, "GROUP_POSITIONS", 80)  # blocks of 10 positions
+            m.setattr(trainer, "make_stream_fn", lambda *a, **k: stream(*a, **k, rows=rows))
+            _close(T.position_deltas(*args, tokens=n, draws=DRAWS).collect(), want)
+    with monkeypatch.context() as m:
+        m.setattr(T, "TABLE_BYTES", 0)
+        want = T.position_objective(pos, vectors, 0.5, DIM, 2, NOISE, tokens=n, draws=DRAWS).collect()
+    monkeypatch.setattr(T, "dealt_groups", None)
+    monkeypatch.setattr(trainer, "make_stream_fn", lambda *a, **k: stream(*a, **k, rows=rows))
+    got = T.position_objective(pos, vectors, 0.5, DIM, 2, NOISE, tokens=n, draws=DRAWS).collect()
+    for a, b in zip(sorted(want), sorted(got), strict=True):
+        assert a["n_triples"] == b["n_triples"] > 0 and a["active_share"] == b["active_share"]
+        assert abs(a["mean_loss"] - b["mean_loss"]) < 1e-9
+
+
+def test_words_and_documents_without_a_vector_are_an_error(spark):
+    pos, vectors = G.plain_positions(_kept(spark)), _vectors(spark)
+    for without in ("role = 'u' AND id = 31", "role = 'd' AND id = 0"):
+        with pytest.raises(Exception, match="miss"):
+            T.position_deltas(pos, vectors.filter(f"NOT ({without})"), 0.1, 0.5, DIM, 2, NOISE, tokens=99, draws=DRAWS)
+
+
+def test_vectors_that_come_twice_count_once(spark):
+    pos, vectors = G.plain_positions(_kept(spark)), _vectors(spark)
+    want = T.position_deltas(pos, vectors, 0.1, 0.5, DIM, 2, NOISE, tokens=99, draws=DRAWS)
+    _close(T.position_deltas(pos, vectors.unionByName(vectors), 0.1, 0.5, DIM, 2, NOISE, tokens=99, draws=DRAWS).collect(), want.collect())
