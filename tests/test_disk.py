@@ -91,3 +91,46 @@ def test_vectors_that_come_twice_count_once(spark):
     pos, vectors = G.plain_positions(_kept(spark)), _vectors(spark)
     want = T.position_deltas(pos, vectors, 0.1, 0.5, DIM, 2, NOISE, tokens=99, draws=DRAWS)
     _close(T.position_deltas(pos, vectors.unionByName(vectors), 0.1, 0.5, DIM, 2, NOISE, tokens=99, draws=DRAWS).collect(), want.collect())
+
+
+def test_changes_of_blocks_are_merged_as_rows_are(spark):
+    """At most ``reach`` long, back to the sphere, untouched vectors as they are."""
+    rng = np.random.default_rng(2)
+    ids = [0, 1, 1023, 1024, 5000]
+    vectors = spark.createDataFrame([(r, i, rng.normal(size=DIM).tolist()) for r in "uvw" for i in ids], "role string, id long, vec array<float>")
+    packed = [(s, r, b, [i for i in ids if i >> 10 == b and i != 1], []) for s in (0, 1) for r in "uv" for b in (0, 1)]
+    packed = [(s, r, b, i, (rng.normal(size=DIM * len(i)) * (0.05 if r == "u" else 1)).tolist()) for s, r, b, i, _ in packed]
+    packed = spark.createDataFrame(packed, "src int, role string, blk long, id array<long>, vec array<double>")
+    want = T.apply_deltas(vectors, T.sum_blocks(packed, 2, DIM), reach=0.4).collect()
+    got = T.merge_blocks(vectors, packed, 2, DIM, 0.4).collect()
+    want, got = ({(x["role"], x["id"]): np.array(x["vec"]) for x in rows} for rows in (want, got))
+    assert len(got) == 15 and got.keys() == want.keys()
+    assert max(np.abs(got[k] - want[k]).max() for k in want) < 1e-6
+
+
+@pytest.mark.parametrize("merges", [2])
+def test_a_fit_does_not_depend_on_where_words_are_held(spark, monkeypatch, merges):
+    """Shards that look words up against shards that ask for their vectors; one
+    document lies in many shards."""
+    from sphaera.params import Params
+    from sphaera.plans.fit import _Fit, fit
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(words[(d * 7 + k * k + k // 3) % 60] for k in range(900 if d == 4 else 30 + 5 * d))) for d in range(20)]
+    docs = spark.createDataFrame([*rows, (20, ""), (21, None)], "doc_id long, text string")
+    p = Params(dim=6, iter=2, min_count=1, sample=1e-2, shard_tokens=100, merges=merges)
+
+    def run():
+        r = fit(docs, p)
+        loss = {(x["epoch"], x["kind"]): (x["mean_loss"], x["n_triples"]) for x in r.objective.collect()}
+        return {(x["role"], x["id"]): np.array(x["vec"]) for x in r.vectors().collect()}, loss, r
+
+    with monkeypatch.context() as m:
+        m.setattr(T, "TABLE_BYTES", 0)
+        want, loss, _ = run()
+    monkeypatch.setattr(T, "working_set", None)  # which sends every shard its vectors
+    monkeypatch.setattr(_Fit, "dealt", lambda self, rows, step, dealt=_Fit.dealt: (dealt(self, rows, step)[0], 3))
+    got, other, r = run()
+    assert got.keys() == want.keys() and max(np.abs(got[k] - want[k]).max() for k in want) < 1e-5
+    assert loss.keys() == other.keys() and all(loss[k][1] == other[k][1] > 0 and abs(loss[k][0] - other[k][0]) < 1e-6 for k in loss)
+    assert r.run.log.read("corpus").groupBy("doc_id", "part").count().agg({"count": "max"}).first()[0] == 1  # rows of parts, not of tokens
