@@ -3,6 +3,7 @@ tokens, pairs or positions."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sphaera.operators import corpus as C
@@ -134,3 +135,24 @@ def test_a_fit_does_not_depend_on_where_words_are_held(spark, monkeypatch, merge
     assert got.keys() == want.keys() and max(np.abs(got[k] - want[k]).max() for k in want) < 1e-5
     assert loss.keys() == other.keys() and all(loss[k][1] == other[k][1] > 0 and abs(loss[k][0] - other[k][0]) < 1e-6 for k in loss)
     assert r.run.log.read("corpus").groupBy("doc_id", "part").count().agg({"count": "max"}).first()[0] == 1  # rows of parts, not of tokens
+
+
+@pytest.mark.parametrize("role, anchor, pos", [("v", "ctx", "center"), ("d", "doc_id", "word")])
+def test_rare_words_are_looked_up_where_the_triples_are(spark, monkeypatch, role, anchor, pos):
+    rows = [(k % 9 - 3, k, (7 * k) % 500, (13 * k + 1) % 500, (29 * k + 2) % 510) for k in range(600)]  # 10 ids have no vector
+    triples = spark.createDataFrame(rows, "doc_id long, kpos long, ctx long, center long, neg long").withColumn("word", F.col("center"))
+    vectors = _vectors(spark)
+
+    def run():
+        d = T.margin_forward(triples, vectors, role, anchor, pos, 0.5, DIM)
+        small = d.select("doc_id", "kpos", F.round("f", 6), F.round("h", 6), F.round("loss", 6), "active")
+        whole = d.select("kpos", "a_vec", "u_vec", "n_vec").orderBy("kpos").collect()
+        return sorted(small.collect()), whole, d._jdf.queryExecution().optimizedPlan().toString(), small
+
+    monkeypatch.setattr(T, "HEAD_ROWS", 20)
+    got, vec, plan, small = run()
+    assert "dots" in plan and "Union" not in plan  # the other form joins rare and frequent words apart
+    assert "look" not in small._jdf.queryExecution().optimizedPlan().toString()  # unused vectors stay out
+    monkeypatch.setattr(T, "TABLE_BYTES", 0)
+    want, same, _, _ = run()
+    assert got == want and vec == same and 500 < len(got) < 600
